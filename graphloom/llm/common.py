@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,25 @@ def text_or_empty(name: str = "text") -> Column:
 def row_key(*names: str) -> Column:
     """A 64-bit key for the content of a row, used next to doc_id where doc_id may repeat."""
     return F.xxhash64(*names)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(starts, stops, columns) of whole groups: rows with equal values in the first ``keys`` columns.
+
+    By default all but the last column. Rows come sorted by group; what may go on in the next
+    batch is held back.
+    """
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[: keys or -1]])
+        starts = np.nonzero(new)[0]
+        held = [c[starts[-1] :] for c in cols]
+        yield starts[:-1], starts[1:], cols
+    if held is not None and len(held[0]):
+        yield np.array([0]), np.array([len(held[0])]), held

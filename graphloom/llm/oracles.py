@@ -80,4 +80,75 @@ FROM docs d LEFT JOIN told USING (rid)
 """
 
 
-ORACLES = {"op8_secret_scan": _op8(), "op10_source_mixing": OP10}
+
+OP2 = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM phrases))),
+hits AS (SELECT rid, i, p.n, item_id FROM places JOIN phrases p USING (n, phrase)),
+words AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+"""
+
+OP3 = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, rid, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, rid, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+gone AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE doc_id > first),
+cells AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS pos FROM gone),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN cells USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+OP4 = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM documents WHERE doc_id IS NOT NULL),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS dl FROM tfs GROUP BY doc_id),
+facts AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS n, (SELECT sum(dl) FROM lengths) AS words),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * q.tf * (d.tf * 2.2::DOUBLE / (d.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / (words / n))))), 6) AS score
+  FROM tfs q JOIN tfs d USING (term) JOIN dfs USING (term) JOIN lengths l ON l.doc_id = d.doc_id, facts
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP6 = r"""
+WITH full_pages AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, max(page_id) AS first FROM full_pages WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM full_pages p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000
+"""
+
+ORACLES = {
+    "op2_decontamination": OP2,
+    "op3_substring_dedup": OP3,
+    "op4_bm25_topk": OP4,
+    "op6_warc_archive": OP6,
+    "op8_secret_scan": _op8(),
+    "op10_source_mixing": OP10,
+}
