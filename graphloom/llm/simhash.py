@@ -123,6 +123,11 @@ def keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key int, fp long")
 
 
+def _distance(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits; counted on unsigned values, since numpy counts those of absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links inside ``a``, or between ``a`` and ``b``: two index arrays.
 
@@ -134,7 +139,7 @@ def forest(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     left, right = [], []
     for i in range(len(a)):
         shift = i + 1 if b is None else len(a)
-        near = np.nonzero(np.bitwise_count(nodes[shift:] ^ a[i]) <= MAX_BITS)[0] + shift
+        near = np.nonzero(_distance(nodes[shift:], a[i]) <= MAX_BITS)[0] + shift
         near = near[label[near] != label[i]]
         if len(near):
             others, at = np.unique(label[near], return_index=True)
@@ -165,7 +170,7 @@ def _links_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             at = np.repeat(starts[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             a, b = fps[at], fps[at + lag]
-            close = np.bitwise_count(a ^ b) <= MAX_BITS
+            close = _distance(a, b) <= MAX_BITS
             left.append(a[close])
             right.append(b[close])
         for i in np.nonzero(sizes > SMALL_GROUP)[0]:
