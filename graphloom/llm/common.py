@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.shared import cut, fresh_dir, shared_dir
+
+__all__ = ["cut", "fresh_dir", "shared_dir"]
+
 #: A word is a maximal run of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A word is a maximal run of digits, lower-case letters and non-ASCII characters.
@@ -17,38 +20,41 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z only, whatever the locale and script."""
+    return F.translate(text, UPPER, LOWER)
+
 
-    Where the session has none (tests, notebooks) a folder under the warehouse is used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        at = at if ":" in at else f"file://{at}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Slots of a prefilter: what is broadcast for it has at most so many rows, whatever the input.
+SLOTS = 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that lost executors cost no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SLOTS))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale and script."""
-    return F.translate(text, UPPER, LOWER)
+def slots_of(keys: DataFrame, key: str) -> DataFrame:
+    """(slot): the slots that the keys fall into, to be broadcast; at most SLOTS rows."""
+    return F.broadcast(keys.select(slot(F.col(key)).alias("_slot")).distinct())
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, ``key``) are in ``gone`` (g_id, g_key).
+
+    Only rows whose slot holds a key that goes are shuffled; the texts of the others stay where
+    they are. With more keys than slots this becomes a plain anti-join.
+    """
+    marked = docs.withColumn("_key", key)
+    slots = slots_of(gone, "g_key")
+    at = slot(F.col("_key")) == F.col("_slot")
+    safe = marked.join(slots, at, "left_anti")
+    maybe = marked.join(slots, at, "left_semi")
+    rest = maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left_anti")
+    return safe.unionByName(rest).select(*docs.columns)
 
 
 def row_key(*names: str) -> Column:

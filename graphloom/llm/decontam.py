@@ -9,7 +9,8 @@ What survives is compared word by word with the document. Proximity matches ask
 rarest terms' offset-adjusted positions lie within a slop of each other instead.
 
 The terms of the items are broadcast while there are at most ``BROADCAST_TERMS`` of them (they
-are counted first) and joined by a shuffle beyond that. Aggregation keys hold the document, so a
+are counted first) and joined by a shuffle beyond that; what is broadcast of the corpus has a
+fixed number of slots. Aggregation keys hold the document, so a
 passage that a third of the corpus shares does not meet in one task.
 
 Defined results: null texts and texts without words match nothing; an item of fewer words than a
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORD, ascii_lower, fresh_dir, row_key, text_or_empty
+from graphloom.llm.common import ALNUM_WORD, ascii_lower, fresh_dir, row_key, slot, slots_of, text_or_empty, without
 
 PHRASE_WORDS = 10
 #: How many rarest terms of each phrase are looked up.
@@ -33,9 +34,25 @@ BROADCAST_TERMS = 200_000
 _GAP = ALNUM_WORD.replace("[^", "[")
 
 
+def cells_of(text: Column) -> Column:
+    """Lower-cased words in order, with an empty cell before (after) them if the text begins (ends)
+    with no word. Positions in documents count cells; the empty ones match no term."""
+    return F.split(ascii_lower(text), _GAP, -1)
+
+
+def leading(cells: Column) -> Column:
+    """1 if the first cell is empty."""
+    return F.when(F.get(cells, F.lit(0)) == "", 1).otherwise(0)
+
+
+def n_words(cells: Column) -> Column:
+    last = F.when((F.size(cells) > 1) & (F.element_at(cells, -1) == ""), 1).otherwise(0)
+    return (F.size(cells) - leading(cells) - last).cast("long")
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words, in order."""
-    return F.filter(F.split(ascii_lower(text), _GAP), lambda w: w != "")
+    return F.filter(cells_of(text), lambda w: w != "")
 
 
 def phrases(items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
@@ -61,7 +78,7 @@ def rarest_terms(phr: DataFrame, docs: DataFrame, lists: int = LISTS) -> DataFra
     """
     terms = phr.select(F.explode("words").alias("term")).distinct()
     wanted = _small(terms, terms.count())
-    counts = docs.select(F.explode(words_of(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
+    counts = docs.select(F.explode(cells_of(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
     known = terms.join(counts, "term", "left")
     each = phr.select("item_key", "at", F.posexplode("words").alias("place", "term")).join(known, "term")
     ranked = (
@@ -83,7 +100,7 @@ def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     (doc_id, doc_key, item_key, place, diagonal): ``diagonal`` is the document position at which
     the item would begin. ``rows`` is the number of rows of ``terms``.
     """
-    every = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.posexplode(words_of(text_or_empty())).alias("pos", "term"))
+    every = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.posexplode(cells_of(text_or_empty())).alias("pos", "term"))
     return every.join(_small(terms, rows), "term").select("doc_id", "doc_key", "item_key", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
 
 
@@ -111,28 +128,28 @@ def candidates(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists:
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
-    """``docs``' rows as (doc_id, text, n_words, spans, item_ids).
+    """``docs``' rows as (doc_id, doc_key, n_words, spans, item_ids).
 
     ``spans``: array<struct<start, stop>> of the phrases' exact occurrences in words, sorted;
-    ``item_ids``: the ids of items with an occurring phrase, as strings, sorted.
+    ``item_ids``: the ids of items with an occurring phrase, as strings, sorted. Texts travel only
+    where their key's slot holds a candidate.
     """
     at = fresh_dir(docs.sparkSession, "candidates")
     candidates(docs, items, n, lists).groupBy(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key")).agg(
         F.collect_list(F.struct("start", F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"), F.col("item_id").cast("string").alias("item_id"))).alias("tries")
     ).write.parquet(at)
     tried = docs.sparkSession.read.parquet(at)
-    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("doc_key"))
-    joined = keyed.join(tried, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")), "left")
-    words = joined.select("doc_id", "text", "tries", words_of(text_or_empty()).alias("words"))
-    true = F.filter("tries", lambda t: F.array_join(F.slice("words", t["start"] + 1, t["n"]), " ") == t["phrase"])
-    found = words.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<start:int,phrase:string,n:int,item_id:string>>")).alias("hits"))
-    return found.select(
-        "doc_id",
-        "text",
-        "n_words",
-        F.array_sort(F.array_distinct(F.transform("hits", lambda t: F.struct(t["start"].alias("start"), (t["start"] + t["n"]).alias("stop"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda t: t["item_id"]), lambda i: i.isNotNull()))).alias("item_ids"),
-    )
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), row_key("doc_id", "text").alias("doc_key")).withColumn("n_words", n_words(cells_of(F.col("text"))))
+    marked = keyed.join(slots_of(tried, "c_key"), slot(F.col("doc_key")) == F.col("_slot"), "left")
+    light = marked.select("doc_id", "doc_key", "n_words", F.when(F.col("_slot").isNotNull(), F.col("text")).alias("text"))
+    joined = light.join(tried, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")), "left")
+    cells = joined.select("doc_id", "doc_key", "n_words", "tries", F.when(F.col("tries").isNotNull(), cells_of(F.col("text"))).alias("cells"))
+    true = F.filter("tries", lambda t: F.array_join(F.slice("cells", t["start"] + 1, t["n"]), " ") == t["phrase"])
+    none = F.array().cast("array<struct<start:int,phrase:string,n:int,item_id:string>>")
+    found = cells.select("doc_id", "doc_key", "n_words", F.coalesce(leading(F.col("cells")), F.lit(0)).alias("lead"), F.coalesce(true, none).alias("hits"))
+    span = F.transform("hits", lambda t: F.struct((t["start"] - F.col("lead")).alias("start"), (t["start"] - F.col("lead") + t["n"]).alias("stop")))
+    ids = F.filter(F.transform("hits", lambda t: t["item_id"]), lambda i: i.isNotNull())
+    return found.select("doc_id", "doc_key", "n_words", F.array_sort(F.array_distinct(span)).alias("spans"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
 
 
 def covered(spans: Column) -> Column:
@@ -185,5 +202,6 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS) -> D
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     """``docs`` without the rows that hold an exact phrase of an item."""
-    dirty = exact_matches(docs, items, n).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), row_key("doc_id", "text").alias("_key")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (row_key("doc_id", "text") == dirty["_key"]), "left_anti")
+    at = fresh_dir(docs.sparkSession, "contaminated")
+    exact_matches(docs, items, n).filter(F.size("spans") > 0).select(F.col("doc_id").alias("g_id"), F.col("doc_key").alias("g_key")).distinct().write.parquet(at)
+    return without(docs, docs.sparkSession.read.parquet(at), row_key("doc_id", "text"))
