@@ -131,7 +131,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         high = np.maximum.reduceat(np.where(met, np.iinfo(np.int64).min, doc), first)
         keep = met | np.repeat(low < high, sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["p_id", "pos"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,13 +236,17 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc_key) of rows with an id; both joins on doc_id share one exchange of it."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("doc_key", row_key("doc_id", "text"))
+
+
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, doc_key, start, n): runs of windows that a smaller doc_id has too."""
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = known.withColumn("doc_key", row_key("doc_id", "text"))
-    met = known.mapInArrow(_anchor_rows, "meet long, met boolean, doc_id long, pos int").repartition("meet").sortWithinPartitions("meet")
-    places = met.mapInArrow(_shared_anchors, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    tried = keyed.join(places, "doc_id").select("doc_id", "doc_key", "text", "places")
+    keyed = _keyed(docs)
+    met = keyed.select("doc_id", "text").mapInArrow(_anchor_rows, "meet long, met boolean, doc_id long, pos int").repartition("meet").sortWithinPartitions("meet")
+    places = met.mapInArrow(_shared_anchors, "p_id long, pos int").groupBy("p_id").agg(F.collect_set("pos").alias("places"))
+    tried = keyed.join(places, F.col("doc_id") == F.col("p_id")).select("doc_id", "doc_key", "text", "places")
     runs = tried.mapInArrow(_window_rows, "meet long, met boolean, doc_id long, doc_key long, start int, hashes binary")
     return runs.repartition("meet").sortWithinPartitions("meet").mapInArrow(_removed_runs, "doc_id long, doc_key long, start int, n int")
 
@@ -253,7 +257,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``kept``: the words that stay, joined by one space, as UTF-8.
     """
     runs = removed_windows(docs).groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("doc_key", "start", "n")).alias("all"))
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("doc_key", row_key("doc_id", "text"))
     own = F.filter("all", lambda r: r["doc_key"] == F.col("doc_key"))
-    joined = keyed.join(runs, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", own.alias("runs"))
-    return joined.mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    joined = _keyed(docs).join(runs, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", own.alias("runs"))
+    no_id = docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("array<struct<doc_key:long,start:int,n:int>>").alias("runs"))
+    return joined.unionByName(no_id).mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
