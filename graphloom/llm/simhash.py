@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, UPPER, cut, sorted_groups
+from graphloom.llm.common import LOWER, UPPER, cut, fresh_dir, sorted_groups, without
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -203,7 +203,9 @@ def links(fps: DataFrame) -> DataFrame:
     Every two fingerprints of at most MAX_BITS differing bits are connected by the edges, and
     every edge is such a link.
     """
-    keyed = keys(cut(fps))
+    # each row becomes some 84, so small partitions must not be put together first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keys(cut(fps.repartition(parts, "fp")))
     large = keyed.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).withColumn("chunks", F.ceil(F.col("count") / BUCKET_ROWS).cast("int")).select("key", "chunks")
     has_large = large.limit(1).count() > 0
     if not has_large:
@@ -265,5 +267,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay (no order decides among them); of rows that repeat the smallest
     doc_id all stay.
     """
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    at = fresh_dir(docs.sparkSession, "copies")
+    near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("g_id"), F.xxhash64("doc_id").alias("g_key")).distinct().write.parquet(at)
+    return without(docs, docs.sparkSession.read.parquet(at), F.xxhash64("doc_id"))
