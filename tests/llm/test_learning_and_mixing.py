@@ -15,15 +15,17 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.classify(docs, labels)
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    got = toxicity.classify(docs, labels).cache()
     rows = got.join(labels, "doc_id").filter("held_out").collect()
     tp = sum(r.predicted and r.toxic for r in rows)
-    assert tp / max(1, sum(r.toxic for r in rows)) >= 0.7
-    assert sum(r.predicted and not r.toxic for r in rows) <= 0.05 * len(rows)
+    assert tp / max(1, sum(r.toxic for r in rows)) >= 0.8
+    assert sum(r.predicted and not r.toxic for r in rows) <= 0.02 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
-    again = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
-    assert all(again[r.doc_id] == r.score for r in rows)
+    small = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in toxicity.classify(small, labels).collect()} for _ in range(2))
+    assert one == two
 
 
 def test_toxicity_odd_rows(spark):
