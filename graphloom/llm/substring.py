@@ -237,16 +237,20 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, doc_key) of rows with an id; both joins on doc_id share one exchange of it."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("doc_key", row_key("doc_id", "text"))
+    """(k_id, k_text, k_key) of rows with an id; the joins on k_id share one exchange of it.
+
+    Columns get names of their own, so that both uses have the same form in the plan.
+    """
+    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("k_id"), F.col("text").cast("string").alias("k_text"))
+    return named.withColumn("k_key", row_key("k_id", "k_text"))
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, doc_key, start, n): runs of windows that a smaller doc_id has too."""
     keyed = _keyed(docs)
-    met = keyed.select("doc_id", "text").mapInArrow(_anchor_rows, "meet long, met boolean, doc_id long, pos int").repartition("meet").sortWithinPartitions("meet")
+    met = keyed.select("k_id", "k_text").mapInArrow(_anchor_rows, "meet long, met boolean, doc_id long, pos int").repartition("meet").sortWithinPartitions("meet")
     places = met.mapInArrow(_shared_anchors, "p_id long, pos int").groupBy("p_id").agg(F.collect_set("pos").alias("places"))
-    tried = keyed.join(places, F.col("doc_id") == F.col("p_id")).select("doc_id", "doc_key", "text", "places")
+    tried = keyed.join(places, F.col("k_id") == F.col("p_id")).select("k_id", "k_key", "k_text", "places")
     runs = tried.mapInArrow(_window_rows, "meet long, met boolean, doc_id long, doc_key long, start int, hashes binary")
     return runs.repartition("meet").sortWithinPartitions("meet").mapInArrow(_removed_runs, "doc_id long, doc_key long, start int, n int")
 
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``kept``: the words that stay, joined by one space, as UTF-8.
     """
     runs = removed_windows(docs).groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("doc_key", "start", "n")).alias("all"))
-    own = F.filter("all", lambda r: r["doc_key"] == F.col("doc_key"))
-    joined = _keyed(docs).join(runs, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", own.alias("runs"))
+    own = F.filter("all", lambda r: r["doc_key"] == F.col("k_key"))
+    joined = _keyed(docs).join(runs, F.col("k_id") == F.col("r_id"), "left").select(F.col("k_id").alias("doc_id"), F.col("k_text").alias("text"), own.alias("runs"))
     no_id = docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("array<struct<doc_key:long,start:int,n:int>>").alias("runs"))
     return joined.unionByName(no_id).mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
