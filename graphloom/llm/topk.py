@@ -8,12 +8,13 @@ scores with global statistics and the shards' top k merge exactly.
 
 A task holds a block of queries (``BLOCK_POSTINGS`` of their terms at most, which bounds what is
 broadcast) and goes through its shards, carrying each query's k-th best score on as threshold.
-Within a shard a query's lists are ordered by upper bound. Lists whose bounds together stay below
-the threshold cannot lift a document into the top k by themselves, so only documents of the other
-lists are pivots (the WAND condition). Pivots are taken a whole list at a time; a pivot is scored
-in full only if its partial score and the block maxima of the remaining lists in its document
-block together reach the threshold (the block-max condition). Threshold and bounds carry a slack
-above rounding errors, so nothing that belongs to the top k is pruned.
+Within a shard, documents lie in blocks. Short lists are added up posting by posting; lists that
+are long in the shard are kept as rows of a matrix with their maximum in every block. A document
+block is scored for a query only if the largest sum of its short lists and the block maxima of
+the query's long lists together reach the threshold (the WAND condition, with block maxima as
+bounds); the queries that are left at a block are scored there by one matrix product. Documents
+that reach the threshold are scored again in doubles, term by term in one order. Threshold and
+bounds carry a slack above rounding errors, so nothing that belongs to the top k is pruned.
 
 Defined results: null or empty texts and queries match nothing; rows without doc_id are left out;
 scores are rounded to six digits and ties go to the smaller doc_id; rows that repeat a doc_id are
@@ -23,11 +24,12 @@ separate documents; fewer than k matches give fewer rows; other columns are igno
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +38,23 @@ from graphloom.llm.common import ALNUM_WORD, LOWER, UPPER, fresh_dir
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
-BLOCK_POSTINGS = 2_000_000
-DOC_BLOCK = 64
-SLACK = 2e-6
-_WORD = regex.compile(ALNUM_WORD)
-_LOWER = str.maketrans(UPPER, LOWER)
+BLOCK_POSTINGS = 1_000_000
+#: Documents of a block; queries scored together; lists longer than 1 / LONG of a shard are long.
+DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 20
+#: Above the error of sums of single-precision products, relative to a score.
+SLACK = 2e-5
+_WORD = re.compile(ALNUM_WORD.encode())
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHARD = "n_docs long, n_words long, ids binary, lengths binary, terms binary, bounds binary, docs binary, tfs binary"
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(sorted term hashes, counts, number of words) of a text."""
-    words = _WORD.findall((text or "").translate(_LOWER))
+    words = Counter(_WORD.findall((text or "").encode("utf-8").translate(_LOWER)))
     h = xxhash.xxh3_64_intdigest
-    terms, counts = np.unique(np.fromiter((h(w) for w in words), np.uint64, len(words)), return_counts=True)
-    return terms, counts, len(words)
+    terms, counts = np.fromiter(map(h, words), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+    order = np.argsort(terms)
+    return terms[order], counts[order], int(counts.sum())
 
 
 def _shard(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> dict:
@@ -122,42 +127,39 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Lists:
-    """A shard's postings of a block's terms, their impacts, and block maxima by document block."""
+    """A shard's postings of a block's terms: short lists, long lists as a matrix, block maxima."""
 
     def __init__(self, row: dict, block: _Block):
         self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
         terms, bounds = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["bounds"], np.int64)
-        at = np.searchsorted(terms, block.terms)
-        there = np.zeros(len(at), bool)
-        inside = at < len(terms)
-        there[inside] = terms[at[inside]] == block.terms[inside]
-        begin = np.where(there, bounds[np.minimum(at, len(terms) - 1)] if len(terms) else 0, 0)
-        self.size = np.where(there, (bounds[np.minimum(at, len(terms) - 1) + 1] - begin) if len(terms) else 0, 0)
+        self.n = n = len(self.ids)
+        at = np.minimum(np.searchsorted(terms, block.terms), max(len(terms) - 1, 0))
+        there = terms[at] == block.terms if len(terms) else np.zeros(len(block.terms), bool)
+        begin = np.where(there, bounds[at], 0)
+        self.size = np.where(there, bounds[at + 1] - begin, 0) if len(terms) else np.zeros(len(block.terms), np.int64)
         rows = _ranges(begin, self.size)
         self.begin = np.cumsum(self.size) - self.size
         self.doc = np.frombuffer(row["docs"], np.int32)[rows].astype(np.int64)
         tf = np.frombuffer(row["tfs"], np.int32)[rows]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / block.mean_length))
         owner = np.repeat(np.arange(len(self.size)), self.size)
-        self.most = np.zeros(len(self.size))
-        live = self.size > 0
-        if live.any():
-            self.most[live] = np.maximum.reduceat(self.impact, self.begin[live])
-        # block maxima, list by list
-        zone = owner * (len(self.ids) // DOC_BLOCK + 1) + self.doc // DOC_BLOCK
-        first = np.nonzero(np.r_[True, zone[1:] != zone[:-1]])[0] if len(zone) else np.empty(0, np.int64)
-        self.zone_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.zone = self.doc[first] // DOC_BLOCK
-        self.zone_size = np.bincount(owner[first], minlength=len(self.size))
-        self.zone_begin = np.cumsum(self.zone_size) - self.zone_size
-        # the same postings by document, for scoring a document in full
+        # the same postings by document, for exact scores
         by_doc = np.argsort(self.doc, kind="stable")
         self.f_term, self.f_impact = owner[by_doc], self.impact[by_doc]
-        self.f_bounds = np.searchsorted(self.doc[by_doc], np.arange(len(self.ids) + 1))
+        self.f_bounds = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.scratch = np.zeros(len(self.size))
-
-    def full_scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Exact scores; terms are added in the order of their hashes."""
+        # long lists as rows of a matrix over whole document blocks
+        self.blocks = -(-n // DOC_BLOCK)
+        long_ = np.nonzero(self.size > n / LONG)[0]
+        self.row_of = np.full(len(self.size), -1)
+        self.row_of[long_] = np.arange(len(long_))
+        self.matrix = np.zeros((len(long_), self.blocks * DOC_BLOCK), np.float32)
+        mine = self.row_of[owner] >= 0
+        self.matrix[self.row_of[owner[mine]], self.doc[mine]] = self.impact[mine]
+        self.block_max = self.matrix.reshape(len(long_), self.blocks, DOC_BLOCK).max(axis=2)
+
+    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores in doubles; terms are added in the order of their hashes."""
         self.scratch[terms] = weights
         sizes = self.f_bounds[docs + 1] - self.f_bounds[docs]
         rows = _ranges(self.f_bounds[docs], sizes)
@@ -165,61 +167,63 @@ class _Lists:
         self.scratch[terms] = 0
         return scores
 
-    def _partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        rows = _ranges(self.begin[terms], self.size[terms])
-        return np.bincount(self.doc[rows], weights=np.repeat(weights, self.size[terms]) * self.impact[rows], minlength=len(self.ids))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ordinals, exact scores) of all documents that can reach ``least`` and this shard's top k."""
-        live = self.size[terms] > 0
-        all_terms, all_weights = terms, weights
-        terms, weights = terms[live], weights[live]
-        if not len(terms):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = weights * self.most[terms]
-        order = np.argsort(bound, kind="stable")
-        terms, weights, bound = terms[order], weights[order], bound[order]
-        upto = np.cumsum(bound)
-        if least <= 0:  # prime the threshold: score the best documents of the strongest lists in full
-            strong = max(1, len(terms) // 3)
-            partial = self._partial(terms[-strong:], weights[-strong:])
-            some = np.argpartition(-partial, min(k, len(partial) - 1))[:k] if len(partial) > k else np.arange(len(partial))
-            primed = np.sort(self.full_scores(some, all_terms, all_weights))[::-1]
-            least = float(primed[k - 1]) - SLACK if len(primed) >= k else 0.0
-        idle = int(np.searchsorted(upto, least, side="left")) if least > 0 else 0  # lists that cannot make a pivot
-        if idle >= len(terms):
-            return np.empty(0, np.int64), np.empty(0)
-        partial = self._partial(terms[idle:], weights[idle:])
-        rest = np.zeros(len(self.ids) // DOC_BLOCK + 1)
-        if idle:
-            rows = _ranges(self.zone_begin[terms[:idle]], self.zone_size[terms[:idle]])
-            rest = np.bincount(self.zone[rows], weights=np.repeat(weights[:idle], self.zone_size[terms[:idle]]) * self.zone_max[rows], minlength=len(rest))
-        pivots = np.nonzero(partial > 0)[0]
-        pivots = pivots[partial[pivots] + rest[pivots // DOC_BLOCK] >= least - SLACK]
-        return pivots, self.full_scores(pivots, all_terms, all_weights)
+    def candidates(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, document) pairs, by query, that can belong to the top k.
+
+        ``query``, ``terms``, ``weights``: the query terms of a batch; ``least``: each query's
+        threshold so far, 0 where there is none.
+        """
+        n, width = len(least), self.blocks * DOC_BLOCK
+        row = self.row_of[terms]
+        short = (row < 0) & (self.size[terms] > 0)
+        rows, sizes = _ranges(self.begin[terms[short]], self.size[terms[short]]), self.size[terms[short]]
+        cell = np.repeat(query[short] * width, sizes) + self.doc[rows]
+        score = np.bincount(cell, weights=np.repeat(weights[short], sizes) * self.impact[rows], minlength=n * width).astype(np.float32).reshape(n, width)
+        heavy = np.zeros((n, len(self.matrix)), np.float32)
+        heavy[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        bound = score.reshape(n, self.blocks, DOC_BLOCK).max(axis=2) + heavy @ self.block_max
+        alive = bound >= (least * (1 - SLACK))[:, None]
+        for b in range(self.blocks):
+            at = slice(b * DOC_BLOCK, (b + 1) * DOC_BLOCK)
+            some = np.nonzero(alive[:, b])[0]
+            if len(some) == n:
+                score[:, at] += heavy @ self.matrix[:, at]
+            elif len(some):
+                score[some, at] += heavy[some] @ self.matrix[:, at]
+        kth = np.partition(score, max(0, width - k), axis=1)[:, max(0, width - k)] if width >= k else np.zeros(n)
+        found = np.nonzero(score >= np.maximum(np.maximum(kth, least) * (1 - SLACK), 1e-30)[:, None])
+        inside = (found[1] < self.n) & alive[found[0], found[1] // DOC_BLOCK]
+        return found[0][inside], found[1][inside]
 
 
 def _search_task(block: _Block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(b.queries)
+        n = len(b.queries)
+        owner = np.repeat(np.arange(n), np.diff(b.bounds))
+        least = np.zeros(n)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * n
         for batch in batches:
             for row in batch.to_pylist():
                 lists = _Lists(row, b)
-                for q in range(len(b.queries)):
-                    span = slice(b.bounds[q], b.bounds[q + 1])
-                    scores, ids = best[q]
-                    least = scores[k - 1] - SLACK if len(scores) >= k else 0.0
-                    at, new = lists.search(b.place[span], b.weights[span], k, least)
-                    if len(at):
-                        new = np.round(new, 6)
-                        scores, ids = np.r_[scores, new], np.r_[ids, lists.ids[at]]
+                for first in range(0, n, QUERY_BATCH):
+                    last = min(n, first + QUERY_BATCH)
+                    span = slice(b.bounds[first], b.bounds[last])
+                    query, doc = lists.candidates(owner[span] - first, b.place[span], b.weights[span], least[first:last], k)
+                    cuts = np.searchsorted(query, np.arange(last - first + 1))
+                    for i in np.unique(query):
+                        q, docs = first + i, doc[cuts[i] : cuts[i + 1]]
+                        mine = slice(b.bounds[q], b.bounds[q + 1])
+                        new = np.round(lists.exact(docs, b.place[mine], b.weights[mine]), 6)
+                        scores, ids = np.r_[best[q][0], new], np.r_[best[q][1], lists.ids[docs]]
                         top = np.lexsort((ids, -scores))[:k]
                         best[q] = scores[top], ids[top]
-        n = np.array([len(s) for s, _ in best], np.int64)
-        if n.sum():
+                        if len(top) >= k:
+                            least[q] = best[q][0][k - 1]
+        n_found = np.array([len(s) for s, _ in best], np.int64)
+        if n_found.sum():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.queries, n)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "doc_id", "score"]
+                [pa.array(np.repeat(b.queries, n_found)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "doc_id", "score"]
             )
 
     return run
@@ -240,8 +244,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     blocks = max(1, math.ceil(asked.count() / BLOCK_POSTINGS))
     found = None
     for i in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about BLOCK_POSTINGS rows
-        if len(rows):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # about BLOCK_POSTINGS rows
+        if rows.num_rows:
             block = spark.sparkContext.broadcast(_Block(rows, facts["n"], max(facts["words"] / facts["n"], 1e-9)))
             part = shards.mapInArrow(_search_task(block, k), "query_id long, doc_id long, score double")
             found = part if found is None else found.unionByName(part)
