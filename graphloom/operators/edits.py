@@ -10,8 +10,6 @@ from graphloom.operators import graph
 from graphloom.operators.store import insert
 from graphloom.sources.mapping import QUAD
 
-_NULL = F.lit(None).cast("string")
-
 
 def quad(graph_iri: str, s: Column, p: str, o: Column, literal: bool = False, dt: str | None = None) -> list[Column]:
     """Columns of one quad with an IRI subject."""
@@ -122,7 +120,7 @@ def set_union(quads: DataFrame, graph_iri: str, prop: str, slot: str, members: l
         F.when(first, row("bnode", union, T.TYPE, F.lit("iri"), F.lit(T.CLASS))),
         F.when(first, row("bnode", union, T.OWL + "unionOf", F.lit("bnode"), cell)),
     )
-    new = rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(F.lit(graph_iri).alias("g"), "x.*", _NULL.alias("o_dt"), _NULL.alias("o_lang"))
+    new = rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(F.lit(graph_iri).alias("g"), "x.*", F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
     return insert(collect_garbage(quads.filter(~((F.col("s") == prop) & (F.col("p") == slot)))), new)
 
 

@@ -100,7 +100,7 @@ def set_fingerprint(quads: DataFrame) -> DataFrame:
     """
     line = quads.select("g", T.line_of().alias("line")).distinct()
     total = F.sum(F.xxhash64("line").cast("decimal(38,0)"))
-    return line.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.pmod(total, F.lit(2**64).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return line.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.pmod(total, F.lit(str(2**64)).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 class SnapshotStore:

@@ -101,10 +101,11 @@ def optional_left(spark, sf_dir):
     return A.projected(found, "c", "o")
 
 
-@query(f"SELECT '{EX}customer' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT '{EX}customer' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def minus_anti(spark, sf_dir):
     t = _triples(spark, sf_dir)
-    return A.projected(A.minus(A.pattern(t, "?c", T.TYPE, EX + "Customer"), A.pattern(t, "?o", EX + "placedBy", "?c")))
+    urgent = A.join(A.pattern(t, "?o", EX + "placedBy", "?c"), A.pattern(t, "?o", EX + "priority", A.lit("1-URGENT")))
+    return A.projected(A.minus(A.pattern(t, "?c", T.TYPE, EX + "Customer"), urgent))
 
 
 @query(f"SELECT '{EX}customer' || c_custkey AS x FROM customer UNION ALL SELECT '{EX}supplier' || s_suppkey FROM supplier")
@@ -368,10 +369,10 @@ def topk_cosine(spark, sf_dir):
 
 
 @query(
-    f"WITH a AS (SELECT {_norm('p_name')} AS norm, p_brand AS iri FROM part) SELECT norm, min(iri) AS iri FROM a WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT iri) = 1"
+    f"WITH a AS (SELECT {_norm("'Order' || l_orderkey")} AS norm, l_returnflag AS iri FROM lineitem) SELECT norm, min(iri) AS iri FROM a WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT iri) = 1"
 )
 def unique_alias(spark, sf_dir):
-    return similarity.unique_aliases(_read(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("iri")))
+    return similarity.unique_aliases(_read(spark, sf_dir, "lineitem").select(F.concat(F.lit("Order"), F.col("l_orderkey")).alias("alias"), F.col("l_returnflag").alias("iri")))
 
 
 # Lines, keys, diffs.

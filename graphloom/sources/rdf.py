@@ -37,7 +37,7 @@ def unescape(x: Column) -> Column:
 
     def point(acc: Column, e: Column) -> Column:
         hexa = F.lpad(F.substring(e, F.lit(3), F.length(e)), 8, "0")
-        return F.replace(acc, e, F.decode(F.unhex(hexa), "UTF-32BE"))
+        return F.replace(acc, e, F.decode(F.unhex(hexa), "UTF-32"))
 
     x = F.aggregate(F.array_distinct(points), x, point)
     return F.replace(x, F.lit("\x00"), F.lit("\\"))
