@@ -159,3 +159,12 @@ def stale_mappings(mapped: DataFrame, quads: DataFrame) -> DataFrame:
     """(iri, mapped) whose mapped entity is no subject of the graphs."""
     there = quads.select(F.col("s").alias("_s")).distinct()
     return mapped.filter("mapped is not null").join(there, F.col("mapped") == F.col("_s"), "left_anti")
+
+
+def import_counts(before: DataFrame, imported: DataFrame, replace: bool = False) -> DataFrame:
+    """(added, removed): net change of a layer (s_kind ... o_lang) by a merge or replacement."""
+    old, new = before.select(QUAD[1:]).distinct(), imported.select(QUAD[1:]).distinct()
+    added = new.subtract(old).select(F.lit("added").alias("op"))
+    removed = old.subtract(new).select(F.lit("removed").alias("op"))
+    both = added.unionByName(removed) if replace else added
+    return both.agg(F.count_if(F.col("op") == "added").alias("added"), F.count_if(F.col("op") == "removed").alias("removed"))

@@ -40,6 +40,18 @@ def history_page(events: DataFrame, category: str | None = None, text: str | Non
     return events.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
 
 
+def activity(events: DataFrame, users: DataFrame, most: int = 30) -> DataFrame:
+    """(id, created_at, action, name): the newest events with their users' names, ``?`` where unknown."""
+    named = events.join(users.select(F.col("user_id").alias("_u"), "name"), F.col("user_id") == F.col("_u"), "left")
+    return named.select("id", "created_at", "action", F.coalesce("name", F.lit("?")).alias("name")).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
+
+
+def replace_chunks(chunks: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Chunks after documents were parsed again: theirs are the new ones, others stay."""
+    again = parsed.select(F.col("document_id").alias("_d")).distinct()
+    return chunks.join(again, F.col("document_id") == F.col("_d"), "left_anti").unionByName(parsed)
+
+
 def trace(provenance: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(key, chunk_id, document_id, filename): where keys come from; a lost document is '(deleted)'."""
     c = chunks.select(F.col("chunk_id").alias("_c"), "document_id")

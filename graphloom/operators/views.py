@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators.validation import direct_types
+from graphloom.plans.shared import cut
 
 #: Where a default scheme comes from, in order.
 SCHEME_ORIGIN = "extraction"
@@ -170,5 +171,11 @@ def spaced_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     if total <= n:
         return rows
     places = [total // 2] if n == 1 else sorted({round(i * (total - 1) / (n - 1)) for i in range(n)})
-    ranked = rows.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    return ranked.filter(F.col("_at").isin(places)).drop("_at")
+    dealt = cut(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").count().orderBy("_part").collect()  # one row for each partition
+    before, at = 0, F.lit(0)
+    for r in sizes:
+        at = F.when(F.col("_part") == r["_part"], F.lit(before)).otherwise(at)
+        before += r["count"]
+    ranked = dealt.withColumn("_at", at + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    return ranked.filter(F.col("_at").isin(places)).drop("_at", "_part")

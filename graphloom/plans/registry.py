@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import algebra as A
-from graphloom.operators import conflicts, edits, graph, history, similarity, store, validation, views
+from graphloom.operators import conflicts, edits, graph, history, similarity, store, terminology, validation, views
 from graphloom.sources import mapping
 from graphloom.sources.mapping import ABOX, EX, TBOX
 
@@ -351,11 +351,11 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(
     "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v)"
-    " SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.e, y.e) / (x.n * y.n), 6) AS score FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.75"
+    " SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.e, y.e) / (x.n * y.n), 6) AS score FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.35"
 )
 def cosine_pairs(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return similarity.vector_links(v).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.vector_links(v, 0.35).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -476,6 +476,73 @@ def next_version(spark, sf_dir):
     return history.next_version(_read(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("ks_id"), F.col("l_linenumber").alias("version")))
 
 
+@query(
+    "SELECT count(*) FILTER (k = 'c') AS conflicts, count(*) FILTER (k = 'v') AS violations, count(*) FILTER (k = 'p') AS proposals, count(*) FILTER (k = 'r') AS resolutions, count(*) AS blocking FROM ("
+    "SELECT 'c' AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' UNION ALL SELECT 'v' FROM orders WHERE o_orderpriority = '1-URGENT'"
+    " UNION ALL SELECT 'p' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'r' FROM orders WHERE o_orderstatus = 'P')"
+)
+def quality_gate(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "pending").otherwise("done")
+    rows = _read(spark, sf_dir, "orders").select(status.alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "error").otherwise("warning").alias("severity"))
+    return history.gate(rows, rows, rows, rows)
+
+
+@query(f"SELECT count(*) AS keys, count(*) FILTER (n = 1) AS only_here FROM (SELECT key, count(DISTINCT document_id) AS n, bool_or(document_id = 7) AS here FROM ({_TRACED}) GROUP BY key) WHERE here")
+def doc_contribution(spark, sf_dir):
+    return history.contribution(_traced(spark, sf_dir), 7)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i IN (SELECT round_even(j * (n - 1) / 99.0, 0)::BIGINT FROM range(100) r(j))")
+def spaced_sample(spark, sf_dir):
+    return views.spaced_sample(_read(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id AS id, event_type AS action FROM events WHERE contains(lower(event_type), 'er') ORDER BY ts DESC, event_id DESC LIMIT 200")
+def history_page(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("props").alias("summary"), F.col("ts").alias("created_at"))
+    return history.history_page(e, text="ER").select("id", "action")
+
+
+@query("SELECT event_id AS id, event_type AS action, coalesce(c_name, '?') AS name FROM events LEFT JOIN customer ON user_id = c_custkey AND c_acctbal > 0 ORDER BY ts DESC, event_id DESC LIMIT 30")
+def member_activity(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), "user_id", F.col("ts").alias("created_at"))
+    users = _read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return history.activity(e, users).select("id", "action", "name")
+
+
+@query("SELECT count(*) FILTER (op = 'a') AS added, count(*) FILTER (op = 'r') AS removed FROM (SELECT 'a' AS op FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT 'r' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))")
+def import_counts(spark, sf_dir):
+    quads = lambda status: mapping.describe(_read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status), mapping.iri("customer", F.col("o_custkey")), ABOX, mapping.to_iri(T.TYPE, mapping.iri("Buyer")))
+    return edits.import_counts(quads("O"), quads("F"), replace=True)
+
+
+@query("SELECT DISTINCT p_name AS iri FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 49) AND p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice > 999)")
+def isolated_classes(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    classes = part.select(F.col("p_name").alias("iri")).distinct()
+    return views.isolated_classes(classes, part.filter("p_size > 49").select(F.col("p_name").alias("child"), F.col("p_brand").alias("parent")), part.filter("p_retailprice > 999").select(F.col("p_name").alias("cls")))
+
+
+@query(
+    "WITH c AS (SELECT p_partkey AS iri, p_name AS label FROM part), s AS (SELECT iri, label, CASE WHEN lower(trim(label)) = 'plate' THEN 1.0 WHEN contains(lower(trim(label)), 'plate') THEN 0.72 END AS score FROM c)"
+    " SELECT iri, label, score::DOUBLE AS score FROM s WHERE contains(lower(label), 'plate') ORDER BY score DESC, label, iri LIMIT 10"
+)
+def resolve_topk(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("iri"), F.col("p_name").alias("pref"), F.lit(None).cast("string").alias("pref_lang"), none.alias("alts"), none.alias("hidden"))
+    return views.resolve(rows, " Plate ")
+
+
+@query("SELECT o_custkey::VARCHAR AS iri, 'label twice in a concept' AS rule, o_orderpriority || ' ' || o_orderstatus AS detail FROM orders GROUP BY ALL HAVING count(*) > 1")
+def concept_label_twice(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").withColumn("iri", F.col("o_custkey").cast("string"))
+    rows = orders.select("iri", F.lit("s").alias("scheme"), F.lit(None).cast("string").alias("mapped"), F.lit("active").alias("status"), F.lit("agent").alias("origin")).distinct()
+    labels = orders.select("iri", F.lit("alt").alias("kind"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("value"), F.lit("en").alias("lang"))
+    none = spark.createDataFrame([], "iri string, kind string, other string")
+    found = terminology.broken_rules(rows, labels, none, spark.createDataFrame([("s",)], "scheme string"))
+    return found.filter("rule = 'label twice in a concept'").select("iri", "rule", F.upper("detail").alias("detail"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the label of their nation."""
     return bgp_join_2(spark, sf_dir)
