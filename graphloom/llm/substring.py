@@ -10,7 +10,7 @@ learns the smallest doc_id that holds it.
 
 What many documents share is combined where it is read: anchors that repeat inside a map task are
 known to be shared there and go on without meeting again but for one representative, and of equal
-runs only the smallest document's goes to the meeting. So a passage that a third of the corpus
+windows only the smallest document's goes to the meeting. So a passage that a third of the corpus
 holds sends a few rows for each task, not a row for each document. Groups arrive sorted and are
 handled as a stream.
 
@@ -134,27 +134,40 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["p_id", "pos"])
 
 
+_WINDOW_ROWS = "meet long, met boolean, doc_id long, doc_key long, start int, n int, hashes binary"
+
+
+def _combined_windows(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    """Runs (meet, doc, key, start, packed hashes) of one task, cut where it matters.
+
+    A window that a smaller document of this task has too is to be removed whatever the others
+    hold: it goes on as told, without its hash and dealt by its place. Only each window's smallest
+    document here goes to the meeting.
+    """
+    meet, doc, key, start = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
+    sizes = np.array([len(r[4]) // 8 for r in rows])
+    run = np.repeat(np.arange(len(rows)), sizes)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
+    order = np.lexsort((doc[run], whole, meet[run]))
+    m, w, d = meet[run][order], whole[order], doc[run][order]
+    new = np.r_[True, (m[1:] != m[:-1]) | (w[1:] != w[:-1])]
+    told = np.empty(len(d), bool)
+    told[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    begin = np.nonzero(np.r_[True, (run[1:] != run[:-1]) | (told[1:] != told[:-1])])[0]
+    n = np.diff(np.r_[begin, len(run)])
+    of, at, met = run[begin], inside[begin], told[begin]
+    place = start[of] + at
+    spread = _mixed(doc[of].view(np.uint64) * _ODD + place.view(np.uint64)).view(np.int64)
+    hashes = [b"" if t else whole[i : i + k].tobytes() for t, i, k in zip(met.tolist(), begin.tolist(), n.tolist(), strict=True)]
+    columns = (np.where(met, spread, meet[of]), met, doc[of], key[of], place.astype(np.int32), n.astype(np.int32), hashes)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["meet", "met", "doc_id", "doc_key", "start", "n", "hashes"])
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc_key, text, places) -> (meet, met, doc_id, doc_key, start, hashes)."""
+    """(doc_id, doc_key, text, places) -> _WINDOW_ROWS."""
     rows: list[tuple[int, int, int, int, bytes]] = []
     size = 0
-
-    def combined() -> pa.RecordBatch:
-        least: dict[tuple[int, bytes], int] = {}
-        for meet, doc, _, _, packed in rows:
-            if doc < least.get((meet, packed), doc + 1):
-                least[meet, packed] = doc
-        out = []
-        for meet, doc, key, start, packed in rows:
-            if doc > least[meet, packed]:  # a smaller document of this task has all of it
-                out.append((meet ^ xxhash.xxh3_64_intdigest(b"%d %d" % (doc, start)) >> 1, True, doc, key, start, packed))
-            else:
-                out.append((meet, False, doc, key, start, packed))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-            names=["meet", "met", "doc_id", "doc_key", "start", "hashes"],
-        )
-
     for batch in batches:
         for doc, key, text, places in zip(*batch.columns, strict=True):
             words = words_of(text.as_py())
@@ -176,40 +189,41 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((int(least[s]), doc.as_py(), key.as_py(), int(tried[s]), whole[s:e].tobytes()))
             size += len(tried)
             if size >= COMBINE:
-                yield combined()
+                yield _combined_windows(rows)
                 rows, size = [], 0
     if rows:
-        yield combined()
+        yield _combined_windows(rows)
+
+
+def _runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "doc_key", "start", "n"])
 
 
 def _removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (meet, met, doc_id, doc_key, start, hashes) -> (doc_id, doc_key, start, n): windows to remove."""
-    for starts, stops, (meet, met, doc, key, start, hashes) in sorted_groups(batches, 1):
+    """Sorted _WINDOW_ROWS -> (doc_id, doc_key, start, n): runs of windows to remove."""
+    for starts, stops, columns in sorted_groups(batches, 1):
         if not len(starts):
             continue
-        rows = slice(starts[0], stops[-1])
-        meet, met, doc, key, start, hashes = (x[rows] for x in (meet, met, doc, key, start, hashes))
-        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 8
+        meet, met, doc, key, start, n, hashes = (x[starts[0] : stops[-1]] for x in columns)
+        met = met.astype(bool)
+        if met.any():
+            yield _runs(doc[met], key[met], start[met], n[met])
+        meet, doc, key, start, sizes, hashes = (x[~met] for x in (meet, doc, key, start, n, hashes))
+        if not len(meet):
+            continue
         run = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         whole = np.frombuffer(b"".join(hashes), np.int64)
-        told = met.astype(bool)[run]
-        order = np.lexsort((doc[run], whole, told, meet[run]))
-        m, w, t, d = meet[run][order], whole[order], told[order], doc[run][order]
-        new = np.r_[True, (m[1:] != m[:-1]) | (w[1:] != w[:-1]) | (t[1:] != t[:-1])]
-        low = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        order = np.lexsort((doc[run], whole, meet[run]))
+        m, w, d = meet[run][order], whole[order], doc[run][order]
+        new = np.r_[True, (m[1:] != m[:-1]) | (w[1:] != w[:-1])]
         gone = np.empty(len(d), bool)
-        gone[order] = t | (d > low)
+        gone[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
         at = np.nonzero(gone)[0]
-        if not len(at):
-            continue
-        begin = np.r_[True, (np.diff(at) != 1) | (run[at][1:] != run[at][:-1])]
-        first = at[begin]
-        counts = np.diff(np.r_[np.nonzero(begin)[0], len(at)])
-        of = run[first]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[of]), pa.array(key[of]), pa.array((start[of] + inside[first]).astype(np.int32)), pa.array(counts.astype(np.int32))], names=["doc_id", "doc_key", "start", "n"]
-        )
+        if len(at):
+            begin = np.r_[True, (np.diff(at) != 1) | (run[at][1:] != run[at][:-1])]
+            of = run[at[begin]]
+            yield _runs(doc[of], key[of], start[of] + inside[at[begin]], np.diff(np.r_[np.nonzero(begin)[0], len(at)]))
 
 
 def kept_words(text: str | None, runs: list[dict] | None) -> tuple[list[bytes], int]:
@@ -251,7 +265,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     met = keyed.select("k_id", "k_text").mapInArrow(_anchor_rows, "meet long, met boolean, doc_id long, pos int").repartition("meet").sortWithinPartitions("meet")
     places = met.mapInArrow(_shared_anchors, "p_id long, pos int").groupBy("p_id").agg(F.collect_set("pos").alias("places"))
     tried = keyed.join(places, F.col("k_id") == F.col("p_id")).select("k_id", "k_key", "k_text", "places")
-    runs = tried.mapInArrow(_window_rows, "meet long, met boolean, doc_id long, doc_key long, start int, hashes binary")
+    runs = tried.mapInArrow(_window_rows, _WINDOW_ROWS)
     return runs.repartition("meet").sortWithinPartitions("meet").mapInArrow(_removed_runs, "doc_id long, doc_key long, start int, n int")
 
 
