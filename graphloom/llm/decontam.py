@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORD, ascii_lower, fresh_dir, row_key, slot, slots_of, text_or_empty, without
+from graphloom.llm.common import ALNUM_WORD, ascii_lower, bound, fresh_dir, row_key, slot, slots_of, text_or_empty, without
 
 PHRASE_WORDS = 10
 #: How many rarest terms of each phrase are looked up.
@@ -143,13 +143,18 @@ def exact_matches(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, list
     marked = keyed.join(slots_of(tried, "c_key"), slot(F.col("doc_key")) == F.col("_slot"), "left")
     light = marked.select("doc_id", "doc_key", "n_words", F.when(F.col("_slot").isNotNull(), F.col("text")).alias("text"))
     joined = light.join(tried, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")), "left")
-    cells = joined.select("doc_id", "doc_key", "n_words", "tries", F.when(F.col("tries").isNotNull(), cells_of(F.col("text"))).alias("cells"))
-    true = F.filter("tries", lambda t: F.array_join(F.slice("cells", t["start"] + 1, t["n"]), " ") == t["phrase"])
-    none = F.array().cast("array<struct<start:int,phrase:string,n:int,item_id:string>>")
-    found = cells.select("doc_id", "doc_key", "n_words", F.coalesce(leading(F.col("cells")), F.lit(0)).alias("lead"), F.coalesce(true, none).alias("hits"))
-    span = F.transform("hits", lambda t: F.struct((t["start"] - F.col("lead")).alias("start"), (t["start"] - F.col("lead") + t["n"]).alias("stop")))
+
+    def check(cells: Column) -> Column:
+        lead = leading(cells)
+        hits = F.filter("tries", lambda t: F.array_join(F.slice(cells, t["start"] + 1, t["n"]), " ") == t["phrase"])
+        span = F.transform(hits, lambda t: F.struct((t["start"] - lead).alias("start"), (t["start"] - lead + t["n"]).alias("stop"), t["item_id"].alias("item_id")))
+        return F.when(F.col("tries").isNotNull(), span)
+
+    none = F.array().cast("array<struct<start:int,stop:int,item_id:string>>")
+    found = joined.select("doc_id", "doc_key", "n_words", F.coalesce(bound(cells_of(F.col("text")), check), none).alias("hits"))
+    spans = F.transform("hits", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")))
     ids = F.filter(F.transform("hits", lambda t: t["item_id"]), lambda i: i.isNotNull())
-    return found.select("doc_id", "doc_key", "n_words", F.array_sort(F.array_distinct(span)).alias("spans"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
+    return found.select("doc_id", "doc_key", "n_words", F.array_sort(F.array_distinct(spans)).alias("spans"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
 
 
 def covered(spans: Column) -> Column:
