@@ -76,6 +76,18 @@ def triple_key(s: Column, p: Column, o_text: Column) -> Column:
     return F.concat(F.lit("triple|"), F.sha2(F.concat(F.lit("<"), s, F.lit("> <"), p, F.lit("> "), o_text, F.lit(" .")), 256))
 
 
+def axiom_key(kind: Column, a: Column, b: Column) -> Column:
+    """``kind|a|b``; the ends of symmetric axioms in order."""
+    both = kind.isin("disjoint", "equivalent")
+    return F.concat_ws("|", kind, F.when(both, F.least(a, b)).otherwise(a), F.when(both, F.greatest(a, b)).otherwise(b))
+
+
+def axiom_text(kind: Column, a: Column, b: Column) -> Column:
+    """An axiom in words, from the labels of its ends."""
+    verb = F.when(kind == "subclass", " is a kind of ").when(kind == "disjoint", " is disjoint with ").when(kind == "equivalent", " is the same as ").otherwise(" is related to ")
+    return F.concat(a, verb, b)
+
+
 def fact_key(kind: str, *parts: Column) -> Column:
     """``ind|iri``, ``data|s|p|v`` or ``obj|s|p|t``."""
     return F.concat_ws("|", F.lit(kind), *parts)

@@ -80,6 +80,53 @@ def write_turtle(quads: DataFrame, path: str) -> None:
     blocks.select(F.concat(F.col("s"), F.lit(" "), F.col("body"), F.lit(" .")).alias("value")).write.text(path)
 
 
+def _framed(head: str, tail: str, between: str = ""):
+    """Lines of a partition between a head and a tail, so that each file is a document of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                lines = [head if first else None, *[x if first and i == 0 else between + x for i, x in enumerate(lines)]]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in lines if x is not None])], names=["value"])
+                first = False
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
+
+    return run
+
+
+def write_rdfxml(quads: DataFrame, path: str) -> None:
+    """RDF/XML, one description for each subject; every file is a document. No quads, no document."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    local = F.regexp_extract("p", r"[A-Za-z_][\w.-]*$", 0)
+    space = F.substring("p", F.lit(1), F.length("p") - F.length(local))
+    node = lambda kind, v, a, b: F.when(kind == "bnode", F.concat(F.lit(f' rdf:nodeID="{a}'), v, F.lit('"'))).otherwise(F.concat(F.lit(f' rdf:{b}="'), safe(v), F.lit('"')))
+    opened = F.concat(F.lit("    <x:"), local, F.lit(' xmlns:x="'), safe(space), F.lit('"'))
+    plain = F.col("o_dt").isNull() | (F.col("o_dt") == T.XSD + "string")
+    mark = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("o_lang"), F.lit('"'))).when(plain, F.lit("")).otherwise(F.concat(F.lit(' rdf:datatype="'), safe(F.col("o_dt")), F.lit('"')))
+    literal = F.concat(opened, mark, F.lit(">"), safe(F.col("o")), F.lit("</x:"), local, F.lit(">"))
+    line = F.when(F.col("o_kind") == "literal", literal).otherwise(F.concat(opened, node(F.col("o_kind"), F.col("o"), "", "resource"), F.lit("/>")))
+    rows = quads.select(node(F.col("s_kind"), F.col("s"), "", "about").alias("about"), line.alias("line")).distinct()
+    body = rows.groupBy("about").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    described = body.select(F.concat(F.lit("  <rdf:Description"), F.col("about"), F.lit(">\n"), F.col("body"), F.lit("\n  </rdf:Description>")).alias("value"))
+    described.mapInArrow(_framed(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{T.RDF}">', "</rdf:RDF>"), "value string").write.text(path)
+
+
+def write_jsonld(quads: DataFrame, path: str) -> None:
+    """Expanded JSON-LD, one object for each subject; every file is a document."""
+    ref = lambda kind, v: F.when(kind == "bnode", F.concat(F.lit("_:"), v)).otherwise(v)
+    text = F.struct(F.col("o").alias("@value"), F.when(F.col("o_lang").isNull() & F.col("o_dt").isNotNull() & (F.col("o_dt") != T.XSD + "string"), F.col("o_dt")).alias("@type"), F.col("o_lang").alias("@language"))
+    value = F.when(F.col("o_kind") == "literal", F.to_json(text)).otherwise(F.to_json(F.struct(ref(F.col("o_kind"), F.col("o")).alias("@id"))))
+    rows = quads.select(ref(F.col("s_kind"), F.col("s")).alias("id"), "p", value.alias("v")).distinct()
+    by_p = rows.groupBy("id", "p").agg(F.concat(F.to_json(F.array("p")), F.lit(":["), F.array_join(F.array_sort(F.collect_list("v")), ","), F.lit("]")).alias("pv"))
+    key = F.regexp_replace("pv", r'^\["(.*?)"\]:', '"$1":')
+    whole = by_p.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("body"))
+    head = F.regexp_replace(F.to_json(F.struct(F.col("id").alias("@id"))), r"\}$", ",")
+    whole.select(F.concat(head, F.col("body"), F.lit("}")).alias("value")).mapInArrow(_framed("[", "]", ","), "value string").write.text(path)
+
+
 def normalize_format(name: str | None) -> str | None:
     return FORMATS.get((name or "").strip().lower().lstrip(".")) or ({"application/rdf+xml": "rdfxml", "text/turtle": "turtle", "application/n-triples": "ntriples", "rdf/xml": "rdfxml"}.get((name or "").strip().lower()))
 
