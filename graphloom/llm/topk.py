@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import ALNUM_WORD, LOWER, UPPER, fresh_dir
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
+SHARD_DOCS, SHARD_POSTINGS = 4096, 2_000_000
 BLOCK_POSTINGS = 1_000_000
 #: Documents of a block; queries scored together; lists longer than 1 / LONG of a shard are long.
 DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 20
@@ -139,12 +139,12 @@ class _Lists:
         self.size = np.where(there, bounds[at + 1] - begin, 0) if len(terms) else np.zeros(len(block.terms), np.int64)
         rows = _ranges(begin, self.size)
         self.begin = np.cumsum(self.size) - self.size
-        self.doc = np.frombuffer(row["docs"], np.int32)[rows].astype(np.int64)
+        self.doc = np.frombuffer(row["docs"], np.int32)[rows]
         tf = np.frombuffer(row["tfs"], np.int32)[rows]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / block.mean_length))
-        owner = np.repeat(np.arange(len(self.size)), self.size)
+        owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         # the same postings by document, for exact scores
-        by_doc = np.argsort(self.doc, kind="stable")
+        by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)
         self.f_term, self.f_impact = owner[by_doc], self.impact[by_doc]
         self.f_bounds = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.scratch = np.zeros(len(self.size))
@@ -177,7 +177,7 @@ class _Lists:
         row = self.row_of[terms]
         short = (row < 0) & (self.size[terms] > 0)
         rows, sizes = _ranges(self.begin[terms[short]], self.size[terms[short]]), self.size[terms[short]]
-        cell = np.repeat(query[short] * width, sizes) + self.doc[rows]
+        cell = np.repeat(query[short].astype(np.int64) * width, sizes) + self.doc[rows]
         score = np.bincount(cell, weights=np.repeat(weights[short], sizes) * self.impact[rows], minlength=n * width).astype(np.float32).reshape(n, width)
         heavy = np.zeros((n, len(self.matrix)), np.float32)
         heavy[query[row >= 0], row[row >= 0]] = weights[row >= 0]
@@ -204,15 +204,15 @@ def _search_task(block: _Block, k: int):
         least = np.zeros(n)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * n
         for batch in batches:
-            for row in batch.to_pylist():
-                lists = _Lists(row, b)
+            for i in range(batch.num_rows):  # one shard at a time, its arrays as views of the batch
+                lists = _Lists({c: batch.column(c)[i].as_buffer() for c in ("ids", "lengths", "terms", "bounds", "docs", "tfs")}, b)
                 for first in range(0, n, QUERY_BATCH):
                     last = min(n, first + QUERY_BATCH)
                     span = slice(b.bounds[first], b.bounds[last])
                     query, doc = lists.candidates(owner[span] - first, b.place[span], b.weights[span], least[first:last], k)
                     cuts = np.searchsorted(query, np.arange(last - first + 1))
-                    for i in np.unique(query):
-                        q, docs = first + i, doc[cuts[i] : cuts[i + 1]]
+                    for j in np.unique(query):
+                        q, docs = first + j, doc[cuts[j] : cuts[j + 1]]
                         mine = slice(b.bounds[q], b.bounds[q + 1])
                         new = np.round(lists.exact(docs, b.place[mine], b.weights[mine]), 6)
                         scores, ids = np.r_[best[q][0], new], np.r_[best[q][1], lists.ids[docs]]
