@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators import store
-from graphloom.plans.shared import fresh_dir
+from graphloom.plans.shared import cut, fresh_dir
 
 SHARD_ROWS = (1_000, 5_000_000)
 
@@ -139,9 +139,11 @@ def release_diff(before: DataFrame, after: DataFrame, samples: int = 20) -> Data
     """(g, op, n, sample): what changed in each layer, with the first lines in order."""
     old, new = before.select("g", T.line_of().alias("line")).distinct(), after.select("g", T.line_of().alias("line")).distinct()
     both = new.subtract(old).withColumn("op", F.lit("added")).unionByName(old.subtract(new).withColumn("op", F.lit("removed")))
-    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy("g", "op").orderBy("line")))
-    first = F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("line"))))
-    return ranked.groupBy("g", "op").agg(F.count(F.lit(1)).alias("n"), first.alias("sample"))
+    both = cut(both)
+    rank = F.row_number().over(Window.partitionBy("g", "op").orderBy("line"))
+    first = both.withColumn("_n", rank).filter(F.col("_n") <= samples)  # the limit reaches the map side
+    shown = first.groupBy("g", "op").agg(F.array_sort(F.collect_list("line")).alias("sample"))
+    return both.groupBy("g", "op").agg(F.count(F.lit(1)).alias("n")).join(shown, ["g", "op"])
 
 
 def export(quads: DataFrame, folder: str, layers: dict[str, str], shard_rows: int = 100_000) -> DataFrame:

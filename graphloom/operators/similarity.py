@@ -21,7 +21,7 @@ from graphloom.functions import terms as T
 from graphloom.operators import graph
 
 JACCARD, COSINE = 0.86, 0.75
-BLOCK = 1024
+BLOCK, MAX_BLOCKS = 1024, 2048
 
 
 def label_classes(entities: DataFrame) -> DataFrame:
@@ -74,15 +74,12 @@ def vector_links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     angle = F.acos(F.least(F.greatest(T.cosine(F.col("embedding"), pivot), F.lit(-1.0)), F.lit(1.0)))
     placed = known.select("id", "embedding", angle.alias("angle"))
     n = placed.count()
-    cuts = placed.stat.approxQuantile("angle", [i / max(1, n // BLOCK) for i in range(1, max(1, n // BLOCK))], 0.0001) if n > 2 * BLOCK else []
-    edges = [0.0, *sorted(set(cuts)), math.pi + 1]
-    at = F.lit(0)
-    for i, e in enumerate(edges[1:-1], 1):
-        at = F.when(F.col("angle") >= e, i).otherwise(at)
+    parts = min(MAX_BLOCKS, n // BLOCK)
+    cuts = sorted(set(placed.stat.approxQuantile("angle", [i / parts for i in range(1, parts)], 0.0001))) if parts > 1 else []
     reach = math.acos(min(1.0, least)) + 1e-9
-    near = {i: [j for j in range(len(edges) - 1) if edges[j] <= edges[i + 1] + reach and edges[j + 1] >= edges[i] - reach] for i in range(len(edges) - 1)}
-    table = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*map(F.lit, x)) for i, js in near.items() for x in (i, js)])
-    dealt = placed.withColumn("block", at).withColumn("other", F.explode(F.element_at(table, F.col("block"))))
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    block_of = lambda angle: F.size(F.filter(bounds, lambda c: c <= angle))
+    dealt = placed.withColumn("block", block_of(F.col("angle"))).withColumn("other", F.explode(F.sequence(block_of(F.col("angle") - reach), block_of(F.col("angle") + reach))))
     met = dealt.select("id", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def pair(key: tuple, batch: pa.Table) -> pa.Table:

@@ -223,3 +223,7 @@ def test_history(spark, tmp_path):
     assert made.agg(F.sum("lines")).first()[0] == 2500 and made.agg(F.max("lines")).first()[0] <= 1000
     with pytest.raises(ValueError):
         history.export(q, str(tmp_path / "y"), {"abox": G}, 10)
+    diff = history.release_diff(q, q.filter("s <> 'urn:s7'"), 5).collect()
+    assert [(r.op, r.n, len(r["sample"])) for r in diff] == [("removed", 1, 1)]
+    diff = history.release_diff(q.limit(0), q, 5).first()
+    assert (diff.op, diff.n, len(diff["sample"])) == ("added", 2500, 5)
