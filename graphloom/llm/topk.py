@@ -2,12 +2,14 @@
 
 Every input partition is cut into shards of at most ``SHARD_DOCS`` documents or
 ``SHARD_POSTINGS`` postings; a shard is one row of sorted term hashes, list bounds and postings,
-written as a table in the shared folder. Document frequencies are summed over all shards for the
+written as a table in the shared folder. Documents of a shard are ordered by their most frequent
+term, which brings languages and kinds together and makes block maxima tell them apart. Document frequencies are summed over all shards for the
 query terms, and the number of documents and their mean length over all of them, so every shard
 scores with global statistics and the shards' top k merge exactly.
 
 A task holds a block of queries (``BLOCK_POSTINGS`` of their terms at most, which bounds what is
 broadcast) and goes through its shards, carrying each query's k-th best score on as threshold.
+One shard in eight is searched first, and the k-th best scores there are where the others begin.
 Within a shard, documents lie in blocks. Short lists are added up posting by posting; lists that
 are long in the shard are kept as rows of a matrix with their maximum in every block. A document
 block is scored for a query only if the largest sum of its short lists and the block maxima of
@@ -31,26 +33,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORD, LOWER, UPPER, fresh_dir
+from graphloom.llm.common import ALNUM_WORD, UPPER, fresh_dir
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 4096, 2_000_000
 BLOCK_POSTINGS = 1_000_000
 #: Documents of a block; queries scored together; lists longer than 1 / LONG of a shard are long.
-DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 20
+DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 12
+#: Shards whose documents are put in order together, and shards that a task goes through.
+ORDERED_SHARDS, TASK_SHARDS = 4, 16
+#: One shard in so many is searched first; its k-th best scores are the others' thresholds.
+FIRST_PART = 8
 #: Above the error of sums of single-precision products, relative to a score.
 SLACK = 2e-5
-_WORD = re.compile(ALNUM_WORD.encode())
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Bytes of words lower-cased, all others as spaces.
+_CELLS = bytes(b if re.match(ALNUM_WORD.encode(), bytes([b])) else b + 32 if chr(b) in UPPER else 32 for b in range(256))
+RESULT = "query_id long, doc_id long, score double"
 SHARD = "n_docs long, n_words long, ids binary, lengths binary, terms binary, bounds binary, docs binary, tfs binary"
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(sorted term hashes, counts, number of words) of a text."""
-    words = Counter(_WORD.findall((text or "").encode("utf-8").translate(_LOWER)))
+    words = Counter((text or "").encode("utf-8").translate(_CELLS).split())
     h = xxhash.xxh3_64_intdigest
     terms, counts = np.fromiter(map(h, words), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words))
     order = np.argsort(terms)
@@ -73,22 +81,34 @@ def _shard(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> dict:
     }
 
 
+def _shards(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """Shards of documents ordered by their most frequent term, so that blocks are of one kind."""
+    held.sort(key=lambda d: (int(d[1][np.argmax(d[2])]) if len(d[1]) else 0, d[0]))
+    rows, begin, size = [], 0, 0
+    for i, d in enumerate(held):
+        size += len(d[1])
+        if i + 1 - begin >= SHARD_DOCS or size >= SHARD_POSTINGS or i + 1 == len(held):
+            rows.append(_shard(held[begin : i + 1]))
+            begin, size = i + 1, 0
+    schema = pa.schema([("n_docs", pa.int64()), ("n_words", pa.int64()), *[(c, pa.binary()) for c in ("ids", "lengths", "terms", "bounds", "docs", "tfs")]])
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> SHARD rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("n_docs", pa.int64()), ("n_words", pa.int64()), *[(c, pa.binary()) for c in ("ids", "lengths", "terms", "bounds", "docs", "tfs")]])
         held, size = [], 0
         for batch in batches:
             for doc, text in zip(*batch.columns, strict=True):
                 one = term_counts(text.as_py())
                 held.append((doc.as_py(), *one))
                 size += len(one[0])
-                if len(held) >= SHARD_DOCS or size >= SHARD_POSTINGS:
-                    yield pa.RecordBatch.from_pylist([_shard(held)], schema=schema)
+                if len(held) >= ORDERED_SHARDS * SHARD_DOCS or size >= ORDERED_SHARDS * SHARD_POSTINGS:
+                    yield _shards(held)
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist([_shard(held)], schema=schema)
+            yield _shards(held)
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SHARD)
 
@@ -190,18 +210,23 @@ class _Lists:
                 score[:, at] += heavy @ self.matrix[:, at]
             elif len(some):
                 score[some, at] += heavy[some] @ self.matrix[:, at]
-        kth = np.partition(score, max(0, width - k), axis=1)[:, max(0, width - k)] if width >= k else np.zeros(n)
-        found = np.nonzero(score >= np.maximum(np.maximum(kth, least) * (1 - SLACK), 1e-30)[:, None])
+        floor = least * (1 - SLACK)
+        many = np.nonzero((least <= 0) | ((score >= floor[:, None]).sum(axis=1) > 4 * k))[0]
+        if len(many) and width >= k:  # no use in scoring more than can be the best k here
+            floor[many] = np.maximum(floor[many], np.partition(score[many], width - k, axis=1)[:, width - k] * (1 - SLACK))
+        found = np.nonzero(score >= np.maximum(floor, 1e-30)[:, None])
         inside = (found[1] < self.n) & alive[found[0], found[1] // DOC_BLOCK]
         return found[0][inside], found[1][inside]
 
 
-def _search_task(block: _Block, k: int):
+def _search_task(block: Broadcast, k: int):
+    """Task that searches its shards for the block's queries; ``block`` holds (_Block, thresholds)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
+        b, known = block.value
         n = len(b.queries)
         owner = np.repeat(np.arange(n), np.diff(b.bounds))
-        least = np.zeros(n)
+        least = known.copy()
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * n
         for batch in batches:
             for i in range(batch.num_rows):  # one shard at a time, its arrays as views of the batch
@@ -215,11 +240,11 @@ def _search_task(block: _Block, k: int):
                         q, docs = first + j, doc[cuts[j] : cuts[j + 1]]
                         mine = slice(b.bounds[q], b.bounds[q + 1])
                         new = np.round(lists.exact(docs, b.place[mine], b.weights[mine]), 6)
-                        scores, ids = np.r_[best[q][0], new], np.r_[best[q][1], lists.ids[docs]]
+                        scores, ids = np.concatenate((best[q][0], new)), np.concatenate((best[q][1], lists.ids[docs]))
                         top = np.lexsort((ids, -scores))[:k]
                         best[q] = scores[top], ids[top]
                         if len(top) >= k:
-                            least[q] = best[q][0][k - 1]
+                            least[q] = max(least[q], best[q][0][k - 1])
         n_found = np.array([len(s) for s, _ in best], np.int64)
         if n_found.sum():
             yield pa.RecordBatch.from_arrays(
@@ -235,20 +260,30 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     at = fresh_dir(spark, "index")
     build_index(docs).write.parquet(f"{at}/shards")
     shards = spark.read.parquet(f"{at}/shards")
-    facts = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
+    facts = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("shards")).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(facts["shards"] / TASK_SHARDS))
     asked = queries.filter("query_id is not null").select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(_query_terms, "query_id long, term long, qtf long")
     asked = asked.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
     wanted = shards.select("terms", "bounds").mapInArrow(_shard_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked.join(wanted, "term").write.parquet(f"{at}/queries")
     asked = spark.read.parquet(f"{at}/queries")
     blocks = max(1, math.ceil(asked.count() / BLOCK_POSTINGS))
+    first = F.pmod(F.xxhash64("ids"), F.lit(FIRST_PART)) == 0
     found = None
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # about BLOCK_POSTINGS rows
-        if rows.num_rows:
-            block = spark.sparkContext.broadcast(_Block(rows, facts["n"], max(facts["words"] / facts["n"], 1e-9)))
-            part = shards.mapInArrow(_search_task(block, k), "query_id long, doc_id long, score double")
-            found = part if found is None else found.unionByName(part)
+        if not rows.num_rows:
+            continue
+        block = _Block(rows, facts["n"], max(facts["words"] / facts["n"], 1e-9))
+        search_in = lambda part, known: part.coalesce(tasks).mapInArrow(_search_task(spark.sparkContext.broadcast((block, known)), k), RESULT)  # noqa: E731, B023
+        search_in(shards.filter(first), np.zeros(len(block.queries))).write.parquet(f"{at}/first-{i}")
+        seen = spark.read.schema(RESULT).parquet(f"{at}/first-{i}")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+        kth = seen.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").toArrow()  # at most a row for each query of the block
+        known = np.zeros(len(block.queries))
+        known[np.searchsorted(block.queries, kth["query_id"].to_numpy())] = kth["score"].to_numpy()
+        part = seen.unionByName(search_in(shards.filter(~first), known))
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
