@@ -44,8 +44,8 @@ SHARD_DOCS, SHARD_POSTINGS = 4096, 2_000_000
 BLOCK_POSTINGS = 1_000_000
 #: Documents of a block; queries scored together; lists longer than 1 / LONG of a shard are long.
 DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 12
-#: Shards whose documents are put in order together, and shards that a task goes through.
-ORDERED_SHARDS, TASK_SHARDS = 4, 16
+#: Shards whose documents are put in order together.
+ORDERED_SHARDS = 4
 #: One shard in so many is searched first; its k-th best scores are the others' thresholds.
 FIRST_PART = 8
 #: Above the error of sums of single-precision products, relative to a score.
@@ -260,8 +260,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     at = fresh_dir(spark, "index")
     build_index(docs).write.parquet(f"{at}/shards")
     shards = spark.read.parquet(f"{at}/shards")
-    facts = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("shards")).first()
-    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(facts["shards"] / TASK_SHARDS))
+    facts = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
     asked = queries.filter("query_id is not null").select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(_query_terms, "query_id long, term long, qtf long")
     asked = asked.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
     wanted = shards.select("terms", "bounds").mapInArrow(_shard_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
@@ -275,7 +274,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if not rows.num_rows:
             continue
         block = _Block(rows, facts["n"], max(facts["words"] / facts["n"], 1e-9))
-        search_in = lambda part, known: part.coalesce(tasks).mapInArrow(_search_task(spark.sparkContext.broadcast((block, known)), k), RESULT)  # noqa: E731, B023
+        search_in = lambda part, known: part.mapInArrow(_search_task(spark.sparkContext.broadcast((block, known)), k), RESULT)  # noqa: E731, B023
         search_in(shards.filter(first), np.zeros(len(block.queries))).write.parquet(f"{at}/first-{i}")
         seen = spark.read.schema(RESULT).parquet(f"{at}/first-{i}")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
