@@ -224,12 +224,25 @@ def declared_individual(labels: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(labels, sources, strict=True)])
 
 
-def windows(label: str | None, text: str | None, reach: int = 320, most: int = 8) -> list[tuple[int, int]]:
-    """Merged spans of ``reach`` characters around a label's occurrences, in any of its forms."""
+def evenly(n: int, most: int | None) -> list[int]:
+    """Places of a sample of ``most`` spread over 0 to n - 1, both ends included; all without ``most``."""
+    if most is None or n <= most:
+        return list(range(n))
+    if most == 1:
+        return [n // 2]
+    return sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
+
+
+def windows(label: str | None, text: str | None, reach: int = 320, most: int | None = None) -> list[tuple[int, int]]:
+    """Merged spans of ``reach`` characters around a label's occurrences, in any of its forms.
+
+    ``most`` takes an even sample of the occurrences; without it all count.
+    """
     if not label or not text:
         return []
     forms = {label.strip(), label.rpartition(":")[2].strip(), label.replace("_", " ").strip()} - {""}
-    hits = sorted({m.start() for f in forms for m in re.finditer(re.escape(f), text, re.IGNORECASE)})[:most]
+    found = sorted({m.start() for f in forms for m in re.finditer(re.escape(f), text, re.IGNORECASE)})
+    hits = [found[i] for i in evenly(len(found), most)]
     out: list[tuple[int, int]] = []
     for h in hits:
         a, b = max(0, h - reach), min(len(text), h + len(label) + reach)
@@ -243,3 +256,9 @@ def windows(label: str | None, text: str | None, reach: int = 320, most: int = 8
 @arrow_udf("array<struct<start:int,stop:int,text:string>>")
 def evidence_windows(labels: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "stop": b, "text": t[a:b]} for a, b in windows(l, t)] for l, t in zip(labels, texts, strict=True)])
+
+
+@arrow_udf("array<struct<start:int,stop:int,text:string>>")
+def sampled_windows(labels: pd.Series, texts: pd.Series, most: pd.Series) -> pd.Series:
+    """As evidence_windows, around an even sample of a text's occurrences."""
+    return pd.Series([[{"start": a, "stop": b, "text": t[a:b]} for a, b in windows(l, t, most=n)] for l, t, n in zip(labels, texts, most, strict=True)])

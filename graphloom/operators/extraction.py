@@ -179,8 +179,16 @@ def popular_parents(axioms: DataFrame, most: int = 5) -> DataFrame:
     return axioms.join(votes, T.norm_label(F.col("b")) == F.col("_n"), "left_anti")
 
 
-def grounding_chunks(labels: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
-    """(label) and (chunk_id, text) -> (label, chunk_id): the first chunks that hold each label.
+def evenly_sampled(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """Of each ``by`` at most ``most`` rows, spread evenly over all of its rows in ``order``."""
+    w = Window.partitionBy(by)
+    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    places = [F.rint(F.lit(float(i)) * (F.col("_n") - 1) / (most - 1)) for i in range(most)] if most > 1 else [F.floor(F.col("_n") / 2)]
+    return ranked.filter((F.col("_n") <= most) | F.array_contains(F.array(*places), F.col("_i").cast("double" if most > 1 else "long"))).drop("_i", "_n")
+
+
+def grounding_chunks(labels: DataFrame, chunks: DataFrame, most: int | None = 4) -> DataFrame:
+    """(label) and (chunk_id, text) -> (label, chunk_id): the first chunks that hold each label, all without ``most``.
 
     Labels meet chunks on their rarest word, then the whole label is looked for.
     """
@@ -191,5 +199,7 @@ def grounding_chunks(labels: DataFrame, chunks: DataFrame, most: int = 4) -> Dat
     key = mine.groupBy("label").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
     met = key.join(each, "word").join(words.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
     hits = met.filter(X.surface_is_grounded(F.col("label"), F.col("text")))
+    if most is None:
+        return hits.select("label", "chunk_id")
     order = F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))
     return hits.withColumn("_i", order).filter(F.col("_i") <= most).select("label", "chunk_id")

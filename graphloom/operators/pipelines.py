@@ -29,12 +29,13 @@ def verify(classes: DataFrame, chunks: DataFrame, critic: DataFrame, adjudicator
     return kept.join(safe, F.col("label") == F.col("source"), "left").withColumn("label", F.coalesce("replacement", "label")).drop("source", "replacement")
 
 
-def recovery_candidates(labels: DataFrame, chunks: DataFrame, occurrences: int = 8, passages: int = 4) -> DataFrame:
-    """(label, chunk_id, start, stop): windows around a label's first occurrences in its first chunks."""
-    found = extraction.grounding_chunks(labels, chunks, passages).join(chunks.select("chunk_id", "text"), "chunk_id")
-    each = found.select("label", "chunk_id", F.posexplode(X.evidence_windows("label", "text")).alias("i", "w"))
-    order = F.row_number().over(Window.partitionBy("label").orderBy("chunk_id", "i"))
-    return each.withColumn("_n", order).filter(F.col("_n") <= occurrences).select("label", "chunk_id", "w.start", "w.stop")
+def recovery_candidates(labels: DataFrame, chunks: DataFrame, occurrences: int = 8, each: int = 2) -> DataFrame:
+    """(label, chunk_id, start, stop): windows around an even sample of ``each`` places in each of an
+    even sample of ``occurrences`` of all chunks that hold a label."""
+    found = extraction.evenly_sampled(extraction.grounding_chunks(labels, chunks, None), "label", "chunk_id", occurrences)
+    texts = found.join(chunks.select("chunk_id", "text"), "chunk_id")
+    spans = texts.select("label", "chunk_id", F.explode(X.sampled_windows(F.col("label"), F.col("text"), F.lit(each))).alias("w"))
+    return spans.select("label", "chunk_id", "w.start", "w.stop")
 
 
 def accepted_links(decisions: DataFrame, chunks: DataFrame, floor: float = LINK_FLOOR) -> DataFrame:

@@ -73,3 +73,10 @@ def test_blobs_and_documents(spark, tmp_path):
 def test_keys(spark):
     d = spark.createDataFrame([("disjoint", "b", "a"), ("subclass", "b", "a")], "k string, a string, b string")
     assert [r[0] for r in d.select(T.axiom_key(F.col("k"), F.col("a"), F.col("b"))).collect()] == ["disjoint|a|b", "subclass|b|a"]
+
+
+def test_recovery_samples_all_occurrences(spark):
+    chunks = spark.createDataFrame([(i, ("valve " + "q" * 1994) * 5) for i in range(30)], "chunk_id long, text string")
+    got = P.recovery_candidates(spark.createDataFrame([("valve",)], "label string"), chunks).collect()
+    assert sorted((r.chunk_id, r.start, r.stop) for r in got) == [(c, *w) for c in (0, 4, 8, 12, 17, 21, 25, 29) for w in ((0, 325), (7680, 8325))]
+    assert sorted(r.chunk_id for r in P.recovery_candidates(spark.createDataFrame([("valve",)], "label string"), chunks, 1, 1).collect()) == [15]

@@ -82,3 +82,12 @@ def test_individuals(spark):
     out = extraction.merge_individuals(found, idx(("pump", "urn:Pump"), ("tank", "urn:Tank")), idx(("size", "urn:size"), ("feeds", "urn:feeds")), idx(("t 1", "urn:old-tank")), "urn:g", "urn:x:")
     assert out["quads"].count() == 6 and out["quads"].filter("o = 'urn:old-tank'").count() == 1
     assert [r.target for r in out["pending"].collect()] == ["nowhere"] and [tuple(r) for r in out["unknown"].collect()] == [("Unknown", 1)]
+
+
+def test_windows_of_all_hits(spark):
+    text = ("ab" + "q" * 98) * 30
+    every = [(max(0, 100 * i - 10), 100 * i + 12) for i in range(30)]
+    assert X.windows("ab", text, 10) == every
+    assert X.windows("ab", text, 10, 4) == [every[i] for i in (0, 10, 19, 29)]
+    d = spark.createDataFrame([("ab", ("ab" + "q" * 998) * 30)], "label string, text string")
+    assert [(w.start, w.stop) for w in d.select(X.evidence_windows("label", "text")).first()[0]] == [(max(0, 1000 * i - 320), min(30000, 1000 * i + 322)) for i in range(30)]
