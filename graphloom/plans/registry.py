@@ -6,6 +6,7 @@ The graph comes from the test tables (``sources.mapping``); the SQL is over the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -392,6 +393,47 @@ def layer_signature(spark, sf_dir):
     return store.layer_signature(quads.filter(F.startswith("s", F.lit(EX + "nation")) & (F.col("p") == T.LABEL)))
 
 
+def _mapped_lines() -> str:
+    """SQL of the lines of the whole mapped graph, a SELECT for each table and pair."""
+    i = lambda name, key: f"'<{EX}{name}' || {key} || '>'"
+    escaped = lambda c: reduce(lambda x, e: f"replace({x}, chr({e[0]}), chr(92) || {e[1]})", ((92, "chr(92)"), (34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")), c)
+    text = lambda c: f"'\"' || {escaped(c)} || '\"'"
+    typed = lambda c, dt: f"'\"' || {c}::VARCHAR || '\"^^<{T.XSD}{dt}>'"
+    cls = lambda n: f"'<{EX}{n}>'"
+    made = lambda n, c: f"'<{EX}{n}' || {_pascal(c)} || '>'"
+    tables = {
+        "region": (i("region", "r_regionkey"), [(T.TYPE, cls("Region")), (T.LABEL, text("r_name"))]),
+        "nation": (i("nation", "n_nationkey"), [(T.TYPE, cls("Nation")), (T.LABEL, text("n_name")), (EX + "inRegion", i("region", "n_regionkey"))]),
+        "customer": (
+            i("customer", "c_custkey"),
+            [(T.TYPE, cls("Customer")), (T.TYPE, made("Segment", "c_mktsegment")), (T.LABEL, text("c_name")), (EX + "inNation", i("nation", "c_nationkey")), (EX + "balance", typed("c_acctbal", "decimal"))],
+        ),
+        "supplier": (i("supplier", "s_suppkey"), [(T.TYPE, cls("Supplier")), (T.LABEL, text("s_name")), (EX + "inNation", i("nation", "s_nationkey"))]),
+        "part": (
+            i("part", "p_partkey"),
+            [(T.TYPE, cls("Part")), (T.TYPE, made("Type", "p_type")), (T.LABEL, text("p_name")), (EX + "size", typed("p_size", "integer")), (EX + "brand", text("p_brand"))],
+        ),
+        "orders": (
+            i("order", "o_orderkey"),
+            [(T.TYPE, cls("Order")), (EX + "placedBy", i("customer", "o_custkey")), (EX + "status", text("o_orderstatus")), (EX + "priority", text("o_orderpriority"))],
+        ),
+    }
+    each = [f"SELECT {s} || ' <{p}> ' || {o} || ' <{ABOX}> .' AS line FROM {t}" for t, (s, pairs) in tables.items() for p, o in pairs]
+    return f"SELECT DISTINCT line FROM ({' UNION ALL '.join(each)}) WHERE line IS NOT NULL"
+
+
+@query(_mapped_lines())
+def nquads_dump_graph(spark, sf_dir):
+    """The whole mapped graph as lines; nquads_dump_lines keeps the nations that its SQL names."""
+    return store.lines(mapping.to_quads(spark, sf_dir))
+
+
+@query()
+def graph_fingerprint(spark, sf_dir):
+    """The order-free fingerprint of each whole graph; layer_signature is the sorted form for small layers."""
+    return store.set_fingerprint(mapping.to_quads(spark, sf_dir))
+
+
 @query(f"SELECT 'triple|' || sha256('<{EX}order' || o_orderkey || '> <{EX}placedBy> <{EX}customer' || o_custkey || '> .') AS key FROM orders")
 def triple_key(spark, sf_dir):
     placed = store.match(mapping.to_quads(spark, sf_dir), p=EX + "placedBy")

@@ -227,3 +227,19 @@ def test_history(spark, tmp_path):
     assert [(r.op, r.n, len(r["sample"])) for r in diff] == [("removed", 1, 1)]
     diff = history.release_diff(q.limit(0), q, 5).first()
     assert (diff.op, diff.n, len(diff["sample"])) == ("added", 2500, 5)
+
+
+def test_whole_graph_dump_and_fingerprint(spark):
+    import duckdb
+
+    from graphloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = rows(registry.queries()["nquads_dump_graph"](spark, sf))
+    assert got == sorted(con.execute(registry.oracle_sql()["nquads_dump_graph"]).fetchall())
+    sizes = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("region", "nation", "customer", "supplier", "part", "orders")}
+    assert len(got) == sum(n * sizes[t] for t, n in (("region", 2), ("nation", 3), ("customer", 5), ("supplier", 3), ("part", 5), ("orders", 4)))
+    assert [(r.g, r.n) for r in registry.queries()["graph_fingerprint"](spark, sf).collect()] == [("http://example.org/kg/abox", len(got))]
