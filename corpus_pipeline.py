@@ -32,7 +32,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Secrets are replaced by a mark; n_chars follows the text where it changed."""
     columns = docs.columns
     old = docs.withColumn("_old", F.col("text"))
-    new = secrets.redact_secrets(old)
+    new = secrets.redact_secrets(old, pieces=True)
     return new.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_old")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
 
 

@@ -54,11 +54,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("secrets")
     of = lambda no: F.filter(spans, lambda s: s["kind_no"] == no)
     base = F.filter(spans, lambda s: s["kind_no"] < 3)
-    return secrets.find_secrets(_docs(spark, sf_dir)).select(
+    whole, piece = F.filter(spans, lambda s: s["kind_no"] < 4), F.filter(spans, lambda s: s["kind_no"] == 4)
+    return secrets.find_secrets(_docs(spark, sf_dir), pieces=True).select(
         "doc_id",
-        *[F.size(of(no)).cast("long").alias(f"n_{kind}") for no, kind in enumerate(secrets.KINDS)],
+        *[F.size(of(no)).cast("long").alias(f"n_{kind}") for no, kind in enumerate(secrets.KINDS[:4])],
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
-        secrets.spans_text(spans).alias("spans"),
+        secrets.spans_text(whole).alias("spans"),
+        F.size(piece).cast("long").alias("n_piece"),
+        secrets.spans_text(piece).alias("pieces"),
     )
 
 

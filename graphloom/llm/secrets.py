@@ -6,7 +6,10 @@ characters are updated by the one that enters and the one that leaves, so that t
 log2(w) - sum(c log2 c) / w costs the same for any width. The candidate's character class (hex,
 letters and digits, or base64) sets the bits at which a window is hot; the span runs from the
 first to the last hot window. Candidates that the allow-list knows (letters only, digits only,
-UUIDs, placeholders) and those that touch a base span are suppressed.
+UUIDs, placeholders) and those that touch a base span are suppressed as a whole. With ``pieces``
+what is left of them, cut at base spans and at =, is tested piece by piece as the kind ``piece``, and a
+placeholder's word suppresses only the piece that holds it (lower-case path words before and after
+a key are not part of its piece). Pieces within an entropy span are not told again.
 
 All of it is column expressions inside one scan: no shuffle, no Python. Texts without any sign
 of a candidate skip the costly part.
@@ -32,7 +35,7 @@ ASSIGN = (
 ASSIGN_SIGN = r"[Aa][Ss][Ss][Ww]|[Ee][Cc][Rr][Ee][Tt]|[Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy")
+KINDS = ("assign", "access", "hex", "entropy", "piece")
 #: Candidates of the entropy scan, and what the allow-list suppresses.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CANDIDATE_SIGN = r"[0-9A-Za-z+/_=-]{20}"
@@ -42,6 +45,11 @@ ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]",
 )
+#: What may hold a piece: a placeholder's word, or a key after a name.
+WORD = ALLOWED[-1]
+NAMED_SIGN = r"=[0-9A-Za-z+/_-]{20}"
+#: Path words around a key.
+BEFORE, AFTER = r"^(?:[a-z]+[/-])+", r"(?:[/-][a-z]+)+$"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
 #: Bits at which a window of WINDOW characters is hot, by character class.
@@ -116,26 +124,61 @@ def hot_range(candidate: Column, window: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(given), run), F.lit(0))
 
 
-def _entropy(text: Column, base: Column) -> Column:
-    allowed = lambda body: F.array_contains(F.array(*[body.rlike(p) for p in ALLOWED]), True)
-    tried = F.filter(
-        _spans(text, CANDIDATE, "entropy", keep=lambda body: ~allowed(body)),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
+def _allowed(body: Column) -> Column:
+    return F.array_contains(F.array(*[body.rlike(p) for p in ALLOWED]), True)
+
+
+def _hot(tried: Column, kind: str) -> Column:
+    """Spans from the first to the last hot window of each candidate that has one."""
     ranged = F.transform(tried, lambda s: F.struct(s["start"].alias("start"), s["body"].alias("body"), hot_range(s["body"]).alias("hot")))
     hot = F.filter(ranged, lambda s: s["hot"]["first"].isNotNull())
     return F.transform(
         hot,
         lambda s: F.struct(
             (s["start"] + s["hot"]["first"]).alias("start"),
-            F.lit(KINDS.index("entropy")).alias("kind_no"),
+            F.lit(KINDS.index(kind)).alias("kind_no"),
             (s["start"] + s["hot"]["last"] + WINDOW).alias("stop"),
             F.substring(s["body"], s["hot"]["first"] + 1, s["hot"]["last"] - s["hot"]["first"] + WINDOW).alias("body"),
         ),
     )
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
+def _entropy(text: Column, base: Column) -> Column:
+    tried = F.filter(
+        _spans(text, CANDIDATE, "entropy", keep=lambda body: ~_allowed(body)),
+        lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+    )
+    return _hot(tried, "entropy")
+
+
+def _pieces(text: Column, base: Column, told: Column) -> Column:
+    """Hot spans of what candidates hold besides base spans, names and placeholders."""
+    ordered = F.array_sort(base)
+
+    def free(s: Column) -> Column:  # the parts of a candidate between base spans
+        inside = F.filter(ordered, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        zero = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+        part = lambda a, z: F.array(F.struct(a.alias("start"), z.alias("stop")))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+        return F.aggregate(inside, zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], s["stop"])))
+
+    parts = F.filter(F.flatten(F.transform(_spans(text, CANDIDATE, "entropy"), free)), lambda g: g["stop"] - g["start"] >= WINDOW)
+
+    def cut(g: Column) -> Column:
+        runs = _spans(F.substring(text, g["start"] + 1, g["stop"] - g["start"]), f"[^=]{{{WINDOW},}}", "piece")
+        return F.transform(runs, lambda r: F.struct((g["start"] + r["start"]).alias("start"), r["body"].alias("body")))
+
+    def bare(r: Column) -> Column:
+        body = F.regexp_replace(r["body"], BEFORE, "")
+        return F.when(
+            r["body"].rlike(WORD), F.struct((r["start"] + F.length(r["body"]) - F.length(body)).alias("start"), F.regexp_replace(body, AFTER, "").alias("body"))
+        ).otherwise(r)
+
+    tried = F.filter(F.transform(F.flatten(F.transform(parts, cut)), bare), lambda r: (F.length(r["body"]) >= WINDOW) & ~_allowed(r["body"]))
+    return F.filter(_hot(tried, "piece"), lambda s: ~F.exists(told, lambda e: (e["start"] <= s["start"]) & (s["stop"] <= e["stop"])))
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", pieces: bool = False) -> DataFrame:
     """Adds ``into``: array<struct<start, kind_no, stop, body>>, ordered by start, then kind.
 
     ``kind_no`` indexes KINDS. A column named ``into`` is replaced.
@@ -148,7 +191,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets")
     hexes = _when(text.rlike(HEX), _spans(text, HEX, "hex"))
     found = docs.withColumn("_base", F.concat(assign, access, hexes))
     found = found.withColumn("_more", _when(text.rlike(CANDIDATE_SIGN), _entropy(text, F.col("_base"))))
-    return found.withColumn(into, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_more")
+    if not pieces:
+        return found.withColumn(into, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_more")
+    sign = text.rlike(CANDIDATE_SIGN) & ((F.size("_base") > 0) | text.rlike(WORD) | text.rlike(NAMED_SIGN))
+    found = found.withColumn("_rest", _when(sign, _pieces(text, F.col("_base"), F.col("_more"))))
+    return found.withColumn(into, F.array_sort(F.concat("_base", "_more", "_rest"))).drop("_base", "_more", "_rest")
 
 
 def spans_text(spans: Column) -> Column:
@@ -157,13 +204,13 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", pieces: bool = False) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark``; null texts stay null.
 
     Overlapping spans (an assignment whose value is hex) are replaced once, as a whole.
     """
     columns = docs.columns
-    found = find_secrets(docs, text_col, "_secrets")
+    found = find_secrets(docs, text_col, "_secrets", pieces)
     text = text_or_empty(text_col)
 
     def step(acc: Column, s: Column) -> Column:
