@@ -10,6 +10,10 @@ pseudonyms in every document and no two values of a format share one, so records
 All of it is column expressions inside one scan: no shuffle, no Python, nothing shared between
 rows. Texts without digit or @ are passed through unread.
 
+With ``wide`` cards in groups, national and spaced phone numbers and month-first dates are found
+too; characters that separate digits stay in place. A date is read month-first only where it is no
+day-first one, and such dates are permuted among themselves.
+
 Defined results: a null text stays null, an empty one empty; candidates that fail validation stay
 as they are; rows are kept as they are, repeats and null ids included; other columns stay.
 """
@@ -28,6 +32,11 @@ IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CANDIDATE = "|".join((EMAIL, PHONE, IP, DATE, SSN, "[0-9]+"))
+#: Wide forms. A card's separator is the same throughout; 4-4-4-4 may be followed by a group of a longer card or by another number.
+GROUPED = r"[0-9]{4}([- ])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3}(?![-./ ]?[0-9]))?(?![0-9])|[0-9]{4}([- ])[0-9]{6}\2[0-9]{4,5}(?![0-9])"
+SPACED = r"\+[0-9](?:[-. ()]{0,2}[0-9]){7,14}(?![-./]?[0-9])"
+NATIONAL = r"(?:1[-. ])?(?:\([0-9]{3}\)[-. ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])|0[0-9]{1,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])"
+WIDE = "|".join((EMAIL, PHONE, GROUPED, SPACED, IP, DATE, SSN, NATIONAL, "[0-9]+"))
 #: Dates are permuted within the DAYS = ROWS * COLUMNS days from FIRST_DAY on.
 FIRST_DAY, ROWS, COLUMNS = "1900-01-01", 250, 292
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -80,10 +89,10 @@ def feistel_chars(value: Column, key: str, kind: str) -> Column:
     return F.array_join(F.get(box, F.lit(0))["chars"], "")
 
 
-def feistel_pair(a: Column, b: Column, m: int, n: int, key: str, kind: str) -> tuple[Column, Column]:
+def feistel_pair(a: Column, b: Column, m: int | Column, n: int | Column, key: str, kind: str) -> tuple[Column, Column]:
     """Permutes (a, b) with 0 <= a < m and 0 <= b < n: rounds of modular addition to each in turn."""
 
-    def add(x: Column, y: Column, size: int, turn: int) -> Column:
+    def add(x: Column, y: Column, size: int | Column, turn: int) -> Column:
         return F.pmod(x + F.conv(F.substring(_hash(key, kind, turn, y.cast("string")), 1, 7), 16, 10).cast("int"), F.lit(size))
 
     def turned(turn: int):
@@ -120,27 +129,71 @@ def _day(value: Column) -> Column:
     return F.datediff(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"), F.to_date(F.lit(FIRST_DAY)))
 
 
-def kind_of(value: Column) -> Column:
+def _month_first(value: Column) -> tuple[Column, Column, Column, Column]:
+    """(year, month, day, is one) of a date whose second number is a day that is no month."""
+    month, day, year = (F.substring(value, i, n).cast("int") for i, n in ((1, 2), (4, 2), (7, 4)))
+    real = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).isNotNull()
+    return year, month, day, ~value.contains("-") & (day > 12) & year.between(1900, 2099) & real
+
+
+#: Months of 31 days.
+LONG = (1, 3, 5, 7, 8, 10, 12)
+
+
+def _permuted_month_first(value: Column, key: str) -> Column:
+    """Days up to the 28th change places with all such days of 200 years; later ones keep the day,
+    and the 29th of February the month, so that only days that exist come out."""
+    year, month, day, _ = _month_first(value)
+    y, leap = year - 1900, (day == 29) & (month == 2)
+    longs = F.array(*map(F.lit, LONG))
+    pick = lambda low, feb, most, other: F.when(day <= 28, low).when(leap, feb).when(day == 31, most).otherwise(other)
+    a = pick(y * 12 + month - 1, F.floor(y / 4) - 1, y, y)
+    b = pick(day - 13, F.lit(0), F.array_position(longs, month) - 1, F.when(month == 1, 0).otherwise(month - 2))
+    p, q = feistel_pair(a, b, pick(F.lit(2400), F.lit(49), F.lit(200), F.lit(200)), pick(F.lit(16), F.lit(1), F.lit(7), F.lit(11)), key, "month-first date")
+    new_year = 1900 + pick(F.floor(p / 12), (p + 1) * 4, p, p)
+    new_month = pick(p % 12 + 1, F.lit(2), F.get(longs, q), F.when(q == 0, 1).otherwise(q + 2))
+    new_day = F.when(day <= 28, q + 13).otherwise(day)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(two(new_month), F.substring(value, 3, 1), two(new_day), F.substring(value, 6, 1), new_year.cast("string"))
+
+
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[- ]", "")
+
+
+def _card_of(value: Column) -> Column:
+    """The card at the start of a group of digits: the whole, or its first 4-4-4-4; or null."""
+    first = F.substring(value, 1, 19)
+    valid = lambda v: luhn_sum(_digits(v), False) % 10 == 0
+    return F.when(F.length(_digits(value)).between(13, 19) & valid(value), value).when((F.length(value) > 19) & valid(first), first)
+
+
+def kind_of(value: Column, wide: bool = False) -> Column:
     """The kind of a candidate that passes validation; null otherwise."""
     octets = F.split(value, r"\.")
     real_day = _day(value).between(0, ROWS * COLUMNS - 1)
     whole = lambda p: value.rlike(f"^(?:{p})$")
-    return (
+    kind = (
         F.when(whole(EMAIL), F.lit("email"))
         .when(whole(PHONE), F.lit("phone"))
         .when(whole(IP), F.when(F.forall(octets, lambda o: (o.cast("int") < 256) & (o.cast("int").cast("string") == o)), F.lit("ip")))
-        .when(whole(DATE), F.when(real_day, F.lit("date")))
+        .when(whole(DATE), F.when((real_day | _month_first(value)[3]) if wide else real_day, F.lit("date")))
         .when(whole(SSN), F.when(~value.rlike("^(?:000|666|9..)|-00-|-0000$"), F.lit("ssn")))
         .when(whole("[0-9]{13,19}"), F.when(luhn_sum(value, False) % 10 == 0, F.lit("card")))
     )
+    return kind.when(whole(GROUPED), F.when(_card_of(value).isNotNull(), F.lit("card"))).when(whole(f"{SPACED}|{NATIONAL}"), F.lit("phone")) if wide else kind
 
 
-def pseudonym(value: Column, kind: Column, key: str) -> Column:
+def pseudonym(value: Column, kind: Column, key: str, wide: bool = False) -> Column:
     """The pseudonym of a valid value."""
     at = F.instr(value, "@")
     email = F.concat(feistel_chars(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value)))
     open_at = F.instr(value, "(")
     phone = F.concat(F.substring(value, F.lit(1), open_at - 1), feistel_chars(F.substring(value, open_at, F.length(value)), key, "phone"))
+    if wide:  # the country code stays here too
+        head = F.length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?![0-9])|\+|1(?=[-. ]))?", 0))
+        more = F.concat(F.substring(value, F.lit(1), head), feistel_chars(F.substring(value, head + 1, F.length(value)), key, "phone"))
+        phone = F.when(value.rlike(f"^(?:{PHONE})$"), phone).otherwise(more)
     octet = F.split(value, r"\.")
     number = lambda i: F.get(octet, F.lit(i)).cast("int")
     high, low = feistel_pair(number(0) * 256 + number(1), number(2) * 256 + number(3), 65536, 65536, key, "ip")
@@ -152,8 +205,13 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     date = F.when(F.substring(value, 5, 1) == "-", F.date_format(new_day, "yyyy-MM-dd")).otherwise(
         F.concat(F.date_format(new_day, "dd"), mark, F.date_format(new_day, "MM"), mark, F.date_format(new_day, "yyyy"))
     )
-    body = feistel_chars(F.substring(value, F.lit(1), F.length(value) - 1), key, "card")
-    card = F.get(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(b, True), F.lit(10)).cast("string"))), F.lit(0))
+    if wide:
+        date = F.when(day.between(0, ROWS * COLUMNS - 1), date).otherwise(_permuted_month_first(value, key))
+    own = F.coalesce(_card_of(value), value) if wide else value
+    body = feistel_chars(F.substring(own, F.lit(1), F.length(own) - 1), key, "card")
+    card = F.get(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(_digits(b), True), F.lit(10)).cast("string"))), F.lit(0))
+    if wide:
+        card = F.concat(card, F.substring(value, F.length(own) + 1, F.length(value)))
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", date)
         .when(kind == "ssn", feistel_chars(value, key, "ssn")).when(kind == "card", card).otherwise(value)
@@ -164,18 +222,19 @@ def _count(kinds: Column, kind: str) -> Column:
     return F.size(F.filter(kinds, lambda x: x == kind))
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", into: str = "pii") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", into: str = "pii", wide: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` pseudonymized and ``into`` added: map of kind to number of values.
 
     A column named ``into`` is replaced.
     """
+    pattern = WIDE if wide else CANDIDATE
     text = F.col(text_col).cast("string")
     sign = text.rlike("[0-9@]")
-    found = docs.withColumn("_found", F.when(sign, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    typed = found.withColumn("_typed", F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))))
+    found = docs.withColumn("_found", F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    typed = found.withColumn("_typed", F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v, wide).alias("kind"))))
     kinds = F.transform(F.filter("_typed", lambda t: t["kind"].isNotNull()), lambda t: t["kind"])
-    new = F.transform("_typed", lambda t: pseudonym(t["value"], t["kind"], key))
-    gaps = F.split(text, CANDIDATE, -1)
+    new = F.transform("_typed", lambda t: pseudonym(t["value"], t["kind"], key, wide))
+    gaps = F.split(text, pattern, -1)
     rebuilt = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(F.col("_new"), i), F.lit(""))))), "")
     return (
         typed.withColumn("_new", new)

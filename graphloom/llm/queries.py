@@ -38,7 +38,7 @@ def op4_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymize(_docs(spark, sf_dir), "demonstration key")
+    found = pii.pseudonymize(_docs(spark, sf_dir), "demonstration key", wide=True)
     return found.select("doc_id", "text", *[F.col("pii")[k].alias(f"n_{k}") for k in pii.KINDS])
 
 

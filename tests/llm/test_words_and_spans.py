@@ -228,3 +228,30 @@ def test_pseudonyms_are_permutations(spark):
     a, b = pii.feistel_pair(F.floor(F.col("id") / 73), F.col("id") % 73, 250, 73, "k", "t")
     pairs = spark.range(0, 250 * 73).select(a.alias("a"), b.alias("b")).distinct()
     assert pairs.count() == 250 * 73 and pairs.agg(F.max("a"), F.max("b")).first()[:] == (249, 72)
+
+
+def test_wide_pseudonyms(spark):
+    import datetime
+
+    values = [  # (kind, value, what stays as it is)
+        ("phone", "(555) 123-4567", ""), ("phone", "555-123-4567", ""), ("phone", "555 123 4567", ""), ("phone", "+44 20 7946 0958", "+44"), ("phone", "+4915123456789", "+"), ("phone", "020 7946 0958", ""),
+        ("card", "4111 1111 1111 1111", ""), ("card", "4111-1111-1111-1111", ""), ("card", "3782 822463 10005", ""), ("card", "4111111111111111", ""),
+    ]
+    days = [d.strftime("%m/%d/%Y") for i in range(0, 73049, 61) if (d := datetime.date(1900, 1, 1) + datetime.timedelta(i)).day > 12] + ["12/25/1999", "02/29/2000", "01/31/1900", "12/31/2099", "02/29/1904"]
+    days = sorted(set(days))
+    rest = ["see 4111 1111 1111 1111 123 Main", "4111 1111 1111 1112", "13/25/1999 02/30/1999", "pay 4111 1111 1111 1111 12/27"]
+    texts = [f"a {v}, b" for _, v, _ in values] + days + rest
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.pii) for r in pii.pseudonymize(docs, "k", wide=True).collect()}
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    for i, (kind, value, head) in enumerate(values):
+        new, counts = out[i][0][2:-3], out[i][1]
+        assert counts[kind] == 1 and sum(counts.values()) == 1 and new != value and shape(new) == shape(value) and new.startswith(head), value
+        assert kind != "card" or luhn(re.sub("[- ]", "", new))
+    new = [out[len(values) + i][0] for i in range(len(days))]
+    assert len(set(new)) == len(days) and sum(a != b for a, b in zip(new, days)) > len(days) * 0.9
+    for d in new:
+        assert datetime.datetime.strptime(d, "%m/%d/%Y").day > 12
+    a, b, c, e = (out[len(texts) - 4 + i] for i in range(4))
+    assert a[0].endswith(" 123 Main") and "1111 1111" not in a[0] and a[1]["card"] == 1 and (b[0], c[0]) == (rest[1], rest[2])
+    assert e[0].endswith(" 12/27") and e[1]["card"] == 1
