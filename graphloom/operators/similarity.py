@@ -3,8 +3,9 @@
 Label pairs come from a prefix-filtered token join: words are ordered by how rare they are, and
 two labels that are similar enough share one of the first few of their rarest words, so common
 words never become join keys. Equal labels are merged before the join. Vector links come from
-blocks: vectors are range-dealt by their angle to a pivot, and only blocks whose ranges can hold a
-link meet, each two in a task of their own.
+blocks: equal vectors are merged, the rest are range-dealt by their angle to a pivot and a range is
+cut into cells of bounded size; only cells whose ranges can hold a link meet, each two in a task
+of their own.
 """
 
 from __future__ import annotations
@@ -63,10 +64,35 @@ def vector_links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """(id, embedding) -> (a, b, score): pairs a < b of cosine at least ``least``. Exact.
 
     Angles obey the triangle inequality, so vectors whose angles to a pivot differ by more than
-    the angle of ``least`` cannot be linked: blocks of BLOCK vectors in the order of that angle
-    meet only the blocks near them.
+    the angle of ``least`` cannot be linked: cells of about BLOCK vectors in the order of that
+    angle meet only the cells near them. Copies of a vector count once there; their pairs are
+    made afterwards, in parts of about BLOCK copies.
     """
     known = vectors.filter("id is not null and embedding is not null and size(embedding) > 0")
+    classes = known.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # The id of a class is of its first vector's id and its value: an id may come with several vectors.
+    classes = classes.withColumn("cls", F.concat_ws(":", F.md5(F.to_json(F.struct("embedding"))), F.col("id").cast("string")))
+    parts = F.ceil(F.col("copies") / BLOCK).cast("int").alias("parts")
+    named = known.select(F.col("id").alias("member"), "embedding").join(classes.select("embedding", "cls", "copies", parts), "embedding")
+    members = named.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    unique = classes.select(F.col("cls").alias("id"), "embedding")
+    split = classes.select("cls", parts)
+
+    def spread(links: DataFrame, of: str, into: str) -> DataFrame:
+        """``links`` for each member of the class in column ``of``."""
+        dealt = links.join(split.withColumnRenamed("cls", of), of).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return dealt.join(members.select(F.col("cls").alias(of), "part", F.col("member").alias(into)), [of, "part"]).drop("part", of)
+
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    own = members.filter("copies > 1").withColumn("score", F.pow(norm / F.greatest(norm, F.lit(1e-12)), 2))
+    same = own.filter(F.col("score") >= least)
+    copies = spread(same.select("cls", F.col("member").alias("a"), "score"), "cls", "b").filter("a < b").select("a", "b", "score")
+    links = spread(spread(_class_links(unique, least), "a", "m"), "b", "n").filter("m <> n")
+    return links.select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "score").unionByName(copies)
+
+
+def _class_links(known: DataFrame, least: float) -> DataFrame:
+    """The links of distinct vectors with string ids."""
     first = known.orderBy("id").limit(1).collect()
     if not first:
         return known.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score")).limit(0)
@@ -79,7 +105,14 @@ def vector_links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     reach = math.acos(min(1.0, least)) + 1e-9
     bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
     block_of = lambda angle: F.size(F.filter(bounds, lambda c: c <= angle))
-    dealt = placed.withColumn("block", block_of(F.col("angle"))).withColumn("other", F.explode(F.sequence(block_of(F.col("angle") - reach), block_of(F.col("angle") + reach))))
+    # A range holds as many cells as its rows need, so cells stay small however many rows there are.
+    held = {r["block"]: r["n"] for r in placed.groupBy(block_of(F.col("angle")).alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = [max(1, math.ceil(held.get(i, 0) / BLOCK)) for i in range(len(cuts) + 1)]
+    starts = F.array(*[F.lit(sum(cells[:i])) for i in range(len(cells) + 1)])
+    start = lambda block: F.get(starts, block)
+    mine = block_of(F.col("angle"))
+    cell = start(mine) + F.pmod(F.xxhash64("id"), start(mine + 1) - start(mine)).cast("int")
+    dealt = placed.withColumn("block", cell).withColumn("other", F.explode(F.sequence(start(block_of(F.col("angle") - reach)), start(block_of(F.col("angle") + reach) + 1) - 1)))
     met = dealt.select("id", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def pair(key: tuple, batch: pa.Table) -> pa.Table:
@@ -91,10 +124,9 @@ def vector_links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         score = unit[left] @ unit[right].T
         a, b = ids[left][:, None], ids[right][None, :]
         x, y = np.nonzero((score >= least) & ((a != b) if i != j else (a < b)))
-        one, two = ids[left][x], ids[right][y]
-        return pa.table({"a": np.minimum(one, two).astype(np.int64), "b": np.maximum(one, two).astype(np.int64), "score": score[x, y]})
+        return pa.table({"a": pa.array(ids[left][x], pa.string()), "b": pa.array(ids[right][y], pa.string()), "score": score[x, y]})
 
-    return met.groupBy("i", "j").applyInArrow(pair, "a long, b long, score double").select("a", "b", "score")
+    return met.groupBy("i", "j").applyInArrow(pair, "a string, b string, score double").select("a", "b", "score")
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:

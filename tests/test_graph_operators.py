@@ -243,3 +243,21 @@ def test_whole_graph_dump_and_fingerprint(spark):
     sizes = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("region", "nation", "customer", "supplier", "part", "orders")}
     assert len(got) == sum(n * sizes[t] for t, n in (("region", 2), ("nation", 3), ("customer", 5), ("supplier", 3), ("part", 5), ("orders", 4)))
     assert [(r.g, r.n) for r in registry.queries()["graph_fingerprint"](spark, sf).collect()] == [("http://example.org/kg/abox", len(got))]
+
+
+def test_vector_links_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "MAX_BLOCKS", 2)
+    rng = random.Random(9)
+    hot = [rng.gauss(0, 1) for _ in range(4)]
+    data = [(i, hot if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, [0.0] * 4)]
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    cos = lambda x, y: dot(x, y) / max((dot(x, x) * dot(y, y)) ** 0.5, 1e-24)
+    want = sorted((a, b, round(cos(x, y), 6)) for (a, x), (b, y) in itertools.combinations(data, 2) if cos(x, y) >= 0.35)
+    frame = spark.createDataFrame(data, "id long, embedding array<double>")
+    assert sorted((r.a, r.b, round(r.score, 6)) for r in similarity.vector_links(frame, 0.35).collect()) == want
+    sizes = []
+    links = similarity._class_links
+    monkeypatch.setattr(similarity, "_class_links", lambda known, least: sizes.append(known.count()) or links(known, least))
+    similarity.vector_links(frame, 0.35).count()
+    assert sizes == [42]
