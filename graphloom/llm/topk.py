@@ -15,12 +15,17 @@ are long in the shard are kept as rows of a matrix with their maximum in every b
 block is scored for a query only if the largest sum of its short lists and the block maxima of
 the query's long lists together reach the threshold (the WAND condition, with block maxima as
 bounds); the queries that are left at a block are scored there by one matrix product. Documents
-that reach the threshold are scored again in doubles, term by term in one order. Threshold and
-bounds carry a slack above rounding errors, so nothing that belongs to the top k is pruned.
+that reach the threshold are scored again in doubles, term by term in one order. Scores are ranked
+as rounded to six digits, so threshold and bounds give way by that rounding step and, relative to
+the score, by the worst error of single-precision sums of so many terms: nothing that belongs to
+the top k, ties included, is pruned.
+
+Each block's results are written before the next block begins, and what was broadcast for it is
+destroyed then, so the driver and the executors hold one block at a time.
 
 Defined results: null or empty texts and queries match nothing; rows without doc_id are left out;
-scores are rounded to six digits and ties go to the smaller doc_id; rows that repeat a doc_id are
-separate documents; fewer than k matches give fewer rows; other columns are ignored.
+scores are rounded to six digits and ties go to the smaller doc_id; document rows that repeat a
+doc_id are separate documents, query rows that repeat a query_id are one query of all their words; fewer than k matches give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,10 +53,19 @@ DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 12
 ORDERED_SHARDS = 4
 #: One shard in so many is searched first; its k-th best scores are the others' thresholds.
 FIRST_PART = 8
-#: Above the error of sums of single-precision products, relative to a score.
-SLACK = 2e-5
+#: Above the two roundings to six digits that a threshold and a score have.
+STEP = 1.1e-6
+#: Bytes of a row group of the index, which bounds what a task reads ahead.
+ROW_GROUP = 16 << 20
 #: Bytes of words lower-cased, all others as spaces.
 _CELLS = bytes(b if re.match(ALNUM_WORD.encode(), bytes([b])) else b + 32 if chr(b) in UPPER else 32 for b in range(256))
+
+
+def slack(terms: np.ndarray) -> np.ndarray:
+    """Worst error of single-precision sums of so many products, relative to the sum."""
+    return (terms + 8.0) * 2.0**-23
+
+
 RESULT = "query_id long, doc_id long, score double"
 SHARD = "n_docs long, n_words long, ids binary, lengths binary, terms binary, bounds binary, docs binary, tfs binary"
 
@@ -194,6 +208,7 @@ class _Lists:
         threshold so far, 0 where there is none.
         """
         n, width = len(least), self.blocks * DOC_BLOCK
+        error = slack(np.bincount(query, minlength=n))
         row = self.row_of[terms]
         short = (row < 0) & (self.size[terms] > 0)
         rows, sizes = _ranges(self.begin[terms[short]], self.size[terms[short]]), self.size[terms[short]]
@@ -202,7 +217,8 @@ class _Lists:
         heavy = np.zeros((n, len(self.matrix)), np.float32)
         heavy[query[row >= 0], row[row >= 0]] = weights[row >= 0]
         bound = score.reshape(n, self.blocks, DOC_BLOCK).max(axis=2) + heavy @ self.block_max
-        alive = bound >= (least * (1 - SLACK))[:, None]
+        floor = least * (1 - error) - STEP
+        alive = bound >= floor[:, None]
         for b in range(self.blocks):
             at = slice(b * DOC_BLOCK, (b + 1) * DOC_BLOCK)
             some = np.nonzero(alive[:, b])[0]
@@ -210,10 +226,9 @@ class _Lists:
                 score[:, at] += heavy @ self.matrix[:, at]
             elif len(some):
                 score[some, at] += heavy[some] @ self.matrix[:, at]
-        floor = least * (1 - SLACK)
         many = np.nonzero((least <= 0) | ((score >= floor[:, None]).sum(axis=1) > 4 * k))[0]
         if len(many) and width >= k:  # no use in scoring more than can be the best k here
-            floor[many] = np.maximum(floor[many], np.partition(score[many], width - k, axis=1)[:, width - k] * (1 - SLACK))
+            floor[many] = np.maximum(floor[many], np.partition(score[many], width - k, axis=1)[:, width - k] * (1 - 2 * error[many]) - STEP)
         found = np.nonzero(score >= np.maximum(floor, 1e-30)[:, None])
         inside = (found[1] < self.n) & alive[found[0], found[1] // DOC_BLOCK]
         return found[0][inside], found[1][inside]
@@ -258,7 +273,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(doc_id, text), (query_id, text) -> query_id, rank, doc_id, score: the k best of each query."""
     spark = docs.sparkSession
     at = fresh_dir(spark, "index")
-    build_index(docs).write.parquet(f"{at}/shards")
+    build_index(docs).write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/shards")
     shards = spark.read.parquet(f"{at}/shards")
     facts = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
     asked = queries.filter("query_id is not null").select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(_query_terms, "query_id long, term long, qtf long")
@@ -268,20 +283,25 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = spark.read.parquet(f"{at}/queries")
     blocks = max(1, math.ceil(asked.count() / BLOCK_POSTINGS))
     first = F.pmod(F.xxhash64("ids"), F.lit(FIRST_PART)) == 0
+
+    def written(part: DataFrame, block: _Block, known: np.ndarray, name: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast((block, known))
+        part.mapInArrow(_search_task(shared, k), RESULT).write.parquet(f"{at}/{name}")
+        shared.destroy()
+        return spark.read.schema(RESULT).parquet(f"{at}/{name}")
+
     found = None
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # about BLOCK_POSTINGS rows
         if not rows.num_rows:
             continue
         block = _Block(rows, facts["n"], max(facts["words"] / facts["n"], 1e-9))
-        search_in = lambda part, known: part.mapInArrow(_search_task(spark.sparkContext.broadcast((block, known)), k), RESULT)  # noqa: E731, B023
-        search_in(shards.filter(first), np.zeros(len(block.queries))).write.parquet(f"{at}/first-{i}")
-        seen = spark.read.schema(RESULT).parquet(f"{at}/first-{i}")
+        known = np.zeros(len(block.queries))
+        seen = written(shards.filter(first), block, known, f"first-{i}")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
         kth = seen.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").toArrow()  # at most a row for each query of the block
-        known = np.zeros(len(block.queries))
         known[np.searchsorted(block.queries, kth["query_id"].to_numpy())] = kth["score"].to_numpy()
-        part = seen.unionByName(search_in(shards.filter(~first), known))
+        part = seen.unionByName(written(shards.filter(~first), block, known, f"others-{i}"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")

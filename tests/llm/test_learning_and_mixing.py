@@ -40,6 +40,60 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_score(model, text):
+    """The classifier with plain loops over one text: every window, every filter, one at a time."""
+    words = toxicity.words_of(text)
+    vectors = [model.table[toxicity.features([w], model.settings.buckets)[0]].sum(axis=0) for w in words] or [np.zeros(model.settings.dims)]
+    best = []
+    for width, kernel in sorted(model.kernels.items()):
+        for f in range(model.settings.filters):
+            sums = [sum(float(vectors[i + j] @ kernel[j][:, f]) for j in range(width) if i + j < len(vectors)) for i in range(len(vectors))]
+            best.append(max(0.0, max(0.0, *sums) + float(model.biases[width][f])))
+    raw = sum(b * float(o) for b, o in zip(best, model.out)) + model.out_bias - model.shift
+    return 1 / (1 + math.exp(-max(-30, min(30, raw + math.log(0.7 / 0.3)))))
+
+
+def test_toxicity_scores_against_plain_loops(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i:c}{i}x" for i in range(97, 122)] + ["idiot", "scum", "kind", "fine"]
+    texts = [" ".join(rng.choices(words, k=rng.choice((0, 1, 2, 3, 30)))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, None, "", "1 2 3"])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int("idiot" in t or "scum" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, toxicity.Settings(least_steps=60))
+    want = {r.doc_id: plain_score(model, r.text) for r in docs.collect()}
+    for parts in (1, 7):  # neighbours in a batch do not matter
+        got = {r.doc_id: r.score for r in toxicity.score(docs.repartition(parts), model, "doc_id").collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    # a text of several MB in pieces; the cut falls inside a window that decides
+    long = toxicity._Scorer(model)
+    text = " ".join(rng.choices(["kind", "fine"], k=700_000)) + " idiot scum"
+    assert len(text) > 3_000_000
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 700_001)
+    one = long.long(text)
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 1000)
+    assert abs(long.long(text) - one)[0] < 1e-6 and abs(one[0] - plain_score(model, "kind fine fine kind kind idiot scum")) < 0.2
+    odd = " ".join(rng.choices(words, k=997))
+    for size in (1, 3, 994, 995, 996, 997, 998, 5000):
+        monkeypatch.setattr(toxicity, "SLICE_WORDS", size)
+        assert abs(long.long(odd)[0] - plain_score(model, odd)) < 1e-4
+        ids = toxicity.features(toxicity.words_of(odd), model.settings.buckets)
+        assert abs(model.scores(toxicity._raw_of(model, ids))[0] - plain_score(model, odd)) < 1e-4
+
+
+def test_toxicity_training_rows(spark):
+    rows = [(1, "b", "en"), (1, "a", "en"), (1, "a", "fr"), (2, None, None), (3, "x " * 9, "en"), (6, "y", "en"), (None, "z", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (6, None), (None, 1), (99, 0)], "doc_id long, toxic int")
+    settings = toxicity.Settings()
+    held = {r.doc_id for r in labels.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).filter("h").collect()}
+    sample, _ = toxicity.training_rows(docs.repartition(3), labels, settings)
+    got = {r.doc_id: (r.toxic, r.n) for r in sample.collect()}
+    assert got == {i: v for i, v in {1: (1, 1), 2: (0, 0)}.items() if i not in held}  # 3 has both labels
+    many = spark.createDataFrame([(i, "w " * 10, "en") for i in range(90)], "doc_id long, text string, lang string")
+    few = toxicity.training_rows(many, many.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), toxicity.Settings(sample_words=100))[0]
+    assert few.count() == 10
+
+
 def brute_bm25(docs, queries, k):
     tf = [(d, Counter(w.lower() for w in (t or "").split())) for d, t in docs if d is not None]
     n, avg = len(tf), max(sum(sum(c.values()) for _, c in tf) / max(1, len(tf)), 1e-9)
@@ -56,6 +110,21 @@ def brute_bm25(docs, queries, k):
     return out
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_search_of_close_scores(spark, seed, monkeypatch):
+    """Every document holds the one term, lengths lie close together and scores tie once rounded."""
+    monkeypatch.setattr(topk, "SHARD_DOCS", 300)
+    rng = random.Random(seed)
+    docs = [(d, "a " + "b%d " % d * (rng.randint(494, 514))) for d in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(7, "a"), (8, "a b3"), (9, "zzz")], "query_id long, text string")
+    want = brute_bm25(docs, asked.collect(), 10)
+    got = defaultdict(list)
+    for r in topk.search(frame, asked).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.doc_id, r.score))
+    assert {q: [d for d, _ in got[q]] for q in (7, 8, 9)} == {q: [d for d, _ in want[q]] for q in (7, 8, 9)}
+
+
 def test_search(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_DOCS", 16)
     rng = random.Random(2)
