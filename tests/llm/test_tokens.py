@@ -1,3 +1,6 @@
+import json
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -27,6 +30,41 @@ def test_overlapping_pairs_and_long_runs():
     assert COUNT(texts) == lib(texts)
 
 
+def test_every_code_point():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}'s a{c} 1{c}  {c} {c}" for c in map(chr, codes)]
+    for at in range(0, len(texts), 200_000):
+        mine, theirs = COUNT(texts[at : at + 200_000]), lib(texts[at : at + 200_000])
+        assert mine == theirs, [hex(codes[at + i]) for i, (a, b) in enumerate(zip(mine, theirs)) if a != b][:9]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ab", "a", "aé中", "lo"])
+def test_long_pre_tokens(letters, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), n)) for n in (1, 2, 3, 50, 1500, 20_000)]
+    assert COUNT(texts) == lib(texts)
+    monkeypatch.setattr(tokens, "LONG_BYTES", 0)  # the same by the other form
+    short = ["".join(rng.choice(list(letters), n)) for n in range(1, 60)] + ["hello", "the", "  "]
+    assert tokens._counter(PATH)(short) == lib(short)
+
+
+def test_a_line_of_a_megabyte():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 1_000_000))
+    begin = time.monotonic()
+    assert COUNT([text]) == lib([text])
+    assert time.monotonic() - begin < 60
+
+
+def test_other_settings_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        at = tmp_path / "changed.json"
+        at.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokens.BpeRanks(str(at))
+
+
 def test_frame(spark):
     rows = [(1, "héllo  world", "x"), (1, "héllo  world", "x"), (2, None, None), (None, "", "y"), (3, "word " * 600, "n_tokens")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -1,6 +1,8 @@
 """Decontamination, repeated sequences, secrets and pseudonyms against brute force."""
 
+import contextlib
 import hashlib
+import io
 import math
 import random
 import re
@@ -225,8 +227,8 @@ def test_pseudonyms_are_permutations(spark):
     three = n.select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert three.select(pii.feistel_chars(F.col("v"), "k", "t").alias("p")).distinct().count() == 1000
     assert three.filter(pii.feistel_chars(F.col("v"), "k", "t") != pii.feistel_chars(F.col("v"), "other", "t")).count() > 900
-    a, b = pii.feistel_pair(F.floor(F.col("id") / 73), F.col("id") % 73, 250, 73, "k", "t")
-    pairs = spark.range(0, 250 * 73).select(a.alias("a"), b.alias("b")).distinct()
+    pair = pii.feistel_pair(F.floor(F.col("id") / 73), F.col("id") % 73, 250, 73, "k", "t", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = spark.range(0, 250 * 73).select(pair.alias("p")).select("p.a", "p.b").distinct()
     assert pairs.count() == 250 * 73 and pairs.agg(F.max("a"), F.max("b")).first()[:] == (249, 72)
 
 
@@ -239,10 +241,10 @@ def test_wide_pseudonyms(spark):
     ]
     days = [d.strftime("%m/%d/%Y") for i in range(0, 73049, 61) if (d := datetime.date(1900, 1, 1) + datetime.timedelta(i)).day > 12] + ["12/25/1999", "02/29/2000", "01/31/1900", "12/31/2099", "02/29/1904"]
     days = sorted(set(days))
-    rest = ["see 4111 1111 1111 1111 123 Main", "4111 1111 1111 1112", "13/25/1999 02/30/1999", "pay 4111 1111 1111 1111 12/27"]
+    rest = ["see 4111 1111 1111 1111 123 Main", "4111 1111 1111 1112", "13/25/1999 02/30/1999 00/12/0000", "pay 4111 1111 1111 1111 12/27"]
     texts = [f"a {v}, b" for _, v, _ in values] + days + rest
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    out = {r.doc_id: (r.text, r.pii) for r in pii.pseudonymize(docs, "k", wide=True).collect()}
+    out = {r.doc_id: (r.text, r.pii) for r in pii.pseudonymize(docs, "k").collect()}
     shape = lambda t: re.sub("[0-9]", "9", t)
     for i, (kind, value, head) in enumerate(values):
         new, counts = out[i][0][2:-3], out[i][1]
@@ -255,3 +257,43 @@ def test_wide_pseudonyms(spark):
     a, b, c, e = (out[len(texts) - 4 + i] for i in range(4))
     assert a[0].endswith(" 123 Main") and "1111 1111" not in a[0] and a[1]["card"] == 1 and (b[0], c[0]) == (rest[1], rest[2])
     assert e[0].endswith(" 12/27") and e[1]["card"] == 1
+
+
+def test_pseudonyms_leave_parts_of_numbers(spark):
+    kept = [
+        "123-45-67890", "1.2.3.2557", "1.2.3.4.5", "5-123-45-6789", "123-45-6789-1", "2001-09-091", "1-2001-09-09", "01.02.2001.7", "900-12-3456", "0000-01-01", "9999-13-01", "30/02/2001",
+        "12345678901234567890", "555-123-45678", "1-4111-1111-1111-1111",
+    ]
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(kept)], "doc_id long, text string")
+    out = pii.pseudonymize(docs, "k")
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(kept))
+    for mode in ("extended", "formatted"):
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            pii.pseudonymize(docs, "the very key").explain(mode)
+        assert "the very key" not in shown.getvalue()
+    clash = docs.selectExpr("doc_id", "text", "1 as _found", "2 as _new", "3 as _key", "4 as pii")
+    assert pii.pseudonymize(clash, "k").columns == ["doc_id", "text", "_found", "_new", "_key", "pii"]
+    assert pii.pseudonymize(clash.limit(0), "k").count() == 0
+
+
+def test_pseudonyms_are_valid_and_different(spark):
+    import datetime
+
+    rng = random.Random(9)
+    ssns = sorted({f"{a:03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for a in range(1, 900) if a != 666 for _ in range(4)} | {"001-01-0001", "899-99-9999", "665-99-9999", "667-01-0001"})
+    last = datetime.date.max.toordinal()
+    days = sorted({datetime.date.fromordinal(n).isoformat() for n in [1, last, *range(693_590, 693_600), *range(766_590, 766_600), *rng.sample(range(1, last), 3000)]})
+    firsts = sorted({f"{d.month:02}/{d.day:02}/{d.year:04}" for n in [*rng.sample(range(1, last), 3000), 1, last] if (d := datetime.date.fromordinal(n)).day > 12} | {f"02/29/{y:04}" for y in range(4, 9999, 4) if y % 100 or y % 400 == 0})
+    docs = spark.createDataFrame([("ssn", v) for v in ssns] + [("day", v) for v in days] + [("first", v) for v in firsts], "kind string, text string").withColumn("old", F.col("text"))
+    out = pii.pseudonymize(docs, "k").collect()
+    new = {k: [r.text for r in out if r.kind == k] for k in ("ssn", "day", "first")}
+    assert all(len(set(v)) == len(v) for v in new.values())
+    assert [len(v) for v in new.values()] == [len(ssns), len(days), len(firsts)]
+    valid = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+    assert all(valid.fullmatch(v) for v in new["ssn"]) and sum(r.text != r.old for r in out) > 0.98 * len(out)
+    for v in new["day"]:
+        datetime.date.fromisoformat(v)
+    assert all(datetime.date(int(v[6:]), int(v[:2]), int(v[3:5])).day > 12 for v in new["first"])
+    near = lambda v: "1900" <= v[:4] <= "2098"
+    assert all(near(r.text) for r in out if r.kind == "day" and near(r.old))
