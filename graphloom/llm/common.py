@@ -47,21 +47,52 @@ def slots_of(keys: DataFrame, key: str) -> DataFrame:
     return F.broadcast(keys.select(slot(F.col(key)).alias("_slot")).distinct())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """``docs`` without the rows whose (doc_id, ``key``) are in ``gone`` (g_id, g_key).
 
     Only rows whose slot holds a key that goes are shuffled; the texts of the others stay where
     they are. With more keys than slots this becomes a plain anti-join.
     """
-    marked = docs.withColumn("_key", key)
-    slots = slots_of(gone, "g_key")
-    at = slot(F.col("_key")) == F.col("_slot")
+    name, keys = free_name(docs, "_key"), gone.select(F.col("g_id").alias(free_name(docs, "g_id")), F.col("g_key").alias(free_name(docs, "g_key")))
+    marked = docs.withColumn(name, key)
+    slots = slots_of(gone, "g_key").withColumnRenamed("_slot", free_name(docs, "_slot"))
+    at = slot(F.col(name)) == F.col(slots.columns[0])
     safe = marked.join(slots, at, "left_anti")
     maybe = marked.join(slots, at, "left_semi")
-    rest = maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left_anti")
+    rest = maybe.join(keys, F.col("doc_id").eqNullSafe(F.col(keys.columns[0])) & (F.col(name) == F.col(keys.columns[1])), "left_anti")
     return safe.unionByName(rest).select(*docs.columns)
 
 
+#: A key of so many rows is spread over SALTS tasks.
+HOT_ROWS, SALTS = 2000, 16
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, one_key: str, n_rows: str) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each ``one_key`` once and how many rows it meets.
+
+    Keys that meet HOT_ROWS rows or more are repeated SALTS times in ``one``, and their rows dealt
+    over the copies, so that no task takes a whole hot group. What marks them is the slots of the
+    hot keys, a broadcast of at most SLOTS rows. ``many`` must be materialised, since rows are dealt
+    by their place. Adds columns _slot and _salt.
+    """
+    one = cut(one)
+    slots = F.broadcast(one.filter(F.col(n_rows) >= HOT_ROWS).select(slot(F.xxhash64(one_key)).alias("_slot")).distinct())
+    mark = lambda df, k: df.join(slots, slot(F.xxhash64(k)) == F.col("_slot"), "left")
+    spread = F.when(F.col("_slot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copies = mark(one, one_key).withColumn("_o_salt", F.explode(spread)).drop("_slot", n_rows)
+    salt = F.when(F.col("_slot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).cast("int")
+    dealt = mark(many, key).withColumn("_salt", salt)
+    return dealt.join(copies, (F.col(key) == F.col(one_key)) & (F.col("_salt") == F.col("_o_salt"))).drop(one_key, "_o_salt")
+
+
 def row_key(*names: str) -> Column:
     """A 64-bit key for the content of a row, used next to doc_id where doc_id may repeat."""
     return F.xxhash64(*names)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bound
+from graphloom.llm.common import bound, free_name
 
 ROUNDS = 6
 KINDS = ("email", "phone", "ip", "date", "ssn", "card")
@@ -287,20 +287,13 @@ def _count(kinds: Column, kind: str) -> Column:
     return F.size(F.filter(kinds, lambda x: x == kind))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with ``text_col`` pseudonymized and ``into`` added: map of kind to number of values.
 
     A column named ``into`` is replaced.
     """
     columns = [c for c in docs.columns if c != into]
-    found, typed, new, secret = (_free(docs, f"_{n}") for n in ("found", "typed", "new", "key"))
+    found, typed, new, secret = (free_name(docs, f"_{n}") for n in ("found", "typed", "new", "key"))
     text = F.col(text_col).cast("string")
     key_row = docs.sparkSession.createDataFrame([(key,)], "key string")
     sign = text.rlike("[0-9@]")

@@ -8,11 +8,13 @@ codeword) or six. Two segments at a distance of at most two have a common neighb
 common index, so every pair to be linked meets under the index pair of some two segments.
 
 Equal fingerprints are merged before any key is made, so groups of copies cost one fingerprint.
-Under a key the fingerprints are verified exactly, and only a spanning forest of the links leaves
-the task: linear in the bucket, whatever the number of links. Buckets above ``BUCKET_ROWS`` are
+Under a key the fingerprints are verified exactly, each with each (some 84 keys a fingerprint over
+50 million keys, so a key holds few of up to 10^8 fingerprints), and only a spanning forest of the
+links leaves the task. Buckets above ``BUCKET_ROWS`` are
 cut into chunks and every two chunks meet in a task of their own, which keeps memory bounded and
 loses no link. Components come from the forest edges by rounds of minimum labels, each round
-checkpointed in the shared folder.
+checkpointed in the shared folder. Joins of many rows with one (all copies of a text, all members
+of a large component) spread the keys that have many rows over several tasks.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other;
 a text of fewer than four words has one shingle; rows that repeat a doc_id are kept and linked
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, UPPER, cut, fresh_dir, sorted_groups, without
+from graphloom.llm.common import LOWER, UPPER, cut, fresh_dir, row_key, sorted_groups, spread_join, without
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -63,14 +65,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, fp long): the fingerprint's bits as a signed long."""
+    """documents -> (doc_id, doc_key, fp long): the id, a key of id and text, and the fingerprint's
+    bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "doc_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_key long, fp long")
 
 
 @cache
@@ -231,8 +234,10 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): connected components by alternating large and small stars.
 
+    One row for each node that is not its component's smallest, the root.
+
     Every round takes two aggregations over at most the edges; edges shrink to stars around the
-    smallest node of each component. Hub nodes only meet partial minima, never a list.
+    smallest node of each component. A hub's edges meet its minimum in a join that Spark may split.
     """
     current, last = cut(edges.filter("a <> b").select("a", "b")), None
     while True:
@@ -251,22 +256,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, fp, component_id), one row for each row of ``docs``."""
+    """documents -> (doc_id, doc_key, fp, root, component_id), one row for each row of ``docs``.
+
+    ``root`` is the component's smallest fingerprint.
+    """
     per_doc = cut(fingerprints(docs))
-    distinct = per_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct.select("fp")))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"].alias("c_fp"), F.coalesce("root", distinct["fp"]).alias("c_root"), "least_id")
-    least = classes.groupBy("c_root").agg(F.min("least_id").alias("component_id"))
-    of_fp = classes.join(least, "c_root").select("c_fp", "component_id")
-    return per_doc.join(of_fp, per_doc["fp"] == of_fp["c_fp"]).select("doc_id", "fp", "component_id")
+    distinct = cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")))
+    below = components(links(distinct.select("fp")))
+    roots = below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
+    linked = cut(roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "least_id"))
+    least = linked.groupBy(F.col("root").alias("l_root")).agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+    of_node = spread_join(linked, least, "root", "l_root", "n_rows").select("node", "root", "component_id")
+    joined = distinct.join(of_node, distinct["fp"] == of_node["node"], "left")
+    component = F.when(F.col("node").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
+    of_fp = joined.select(F.col("fp").alias("c_fp"), F.coalesce("root", "fp").alias("root"), component.alias("component_id"), "n_rows")
+    return spread_join(per_doc, of_fp, "fp", "c_fp", "n_rows").select("doc_id", "doc_key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: the row of each group's smallest doc_id stays.
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows without a doc_id stay (no order decides among them); of rows that repeat the smallest
-    doc_id all stay.
+    Of rows that share that id the one with the smallest key of id and text stays, of equal texts
+    the one with the smallest hash of all columns. Rows without a doc_id come after all others; of
+    a group of such rows one stays as well. Rows are judged each by its own text.
     """
-    at = fresh_dir(docs.sparkSession, "copies")
-    near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("g_id"), F.xxhash64("doc_id").alias("g_key")).distinct().write.parquet(at)
-    return without(docs, docs.sparkSession.read.parquet(at), F.xxhash64("doc_id"))
+    spark, at = docs.sparkSession, fresh_dir(docs.sparkSession, "copies")
+    found = cut(near_duplicates(docs))
+    first = found.groupBy(F.col("root").alias("f_root")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key")).alias("first"), F.count(F.lit(1)).alias("n_rows")
+    )
+    several = first.filter("n_rows > 1").select("f_root", F.col("first.doc_key").alias("first_key"), "n_rows")
+    seen = spread_join(found, several, "root", "f_root", "n_rows").groupBy("doc_id", "doc_key").agg(F.max(F.col("doc_key") == F.col("first_key")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    seen.filter("n > 1 or not stays").select(F.col("doc_id").alias("g_id"), F.col("doc_key").alias("g_key"), "stays").write.parquet(at)
+    gone, key = spark.read.parquet(at), row_key("doc_id", "text")
+    others = without(docs, gone, key)
+    twice = gone.filter("stays").select("g_key")
+    if not twice.limit(1).count():
+        return others
+    again = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(*docs.columns).alias("hash")).join(twice, F.col("key") == F.col("g_key"), "left_semi")
+    return others.unionByName(again.groupBy("key").agg(F.min_by("row", "hash").alias("row")).select("row.*"))

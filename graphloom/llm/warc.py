@@ -3,8 +3,8 @@
 Layout of a file: a leading skippable frame that holds the compression dictionary, then one
 Zstandard frame for each record. Records with equal payloads of at least ``REVISIT_BYTES`` are
 written in full once (the largest page_id), the others as ``revisit`` records that refer to it;
-which record is which comes from one pre-aggregated grouping by digest and a join that Spark may
-split, so a payload that a third of the pages share stays spread out.
+which record is which comes from one pre-aggregated grouping by digest. Only pages whose digest's
+slot holds a repeated one travel, for a join that Spark may split; all others stay where they are.
 
 Files are written below a folder that all executors share (any file system that pyarrow opens,
 among them file, s3, gs and hdfs), under a temporary name that is moved into place when
@@ -31,15 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_dir
+from graphloom.llm.common import fresh_dir, slot, slots_of
 
 REVISIT_BYTES = 1000
 #: Magic number of the skippable frame that carries the dictionary (fixed by the format).
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = (0xFD2FB528).to_bytes(4, "little")
 DICTIONARY_BYTES = 65_536
-#: Pages whose payloads train a file's dictionary.
-DICTIONARY_PAGES = 200
+#: Pages that are held at a time; the first of them train their file's dictionary by SAMPLE_BYTES of each.
+BATCH_PAGES, SAMPLE_BYTES = 200, 4096
 LEVEL = 3
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,8 +58,14 @@ def with_types(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    firsts = full.filter(large).groupBy(F.col("digest").alias("f_digest")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = full.join(firsts, large & (F.col("digest") == F.col("f_digest")), "left")
+    at = fresh_dir(pages.sparkSession, "repeated")
+    repeated = full.filter(large).groupBy(F.col("digest").alias("f_digest")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated.select("f_digest", "first", F.xxhash64("f_digest").alias("f_key")).write.parquet(at)
+    firsts = pages.sparkSession.read.parquet(at)
+    slots, in_slot = slots_of(firsts, "f_key"), large & (slot(F.xxhash64("digest")) == F.col("_slot"))
+    alone = full.join(slots, in_slot, "left_anti").withColumn("first", F.lit(None).cast("long"))
+    met = full.join(slots, in_slot, "left_semi").join(firsts, F.col("digest") == F.col("f_digest"), "left")
+    joined = met.select("page_id", "url", "payload", "digest", "first").unionByName(alone)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
@@ -129,7 +135,7 @@ def parse_record(raw: bytes) -> dict:
 
 def dictionary_of(samples: list[bytes]) -> bytes:
     """A trained dictionary, or plain content where there is too little to train on."""
-    parts = [s[:4096] for s in samples if s]
+    parts = [s[:SAMPLE_BYTES] for s in samples if s]
     if len(parts) >= 32:
         try:
             return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
@@ -150,11 +156,10 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(folder)
         final = f"{root}/part-{task.partitionId():06d}.warc.zst"
         out, press, n, temp = None, None, 0, f"{final}.{task.taskAttemptId()}.tmp"
-        for batch in batches:
-            rows = batch.to_pylist()
-            if rows and out is None:
+        for rows in (batch.slice(at, BATCH_PAGES).to_pylist() for batch in batches for at in range(0, batch.num_rows, BATCH_PAGES)):
+            if out is None:
                 fs.create_dir(root, recursive=True)
-                words = dictionary_of([record_bytes(r["page_id"], r["url"], r["payload"], r["payload_bytes"], r["digest"], r["record_type"], r["refers_to"]) for r in rows[:DICTIONARY_PAGES]])
+                words = dictionary_of([record_bytes(r["page_id"], r["url"], r["payload"], r["payload_bytes"], r["digest"], r["record_type"], r["refers_to"]) for r in rows])
                 press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=True)
                 out = fs.open_output_stream(temp, compression=None)
                 out.write(skippable(words))
@@ -231,7 +236,8 @@ def read_archives(spark: SparkSession, files: DataFrame, payloads: bool = True)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("file", "n_records", "uri").repartition("file").mapInArrow(run, RECORDS)
+    n_files = max(1, files.count())  # a number keeps Spark from putting the short list into one task
+    return files.select("file", "n_records", "uri").repartition(n_files, "file").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:

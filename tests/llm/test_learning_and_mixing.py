@@ -1,7 +1,9 @@
 """Classifier by held-out accuracy, search and mixing against brute force, the pipeline stage by stage."""
 
+import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, mixing, secrets, simhash, topk, toxicity
+from graphloom.llm import mixing, secrets, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -183,6 +185,78 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def brute_mix(rows, seed=11):
+    """rows: (key, doc_id, source, text); the copies of each row of the mix, by plain sorting."""
+    sizes = {k: len((t or "").split()) for k, _, _, t in rows}
+    of = defaultdict(list)
+    for k, d, s, t in rows:
+        order = hashlib.md5(f"{seed}:{d if d is not None else 'text:' + t if t is not None else ''}".encode()).hexdigest()
+        of[s].append((order, sizes[k], k))
+    total = {s: sum(x[1] for x in v) for s, v in of.items()}
+    ranked = sorted((s for s in total if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in total if s is None]
+    weight, budget, target, open_ = {s: (3, 1, 2)[i % 3] for i, s in enumerate(ranked)}, 1.5 * sum(total.values()), {}, set(ranked)
+    while open_:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * total[s]}
+        target |= {s: 2.0 * total[s] for s in full} if full else {s: level * weight[s] for s in open_}
+        open_ = open_ - full if full else set()
+    offers = []
+    for s, queue in of.items():
+        cum = 0
+        for order, size, k in sorted(queue):
+            cum += size
+            if size and target[s]:
+                offers += [((e * total[s] + cum) / target[s], order, k, e, size) for e in (0, 1)]
+    copies, words = Counter(), 0
+    for _, _, k, _, size in sorted(offers):
+        words += size
+        if words > budget:
+            break
+        copies[k] += 1
+    return copies
+
+
+def test_mixed_documents_by_row(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(None, "a", "x " * n) for n in (1, 5, 9, 40)] + [(i, rng.choice(["a", "b", None]), "w " * rng.randrange(0, 30)) for i in range(200)] + [(3, "a", "q r s"), (3, "a", "t u v w"), (None, None, None), (7, "b", "")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, source string, text string, taken int, size int")
+    want = brute_mix([(i, *r) for i, r in enumerate(rows)])
+    for bound in (4096, 8):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", bound)
+        got = mixing.mixed_documents(docs.repartition(3)).collect()
+        assert sorted((str(r.doc_id), str(r.source), r.text, r.copies) for r in got) == sorted((str(rows[i][0]), str(rows[i][1]), rows[i][2], n) for i, n in want.items())
+        assert all(r.taken == r.copies * len(r.text.split()) and r["size"] == 2 for r in got)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def odd_tables(spark, tmp_path, rows, labels=True):
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key int, copies int").write.parquet(f"{at}/documents.parquet")
+    real = spark.read.parquet(f"{SF}/labels.parquet")
+    (real if labels else real.limit(0)).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (None, None), (2, "tiny item"), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_on_odd_rows(spark, tmp_path, labelled):
+    secret = "password = " + "Zx9qLm3kPv7"
+    rows = [
+        (None, None, None, None, None, 1, 2), (None, None, "en", None, 0, 1, 2), (1, "", "en", "web", 0, 1, 2), (2, "a clean text of its own words", "en", "web", 29, 1, 2), (2, "another clean text with the same id", "xx", "code", 35, 1, 2),
+        (3, "x one two three four five six seven eight nine ten", "en", "web", 50, 1, 2), (4, "here a tiny item is quoted", None, "web", 26, 1, 2), (5, f"so {secret} it is", "en", None, 30, 1, 2), (None, f"and {secret} too, without an id", "en", "code", 40, 1, 2),
+        (6, "the very same text twice", "en", "web", 24, 1, 2), (7, "the very same text twice", "en", "web", 24, 1, 2), (6, "the very same text twice", "en", "web", 24, 1, 2), (8, "long " + "word and other things " * 60_000, "en", "code", 9, 1, 2),
+    ]
+    at = odd_tables(spark, tmp_path, rows, labelled)
+    got = corpus_pipeline.run(spark, at).collect()
+    texts = Counter(r.text for r in got)
+    assert all(n == 1 for n in texts.values()) and not any("Zx9qLm3kPv7" in (r.text or "") for r in got)
+    assert {(r.doc_id, r.text[:20]) for r in got} <= {(2, "a clean text of its "), (2, "another clean text w"), (5, "so [secret] it is"), (None, "and [secret] too, wi"), (6, "the very same text t"), (8, "long word and other ")}
+    assert len(got) >= 4 and all(r._key == 1 and r.taken == r.copies * len(r.text.split()) for r in got)
+    empty = odd_tables(spark, tmp_path / "empty", [], labelled)
+    none = corpus_pipeline.run(spark, empty)
+    assert none.count() == 0 and "copies" in none.columns
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -192,20 +266,25 @@ def test_pipeline_stages(spark):
 
     kept = stage["toxicity"](spark, docs, SF)
     assert kept.columns == docs.columns
-    assert ids(kept) == ids(toxicity.classify(docs, labels).filter("not flagged"))
+    model = toxicity.train(docs, labels)
+    scores = {r.doc_id: (plain_score(model, r.text), model.thresholds.get(r.lang, 0.7)) for r in docs.filter("length(text) < 3000").collect()}
+    assert ids(kept.filter("length(text) < 3000")) == {d for d, (score, least) in scores.items() if score < least}
     now = spark.createDataFrame(kept.collect(), kept.schema)
 
     from test_simhash import brute_components, brute_fp
 
     rows = [(r.doc_id, brute_fp(r.text)) for r in now.orderBy("doc_id").collect()]
     kept = stage["near_duplicates"](spark, now, SF)
-    assert ids(kept) == set(brute_components(rows)) and kept.columns == docs.columns
+    assert ids(kept) == set(brute_components(rows)) and kept.count() == len(set(brute_components(rows))) and kept.columns == docs.columns
     now = spark.createDataFrame(kept.collect(), kept.schema)
 
     from test_words_and_spans import brute_spans
 
     kept = stage["decontamination"](spark, now, SF)
-    dirty = ids(decontam.contamination(now, items).filter("contaminated"))
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 10]) for r in items.collect() if (w := plain(r.text)) for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    dirty = {r.doc_id for r in now.collect() if any(tuple(w[i : i + n]) in windows for w in [plain(r.text)] for n in sizes for i in range(len(w) - n + 1))}
     assert ids(kept) == ids(now) - dirty and kept.columns == docs.columns
     now = spark.createDataFrame(kept.collect(), kept.schema)
 
@@ -220,6 +299,6 @@ def test_pipeline_stages(spark):
 
     mixed = stage["mixing"](spark, now, SF)
     assert mixed.columns == [*docs.columns, "copies", "taken"]
-    want = {r.doc_id: r.taken for r in mixing.mix(now).filter("copies > 0").collect()}
-    assert {r.doc_id: r.taken for r in mixed.collect()} == want
+    want = brute_mix([(r.doc_id, r.doc_id, r.source, r.text) for r in now.collect()])
+    assert {r.doc_id: r.copies for r in mixed.collect()} == want
     assert secrets.KINDS and simhash.MAX_BITS == 4

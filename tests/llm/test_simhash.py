@@ -92,10 +92,40 @@ def test_documents(spark):
     assert got == sorted((str(d), f, c) for (d, f), c in zip(fps, brute_components(fps)))
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "3", "6", "None"] + [str(100 + i) for i in range(5)])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "6", "None"] + [str(100 + i) for i in range(5)])
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_judges_rows(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    near = text + " more"
+    other = " ".join(f"x{i}" for i in range(60))
+    assert bin(brute_fp(text) ^ brute_fp(near)).count("1") <= 4
+    rows = [(1, text, "a"), (2, text, "a"), (2, other, "a"), (None, text, "b"), (None, "no id here at all", "c"), (None, "no id here at all", "c"), (None, "no id here at all", "d"), (1, near, "e")]
+    rows += [(4, "p q r s t", "a"), (4, "p q r s t", "b"), (4, "p q r s t", "b")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, _key int, g_id int, _slot int, key int")
+    kept = simhash.one_of_each(docs.repartition(3)).collect()
+    assert {(r.doc_id, r.text) for r in kept} in ({(1, t), (2, other), (None, "no id here at all"), (4, "p q r s t")} for t in (text, near))
+    assert len(kept) == 4 and all(r[3:] == (1, 2, 3, 4) for r in kept)
+    again = simhash.one_of_each(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+    texts = spark.createDataFrame([(f"id{i}", text if i % 2 else other) for i in range(6)], "doc_id string, text string")
+    assert {r.doc_id for r in simhash.one_of_each(texts).collect()} == {"id0", "id1"}
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_hot_groups_are_spread(spark, monkeypatch):
+    from graphloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i if i % 3 else None, text) for i in range(300)] + [(1000 + i, f"{text} tail{i}") for i in range(40)] + [(i, f"own text of {i}") for i in range(2000, 2010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), int(np.int64(r.fp).astype(np.uint64)), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    fps = [(d, brute_fp(t)) for d, t in rows]
+    assert got == sorted((str(d), f, c) for (d, f), c in zip(fps, brute_components(fps)))
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, brute_fp(r.text)) for r in docs.orderBy("doc_id").collect()]
