@@ -11,7 +11,8 @@ rarest terms' offset-adjusted positions lie within a slop of each other instead.
 The terms of the items are broadcast while there are at most ``BROADCAST_TERMS`` of them (they
 are counted first) and joined by a shuffle beyond that; what is broadcast of the corpus has a
 fixed number of slots. Aggregation keys hold the document, so a
-passage that a third of the corpus shares does not meet in one task.
+passage that a third of the corpus shares does not meet in one task; lined-up terms find their
+phrase by item and place, which at most as many phrases share as a phrase has words.
 
 Defined results: null texts and texts without words match nothing; an item of fewer words than a
 phrase needs is one phrase; rows that repeat a doc_id are judged each by its own text, rows that
@@ -29,8 +30,8 @@ from graphloom.llm.common import ALNUM_WORD, ascii_lower, bound, fresh_dir, row_
 PHRASE_WORDS = 10
 #: How many rarest terms of each phrase are looked up.
 LISTS = 2
-#: Most terms that are broadcast: some tens of MB.
-BROADCAST_TERMS = 200_000
+#: Most terms, and bytes of terms, that are broadcast.
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 32 << 20
 _GAP = ALNUM_WORD.replace("[^", "[")
 
 
@@ -66,9 +67,10 @@ def phrases(items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_TERMS rows."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_TERMS rows and BROADCAST_BYTES of terms."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_TERMS and size["bytes"] <= BROADCAST_BYTES else df
 
 
 def rarest_terms(phr: DataFrame, docs: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -77,7 +79,7 @@ def rarest_terms(phr: DataFrame, docs: DataFrame, lists: int = LISTS) -> DataFra
     Phrases with a term that the corpus lacks cannot match and are dropped.
     """
     terms = phr.select(F.explode("words").alias("term")).distinct()
-    wanted = _small(terms, terms.count())
+    wanted = _small(terms)
     counts = docs.select(F.explode(cells_of(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
     known = terms.join(counts, "term", "left")
     each = phr.select("item_key", "at", F.posexplode("words").alias("place", "term")).join(known, "term")
@@ -94,14 +96,14 @@ def rarest_terms(phr: DataFrame, docs: DataFrame, lists: int = LISTS) -> DataFra
     return phr.join(ranked, (F.col("item_key") == F.col("r_key")) & (F.col("at") == F.col("r_at"))).drop("r_key", "r_at")
 
 
-def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index of ``terms`` (term, item_key, place): one row for each occurrence.
 
     (doc_id, doc_key, item_key, place, diagonal): ``diagonal`` is the document position at which
-    the item would begin. ``rows`` is the number of rows of ``terms``.
+    the item would begin.
     """
     every = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.posexplode(cells_of(text_or_empty())).alias("pos", "term"))
-    return every.join(_small(terms, rows), "term").select("doc_id", "doc_key", "item_key", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
+    return every.join(_small(terms), "term").select("doc_id", "doc_key", "item_key", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
 
 
 def _index(docs: DataFrame, items: DataFrame, n: int, lists: int) -> tuple[DataFrame, DataFrame]:
@@ -112,19 +114,29 @@ def _index(docs: DataFrame, items: DataFrame, n: int, lists: int) -> tuple[DataF
     terms = chosen.select("item_key", F.explode("places").alias("place"), "at", "words").select(
         "item_key", "place", F.get("words", F.col("place") - F.col("at")).alias("term")
     ).distinct()
-    return chosen, postings(docs, terms, terms.count())
+    return chosen, postings(docs, terms)
 
 
 def candidates(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
     """(doc_id, doc_key, start, item_key, item_id, words): where all rarest terms of a phrase line up."""
     chosen, index = _index(docs, items, n, lists)
     lined = index.groupBy("doc_id", "doc_key", F.col("item_key").alias("l_key"), "diagonal").agg(F.collect_set("place").alias("met"))
-    one = chosen.filter(F.size("places") < lists).limit(1).count() > 0
-    if not one:  # every phrase needs as many places as there are lists
-        lined = lined.filter(F.size("met") >= lists)
+    # phrases with fewer places than lists (few different terms) are looked up by what they have
+    few = _few(chosen, lists)
+    whole = lined.filter(F.size("met") >= lists)
+    if few is not None:
+        whole = whole.unionByName(lined.filter(F.size("met") < lists).join(few, F.col("l_key") == F.col("f_key"), "left_semi"))
     start = F.col("diagonal") + F.col("at")
     inside = F.size(F.array_except("places", "met")) == 0
-    return lined.join(chosen, (F.col("l_key") == F.col("item_key")) & inside & (start >= 0)).select("doc_id", "doc_key", start.alias("start"), "item_key", "item_id", "words")
+    by_place = whole.withColumn("l_place", F.explode("met"))
+    same = (F.col("l_key") == F.col("item_key")) & (F.col("l_place") == F.get("places", F.lit(0)))
+    return by_place.join(chosen, same & inside & (start >= 0)).select("doc_id", "doc_key", start.alias("start"), "item_key", "item_id", "words")
+
+
+def _few(chosen: DataFrame, lists: int) -> DataFrame | None:
+    """(f_key) of items with a phrase of fewer places than ``lists``; None if there are none."""
+    keys = chosen.filter(F.size("places") < lists).select(F.col("item_key").alias("f_key")).distinct()
+    return keys if keys.limit(1).count() else None
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import bound, text_or_empty
 
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = (
@@ -56,24 +56,48 @@ WINDOW = 20
 HOT_BITS = {"hex": 3.05, "alnum": 3.55, "base64": 3.75}
 
 
+#: Numbers that a running sum takes one by one; sums of so many are added up first.
+RUN = 32
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of all numbers before each one.
+
+    Appending to an array copies it, so sums run over blocks of RUN first and then inside each.
+    """
+    ints = F.array().cast("array<int>")
+    begin = lambda at: F.struct(at.alias("at"), ints.alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    run = lambda xs, at: F.aggregate(xs, begin(at), step, lambda acc: acc["out"])
+
+    def of(ns: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(ns) - 1) / RUN).cast("int"), F.lit(0)))
+        part = lambda b: F.slice(ns, b * RUN + 1, RUN)
+        sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, x: acc + x))
+        return bound(run(sums, F.lit(0)), lambda starts: F.flatten(F.transform(blocks, lambda b: run(part(b), F.get(starts, b)))))
+
+    return bound(numbers, of)
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start, kind_no, stop, body>> of leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,body:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["body"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["body"].alias("body")))
-        return F.struct(stop.alias("at"), F.when(x["body"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    steps = F.transform(F.sequence(F.lit(0), F.size(gaps) - 1), lambda i: F.struct(F.get(gaps, i).alias("gap"), F.get(found, i).alias("body")))
-    all_found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    if keep is not None:
-        all_found = F.filter(all_found, lambda s: keep(s["body"]))
     no = KINDS.index(kind)
-    return F.transform(all_found, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["stop"].alias("stop"), s["body"].alias("body")))
+
+    def of(g: Column) -> Column:
+        # a gap and the match after it, by turns: a match starts where the gaps and matches before it end
+        lengths = F.transform(g["found"], lambda body, i: F.length(F.get(g["gaps"], i)) + F.length(body))
+
+        def placed(stops: Column) -> Column:
+            one = lambda body, i: F.struct((F.get(stops, i) + F.length(F.get(g["gaps"], i))).alias("start"), body.alias("body"))
+            spans = F.transform(g["found"], one)
+            spans = spans if keep is None else F.filter(spans, lambda s: keep(s["body"]))
+            return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), (s["start"] + F.length(s["body"])).alias("stop"), s["body"].alias("body")))
+
+        return bound(running_sums(lengths), placed)
+
+    return bound(F.struct(found.alias("found"), gaps.alias("gaps")), of)
 
 
 _NO_SPANS = "array<struct<start:int,kind_no:int,stop:int,body:string>>"
