@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,15 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return terms[order], counts[order], int(counts.sum())
 
 
+def _packed(a: np.ndarray, kind: type) -> bytes:
+    """An array as a Zstandard frame: rows of the index stay small where Spark holds them."""
+    return zstandard.compress(a.astype(kind).tobytes(), 1)
+
+
+def _unpacked(raw, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
+
+
 def _shard(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> dict:
     ids = np.array([d for d, _, _, _ in held], np.int64)
     lengths = np.array([n for *_, n in held], np.int64)
@@ -88,10 +98,9 @@ def _shard(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> dict:
     order = np.argsort(term, kind="stable")
     term, tf, doc = term[order], tf[order], doc[order]
     first = np.nonzero(np.r_[True, term[1:] != term[:-1]])[0] if len(term) else np.empty(0, np.int64)
-    raw = lambda a, t: a.astype(t).tobytes()
     return {
-        "n_docs": len(ids), "n_words": int(lengths.sum()), "ids": raw(ids, np.int64), "lengths": raw(lengths, np.int64), "terms": raw(term[first], np.uint64),
-        "bounds": raw(np.r_[first, len(term)], np.int64), "docs": raw(doc, np.int32), "tfs": raw(tf, np.int32),
+        "n_docs": len(ids), "n_words": int(lengths.sum()), "ids": _packed(ids, np.int64), "lengths": _packed(lengths, np.int64), "terms": _packed(term[first], np.uint64),
+        "bounds": _packed(np.r_[first, len(term)], np.int64), "docs": _packed(doc, np.int32), "tfs": _packed(tf, np.int32),
     }
 
 
@@ -130,7 +139,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 def _shard_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for terms, bounds in zip(batch.column(0), batch.column(1), strict=True):
-            t, b = np.frombuffer(terms.as_py(), np.int64), np.frombuffer(bounds.as_py(), np.int64)
+            t, b = _unpacked(terms.as_py(), np.int64), _unpacked(bounds.as_py(), np.int64)
             for at in range(0, len(t), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(t[at : at + 100_000]), pa.array(np.diff(b)[at : at + 100_000])], names=["term", "df"])
 
@@ -164,8 +173,8 @@ class _Lists:
     """A shard's postings of a block's terms: short lists, long lists as a matrix, block maxima."""
 
     def __init__(self, row: dict, block: _Block):
-        self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
-        terms, bounds = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["bounds"], np.int64)
+        self.ids, lengths = _unpacked(row["ids"], np.int64), _unpacked(row["lengths"], np.int64)
+        terms, bounds = _unpacked(row["terms"], np.uint64), _unpacked(row["bounds"], np.int64)
         self.n = n = len(self.ids)
         at = np.minimum(np.searchsorted(terms, block.terms), max(len(terms) - 1, 0))
         there = terms[at] == block.terms if len(terms) else np.zeros(len(block.terms), bool)
@@ -173,9 +182,11 @@ class _Lists:
         self.size = np.where(there, bounds[at + 1] - begin, 0) if len(terms) else np.zeros(len(block.terms), np.int64)
         rows = _ranges(begin, self.size)
         self.begin = np.cumsum(self.size) - self.size
-        self.doc = np.frombuffer(row["docs"], np.int32)[rows]
-        tf = np.frombuffer(row["tfs"], np.int32)[rows]
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / block.mean_length))
+        self.doc = _unpacked(row["docs"], np.int32)[rows]
+        tf = _unpacked(row["tfs"], np.int32)[rows]
+        norm = K1 * (1 - B + B * lengths / block.mean_length)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        del rows, tf
         owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         # the same postings by document, for exact scores
         by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)
@@ -244,7 +255,7 @@ def _search_task(block: Broadcast, k: int):
         least = known.copy()
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * n
         for batch in batches:
-            for i in range(batch.num_rows):  # one shard at a time, its arrays as views of the batch
+            for i in range(batch.num_rows):  # one shard at a time
                 lists = _Lists({c: batch.column(c)[i].as_buffer() for c in ("ids", "lengths", "terms", "bounds", "docs", "tfs")}, b)
                 for first in range(0, n, QUERY_BATCH):
                     last = min(n, first + QUERY_BATCH)
