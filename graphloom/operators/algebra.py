@@ -210,3 +210,15 @@ def projected(solutions: DataFrame, *names: str) -> DataFrame:
 def ask(solutions: DataFrame) -> DataFrame:
     """One row: is there a solution?"""
     return solutions.select(F.lit(1).alias("x")).limit(1).agg((F.count("x") > 0).alias("boolean"))
+
+
+# Aggregates over the solutions of a group.
+def group_concat(v: str, separator: str = " ", distinct: bool = False) -> Column:
+    """The texts of a variable's terms in order, joined; unbound ones count for nothing."""
+    collect = F.collect_set if distinct else F.collect_list
+    return F.array_join(F.array_sort(collect(text(v))), separator)
+
+
+def sample(v: str) -> Column:
+    """One text of a variable's terms: the smallest, so that reruns agree."""
+    return F.min(text(v))

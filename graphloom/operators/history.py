@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -182,9 +183,14 @@ def merge_counts(merges: DataFrame) -> DataFrame:
 
 
 def directory_hash(spark: SparkSession, folder: str) -> str:
-    """SHA-256 over the sorted relative paths and content hashes of a folder's files."""
+    """SHA-256 over the sorted relative paths and content hashes of a folder's files.
+
+    The files are hashed in tasks; the list of their names and hashes is put together in one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rows = files.select(F.concat_ws(" ", F.sha2("content", 256), F.element_at(F.split("path", "/"), -1)).alias("x")).orderBy("x")
+    root = re.sub(r"^[a-z0-9]+:(?://[^/]*)?", "", folder).rstrip("/") + "/"
+    below = F.substring("path", F.instr("path", F.lit(root)) + len(root), F.length("path"))
+    rows = files.select(F.concat_ws(" ", F.sha2("content", 256), below).alias("x"))
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256)).first()[0]
 
 

@@ -5,7 +5,6 @@ The graph comes from the test tables (``sources.mapping``); the SQL is over the
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,42 +14,19 @@ from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import algebra as A
 from graphloom.operators import conflicts, edits, graph, history, similarity, store, terminology, validation, views
+from graphloom.plans import edit_queries, schema_queries
+from graphloom.plans.catalog import ORACLES, QUERIES, Query, query
+from graphloom.plans.catalog import norm_sql as _norm
+from graphloom.plans.catalog import pascal_sql as _pascal
+from graphloom.plans.catalog import read as _read
 from graphloom.sources import mapping
 from graphloom.sources.mapping import ABOX, EX, TBOX
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.to_quads(spark, sf_dir).drop("g")
 
 
 _BINARY = "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION SELECT p_partkey // 4, p_partkey FROM part WHERE p_partkey % 37 = 0 AND p_partkey // 4 > 0"
-_CAMEL = "trim(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
-
-
-def _norm(x: str) -> str:
-    return f"lower({_CAMEL.format(x=x)})"
-
-
-def _pascal(x: str) -> str:
-    return f"array_to_string(list_transform(string_split({_norm(x)}, ' '), lambda w: upper(w[1]) || w[2:]), '')"
 
 
 # Scans and patterns.
@@ -377,22 +353,6 @@ def unique_alias(spark, sf_dir):
 
 
 # Lines, keys, diffs.
-_NATION = f"'<{EX}nation' || n_nationkey || '> <{T.LABEL}> \"' || n_name || '\" <{ABOX}> .'"
-
-
-@query(f"SELECT {_NATION} AS line FROM nation UNION SELECT '<{EX}nation' || n_nationkey || '> <{EX}inRegion> <{EX}region' || n_regionkey || '> <{ABOX}> .' FROM nation")
-def nquads_dump_lines(spark, sf_dir):
-    quads = mapping.to_quads(spark, sf_dir)
-    nations = quads.filter(F.startswith("s", F.lit(EX + "nation")) & F.col("p").isin(T.LABEL, EX + "inRegion"))
-    return store.lines(nations)
-
-
-@query(f"SELECT '{ABOX}' AS g, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS signature FROM (SELECT DISTINCT {_NATION} AS line FROM nation)")
-def layer_signature(spark, sf_dir):
-    quads = mapping.to_quads(spark, sf_dir)
-    return store.layer_signature(quads.filter(F.startswith("s", F.lit(EX + "nation")) & (F.col("p") == T.LABEL)))
-
-
 def _mapped_lines() -> str:
     """SQL of the lines of the whole mapped graph, a SELECT for each table and pair."""
     i = lambda name, key: f"'<{EX}{name}' || {key} || '>'"
@@ -424,13 +384,29 @@ def _mapped_lines() -> str:
 
 @query(_mapped_lines())
 def nquads_dump_graph(spark, sf_dir):
-    """The whole mapped graph as lines; nquads_dump_lines keeps the nations that its SQL names."""
+    """The whole mapped graph as lines."""
     return store.lines(mapping.to_quads(spark, sf_dir))
 
 
+@query(
+    f"WITH {schema_queries.LAYER}, q AS (SELECT child AS s, '{T.SUBCLASS}' AS p, '<' || parent || '>' AS o FROM sub WHERE parent NOT IN ('{EX}Item', '{EX}Make') OR child IN (SELECT t FROM p UNION SELECT b FROM p)"
+    f" UNION SELECT x, '{T.DISJOINT}', '<' || y || '>' FROM dis UNION SELECT x, '{T.EQUIVALENT}', '<' || y || '>' FROM equ UNION SELECT iri, '{T.TYPE}', '<{T.CLASS}>' FROM classes UNION SELECT c, '{T.LABEL}', chr(34) || p_name || chr(34) FROM p"
+    f" UNION SELECT t, '{T.LABEL}', chr(34) || p_type || chr(34) FROM p UNION SELECT b, '{T.LABEL}', chr(34) || p_brand || chr(34) FROM p UNION SELECT h, '{T.LABEL}', chr(34) || h_label || chr(34) FROM p UNION SELECT h, '{T.TYPE}', '<{T.OBJECT_PROPERTY}>' FROM p"
+    f" UNION SELECT prop, CASE slot WHEN 'domain' THEN '{T.DOMAIN}' ELSE '{T.RANGE}' END, '<' || cls || '>' FROM slots) SELECT '<' || s || '> <' || p || '> ' || o || ' <{TBOX}> .' AS line FROM q"
+)
+def nquads_dump_lines(spark, sf_dir):
+    """The whole schema layer as lines."""
+    return store.lines(mapping.to_schema(spark, sf_dir))
+
+
+@query(f"SELECT '{ABOX}' AS g, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS signature FROM ({_mapped_lines()})")
+def layer_signature(spark, sf_dir):
+    return store.layer_signature(mapping.to_quads(spark, sf_dir))
+
+
 @query()
 def graph_fingerprint(spark, sf_dir):
-    """The order-free fingerprint of each whole graph; layer_signature is the sorted form for small layers."""
+    """The order-free fingerprint of each whole graph; layer_signature is the sorted form for layers that fit one executor."""
     return store.set_fingerprint(mapping.to_quads(spark, sf_dir))
 
 
@@ -458,12 +434,12 @@ def merge_classes_rewrite(spark, sf_dir):
 
 
 @query(
-    f"SELECT '{EX}customer' || c_custkey AS s, count(*) AS n FROM customer, (VALUES (1), (2), (3), (4)) v(i) GROUP BY c_custkey"
+    f"WITH b AS ({edit_queries.BY_P}) SELECT p, n - CASE p WHEN '{T.TYPE}' THEN (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) WHEN '{T.LABEL}' THEN (SELECT count(*) FROM supplier) WHEN '{EX}inNation' THEN (SELECT count(*) FROM supplier) ELSE 0 END AS n FROM b"
 )
 def delete_class_cascade(spark, sf_dir):
-    """Customers keep their segment type when the class Customer goes, so only that type is lost."""
-    quads = store.match(mapping.to_quads(spark, sf_dir), graph=ABOX).filter(F.startswith("s", F.lit(EX + "customer")))
-    return edits.cascade_classes(quads, spark.createDataFrame([(EX + "Customer",)], "iri string")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    """Customers keep their segment type when the class Customer goes; suppliers have no other type and go with all they assert."""
+    gone = spark.createDataFrame([(EX + "Customer",), (EX + "Supplier",)], "iri string")
+    return edits.cascade_classes(mapping.to_quads(spark, sf_dir), gone).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey AS iri, o_custkey + 100 AS mapped FROM orders WHERE o_custkey + 100 NOT IN (SELECT c_custkey FROM customer)")
@@ -519,14 +495,16 @@ def next_version(spark, sf_dir):
 
 
 @query(
-    "SELECT count(*) FILTER (k = 'c') AS conflicts, count(*) FILTER (k = 'v') AS violations, count(*) FILTER (k = 'p') AS proposals, count(*) FILTER (k = 'r') AS resolutions, count(*) AS blocking FROM ("
-    "SELECT 'c' AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' UNION ALL SELECT 'v' FROM orders WHERE o_orderpriority = '1-URGENT'"
-    " UNION ALL SELECT 'p' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'r' FROM orders WHERE o_orderstatus = 'P')"
+    "SELECT *, conflicts + violations + proposals + resolutions AS blocking FROM (SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS conflicts, (SELECT count(*) FROM part WHERE p_size > 40) AS violations,"
+    " (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS proposals, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS resolutions)"
 )
 def quality_gate(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "pending").otherwise("done")
-    rows = _read(spark, sf_dir, "orders").select(status.alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "error").otherwise("warning").alias("severity"))
-    return history.gate(rows, rows, rows, rows)
+    rows = lambda table, status, severity: _read(spark, sf_dir, table).select(status.alias("status"), severity.alias("severity"))
+    test = lambda expression, yes, no: F.when(F.expr(expression), yes).otherwise(no)
+    conflicts_ = rows("orders", test("o_orderstatus = 'O'", "open", "dismissed"), test("o_orderpriority = '1-URGENT'", "error", "warning"))
+    violations = rows("part", F.lit("open"), test("p_size > 40", "error", "warning"))
+    pending = lambda table, expression: rows(table, test(expression, "pending", "done"), F.lit("error"))
+    return history.gate(conflicts_, violations, pending("lineitem", "l_returnflag = 'R'"), pending("customer", "c_acctbal < 0"))
 
 
 @query(f"SELECT count(*) AS keys, count(*) FILTER (n = 1) AS only_here FROM (SELECT key, count(DISTINCT document_id) AS n, bool_or(document_id = 7) AS here FROM ({_TRACED}) GROUP BY key) WHERE here")
@@ -585,14 +563,18 @@ def concept_label_twice(spark, sf_dir):
     return found.filter("rule = 'label twice in a concept'").select("iri", "rule", F.upper("detail").alias("detail"))
 
 
+#: Queries of these modules are registered where they are defined.
+MODULES = (schema_queries, edit_queries)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the label of their nation."""
     return bgp_join_2(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)

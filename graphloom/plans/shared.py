@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder under the warehouse where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder under the warehouse where it is unset.
+
+    A warehouse without a scheme is on this machine's disk, which only a local session shares with
+    its tasks: elsewhere the setting is asked for.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        at = at if ":" in at else f"file://{at}"
+        if not re.match("[a-z0-9]+:", at) or at.startswith("file:"):
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = at if ":" in at else f"file://{at}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at

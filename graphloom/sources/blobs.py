@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,12 @@ def write_blobs(rows: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for digest, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = _place(root, digest)
+                temp = f"{at}.{TaskContext.get().taskAttemptId()}.tmp"  # attempts do not share a file
                 if fs.get_file_info(at).type == pafs.FileType.NotFound:
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    with fs.open_output_stream(f"{at}.tmp", compression=None) as out:
+                    with fs.open_output_stream(temp, compression=None) as out:
                         out.write(content)
-                    fs.move(f"{at}.tmp", at)
+                    fs.move(temp, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())], names=["sha256", "size_bytes"])
 
     return distinct.mapInArrow(run, "sha256 string, size_bytes long")

@@ -74,3 +74,31 @@ def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     down = part.filter("k > 1").select(F.col("k").alias("child"), F.floor(F.col("k") / 2).cast("long").alias("parent"))
     back = part.filter("k % 37 = 0").select(F.floor(F.col("k") / 4).cast("long").alias("child"), F.col("k").alias("parent")).filter("child > 0")
     return down.unionByName(back).distinct()
+
+
+def to_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema layer over the parts: each part is a class below its type and its brand, with a
+    property of its own; some brands are disjoint with types, some of those equivalent as well."""
+    part, c = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col
+    cls, type_, brand, has = iri("part", c("p_partkey")), type_iri("Type", c("p_type")), type_iri("Brand", c("p_brand")), iri("has", c("p_partkey"))
+    name = F.concat(F.when(c("p_size") < 25, "ships ").otherwise("the "), c("p_name"))
+    is_class, some = to_iri(T.TYPE, F.lit(T.CLASS)), lambda p, test, o: to_iri(p, F.when(test, o))
+    parts = [
+        describe(part, cls, TBOX, is_class, to_literal(T.LABEL, c("p_name")), to_iri(T.SUBCLASS, type_), to_iri(T.SUBCLASS, brand)),
+        describe(part, type_, TBOX, is_class, to_literal(T.LABEL, c("p_type")), to_iri(T.SUBCLASS, iri("Item")), some(T.DISJOINT, c("p_size") == 11, cls)),
+        describe(part, brand, TBOX, is_class, to_literal(T.LABEL, c("p_brand")), to_iri(T.SUBCLASS, iri("Make")), some(T.DISJOINT, c("p_size") == 7, type_), some(T.EQUIVALENT, (c("p_size") == 7) & (c("p_retailprice") > 950), type_)),
+        describe(part, has, TBOX, to_iri(T.TYPE, F.lit(T.OBJECT_PROPERTY)), to_literal(T.LABEL, name), to_iri(T.DOMAIN, type_), to_iri(T.DOMAIN, brand), to_iri(T.RANGE, cls), some(T.RANGE, c("p_size") > 40, type_)),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instance layer over the schema: each line item is typed by its part's class and has a fact
+    of the property of another part, with the line before it as value."""
+    line, c = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.col
+    subject = F.concat(F.lit(EX + "line"), c("l_orderkey"), F.lit("_"), c("l_linenumber"))
+    last = F.concat(F.lit(EX + "line"), c("l_orderkey"), F.lit("_"), c("l_linenumber") - 1)
+    facts = line.select(subject.alias("s"), F.concat(F.lit(EX + "has"), c("l_suppkey")).alias("p"), last.alias("o")).distinct()
+    nothing = F.lit(None).cast("string")
+    links = facts.select(F.lit(ABOX).alias("g"), F.lit("iri").alias("s_kind"), "s", "p", F.lit("iri").alias("o_kind"), "o", nothing.alias("o_dt"), nothing.alias("o_lang"))
+    return describe(line, subject, ABOX, to_iri(T.TYPE, iri("part", c("l_partkey")))).distinct().unionByName(links)

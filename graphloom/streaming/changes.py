@@ -15,7 +15,10 @@ def quad_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 
 def class_counts(quads: DataFrame) -> DataFrame:
-    """(cls, n), kept up to date: statements that repeat count once."""
+    """(cls, n), kept up to date: statements that repeat count once.
+
+    The state is the set of type statements seen, as exact counts of a set need: one row for each.
+    """
     types = quads.filter((F.col("p") == T.TYPE) & (F.col("o") != T.NAMED_INDIVIDUAL)).select("s", F.col("o").alias("cls"))
     return types.dropDuplicates(["s", "cls"]).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
 
