@@ -80,3 +80,18 @@ def test_recovery_samples_all_occurrences(spark):
     got = P.recovery_candidates(spark.createDataFrame([("valve",)], "label string"), chunks).collect()
     assert sorted((r.chunk_id, r.start, r.stop) for r in got) == [(c, *w) for c in (0, 4, 8, 12, 17, 21, 25, 29) for w in ((0, 325), (7680, 8325))]
     assert sorted(r.chunk_id for r in P.recovery_candidates(spark.createDataFrame([("valve",)], "label string"), chunks, 1, 1).collect()) == [15]
+
+
+def test_directory_hash_goes_by_relative_paths(spark, tmp_path):
+    from graphloom.operators import history
+
+    def folder(name, files):
+        for path, text in files.items():
+            at = tmp_path / name / path
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text)
+        return history.directory_hash(spark, f"file://{tmp_path}/{name}")
+
+    one = folder("one", {"a/x.txt": "first", "b/x.txt": "second"})
+    assert one == folder("two", {"a/x.txt": "first", "b/x.txt": "second"})
+    assert one != folder("three", {"a/x.txt": "second", "b/x.txt": "first"})
