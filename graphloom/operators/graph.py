@@ -16,17 +16,16 @@ def ancestors(edges: DataFrame, reflexive: bool = False) -> DataFrame:
     """(child, parent) -> (node, anc): every ancestor of every node.
 
     A node is its own ancestor only inside a cycle, or everywhere if ``reflexive``. Path doubling:
-    the number of rounds is the logarithm of the longest shortest path.
+    the number of rounds is the logarithm of the longest shortest path. A path of more than 2^n
+    steps begins with a shortest one of exactly 2^n, so only the last round's pairs are carried on.
     """
-    pair = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node is not null and anc is not null").distinct())
-    known = pair.count()
-    while True:
-        left, right = pair.select("node", F.col("anc").alias("mid")), pair.select(F.col("node").alias("mid"), "anc")
-        pair = cut(pair.unionByName(left.join(right, "mid").select("node", "anc")).distinct())
-        now = pair.count()
-        if now == known:
-            break
-        known = now
+    new = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node is not null and anc is not null").distinct())
+    pair = new
+    while not new.isEmpty():
+        right = pair.select(F.col("node").alias("mid"), "anc")
+        met = new.select("node", F.col("anc").alias("mid")).join(right, "mid").select("node", "anc").distinct()
+        new = cut(met.join(pair, ["node", "anc"], "left_anti"))
+        pair = pair.unionByName(new)
     if reflexive:
         nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).filter("node is not null").distinct()
         pair = pair.unionByName(nodes.select("node", F.col("node").alias("anc"))).distinct()
@@ -45,14 +44,63 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, b) less those that begin where none ends or end where none begins, and their number.
+
+    Goes on while a round takes away a tenth, so long chains do not cost a round for each node.
+    """
+    edges = cut(edges)
+    now = edges.count()
+    while now:
+        last, begins, ends = now, edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
+        edges = cut(edges.join(ends, "a", "left_semi").join(begins, "b", "left_semi").select("a", "b"))
+        now = edges.count()
+        if now > 0.9 * last:
+            break
+    return edges, now
+
+
+def _least_before(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """(a, b) -> (node, colour): the smallest node from which a node is reached, itself included.
+
+    Rounds of ``hops`` steps each; a step brings partial minima together, never a node's neighbours.
+    """
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    colour, last = cut(ends.select("node", F.col("node").alias("colour"))), None
+    while True:
+        state = colour.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()
+        if state == last:
+            return colour
+        last = state
+        for _ in range(hops):
+            step = colour.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "colour")
+            colour = colour.unionByName(step).groupBy("node").agg(F.min("colour").alias("colour"))
+        colour = cut(colour)
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(child, parent) -> (root, node): strongly connected components of two nodes or more, and self-loops.
 
-    ``root`` is the component's smallest node: x and y share one if each is the other's ancestor.
+    ``root`` is the component's smallest node. No closure is made: edges that are in no cycle are
+    trimmed, each node takes the smallest node before it and the smallest after it, and where both
+    are one node that is its component's root. The rest is judged again, with those edges only whose
+    ends agree in both; state stays as large as the edges.
     """
-    up = ancestors(edges)
-    back = up.select(F.col("node").alias("anc"), F.col("anc").alias("node"))
-    return up.join(back, ["node", "anc"]).groupBy("node").agg(F.least(F.min("anc"), F.col("node")).alias("root")).select("root", "node")
+    known = cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).filter("a is not null and b is not null").distinct())
+    loops = known.filter("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
+    left, found = known.filter("a <> b"), None
+    while True:
+        left, n = _trimmed(left)
+        if not n:
+            break
+        before, after = _least_before(left), _least_before(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = cut(before.withColumnRenamed("colour", "first").join(after.withColumnRenamed("colour", "last"), "node"))
+        others = both.filter("first = last and node <> first").select(F.col("first").alias("root"), "node")
+        part = others.unionByName(others.select("root", F.col("root").alias("node")).distinct())
+        found = part if found is None else found.unionByName(part)
+        end = lambda c: both.filter("first <> last").select(F.col("node").alias(c), F.struct("first", "last").alias(f"of_{c}"))  # noqa: E731, B023
+        left = left.join(end("a"), "a").join(end("b"), "b").filter("of_a = of_b").select("a", "b")
+    return loops if found is None else found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("root", "node"))
 
 
 def components(edges: DataFrame) -> DataFrame:

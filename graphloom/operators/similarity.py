@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators import graph
+from graphloom.plans.shared import cut, fresh_dir
 
 JACCARD, COSINE = 0.86, 0.75
 BLOCK, MAX_BLOCKS = 1024, 2048
@@ -132,15 +133,22 @@ def _class_links(known: DataFrame, least: float) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
     """(id, embedding), (id, embedding) -> (query_id, rank, id, score): exact nearest by cosine.
 
-    The queries are a stated set, held in blocks of ``block_rows``; each task keeps the best k of
-    its rows for a block, and the tasks' results merge by rank.
+    The queries are a stated set, held in blocks of about ``block_rows``; each task keeps the best
+    k of its rows for a block, and the tasks' results merge by rank. Where there are several blocks
+    the queries are written once by block, and a block's results are cut so that its broadcast can
+    go: the driver and the executors hold one block at a time.
     """
     spark = vectors.sparkSession
-    asked = queries.filter("id is not null and embedding is not null and size(embedding) > 0")
+    asked = queries.filter("id is not null and embedding is not null and size(embedding) > 0").select("id", "embedding")
     blocks = max(1, math.ceil(asked.count() / block_rows))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    if blocks > 1:
+        at = fresh_dir(spark, "vector-queries")
+        dealt.repartition("block").write.partitionBy("block").parquet(at)
+        dealt = spark.read.schema(dealt.schema).parquet(at)
     found = None
     for n in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "embedding").orderBy("id").collect()
+        rows = dealt.filter(F.col("block") == n).select("id", "embedding").orderBy("id").collect()
         if not rows:
             continue
         q = np.array([r["embedding"] for r in rows], np.float64)
@@ -160,6 +168,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
 
         part = vectors.filter("id is not null and embedding is not null and size(embedding) > 0").select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
+        if blocks > 1:
+            part = cut(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")

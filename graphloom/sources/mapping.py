@@ -1,4 +1,4 @@
-"""Relational tables as quads: one pass for each table, no shuffle.
+"""Relational tables as quads: a branch for each predicate of a table, no shuffle.
 
 TBox: classes for parts, part types, customers, market segments, orders, nations and regions.
 ABox: one individual for each row, typed, labelled and linked. Identifiers come from keys, so a
@@ -34,9 +34,16 @@ def to_literal(p: str, o: Column, dt: str | None = None) -> Column:
 
 
 def describe(table: DataFrame, subject: Column, graph: str, *pairs: Column) -> DataFrame:
-    """Quads of one row: its subject with each (predicate, object) pair whose object is not null."""
-    one = table.select(subject.alias("s"), F.explode(F.array(*pairs)).alias("x")).filter("s is not null and x.o is not null")
-    return one.select(F.lit(graph).alias("g"), F.lit("iri").alias("s_kind"), "s", "x.p", "x.o_kind", "x.o", "x.o_dt", "x.o_lang")
+    """Quads of one row: its subject with each (predicate, object) pair whose object is not null.
+
+    Each pair is a branch of its own with a constant predicate, graph and kinds, so a pattern drops
+    the branches that cannot match while it is planned and reads two columns of those that can.
+    """
+    def one(x: Column) -> DataFrame:
+        parts = [x.getField(n).alias(n) for n in ("p", "o_kind", "o", "o_dt", "o_lang")]
+        return table.select(F.lit(graph).alias("g"), F.lit("iri").alias("s_kind"), subject.alias("s"), *parts).filter("s is not null and o is not null")
+
+    return reduce(DataFrame.union, map(one, pairs))
 
 
 def type_iri(name: str, value: Column) -> Column:
@@ -65,7 +72,7 @@ def to_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
             to_literal(EX + "priority", c("o_orderpriority")),
         ),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.operators import algebra as A
 from graphloom.operators import conflicts, edits, graph, history, similarity, store, validation, views
-from graphloom.sources import rdf
+from graphloom.sources import mapping, rdf
 from graphloom.sources.mapping import QUAD
 
 G = "urn:g"
@@ -261,3 +261,45 @@ def test_vector_links_of_copies(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_class_links", lambda known, least: sizes.append(known.count()) or links(known, least))
     similarity.vector_links(frame, 0.35).count()
     assert sizes == [42]
+
+
+def test_cycles_and_ancestors_against_plain_reach(spark):
+    """Random graphs side by side, a chain longer than a round, nested and touching cycles, self-loops, nulls."""
+    draw, pairs = random.Random(5), []
+    for g in range(12):
+        n = draw.randint(2, 14)
+        pairs += [(100 * g + draw.randrange(n), 100 * g + draw.randrange(n)) for _ in range(draw.randint(1, 2 * n))]
+    pairs += [(5000 + i, 5001 + i) for i in range(25)] + [(5025, 5020), (5022, 5010), (5003, 5003)]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in after:
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    edges = spark.createDataFrame([(f"n{a:05}", f"n{b:05}") for a, b in pairs] + [(None, "n00001"), ("n00001", None)], "child string, parent string")
+    name = "n{:05}".format
+    assert {tuple(r) for r in graph.ancestors(edges).collect()} == {(name(a), name(b)) for a, bs in reach.items() for b in bs}
+    want = {(name(min(b for b in reach[a] if a in reach.get(b, ()))), name(a)) for a in reach if a in reach[a]}
+    got = [tuple(r) for r in graph.cycles(edges).select("root", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.cycles(edges.limit(0)).count() == 0 and graph.ancestors(edges.limit(0)).count() == 0
+
+
+def test_vector_blocks_agree(spark):
+    draw = random.Random(3)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in range(60)] + [(60, None), (61, [])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    whole, blocks = (similarity.vector_top_k(v, v.filter("id % 3 = 0"), 4, n) for n in (2048, 5))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect())) and whole.count() == 80
+
+
+def test_patterns_read_only_tables_of_their_predicate(spark):
+    quads = mapping.to_quads(spark, "/root/testdata/sf0.001")
+    plan = quads.filter(f"p = '{mapping.EX}placedBy'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
