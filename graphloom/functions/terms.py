@@ -104,6 +104,23 @@ def local_name(iri: Column) -> Column:
     return F.when(tail == "", iri).otherwise(tail)
 
 
+def local_part(iri: Column, marks: str = "#/") -> Column:
+    """What follows the last of the marks, though it be empty; ``#/:`` also cuts URNs and short names."""
+    return F.regexp_extract(iri, f"[^{marks}]*$", 0)
+
+
+def local_in_rules(iri: Column) -> Column:
+    """The name in rule findings: what follows the last #, else the last /, where that is not empty; else the IRI."""
+    fragment, step = local_part(iri, "#"), local_part(iri, "/")
+    hashed, slashed = F.contains(iri, F.lit("#")) & (fragment != ""), F.contains(iri, F.lit("/")) & (step != "")
+    return F.when(hashed, fragment).when(slashed, step).otherwise(iri)
+
+
+def local_in_schema(iri: Column) -> Column:
+    """The name in a schema: what follows the last #; without one the last step of the path, closing slashes aside."""
+    return F.when(F.contains(iri, F.lit("#")), local_part(iri, "#")).otherwise(local_part(F.regexp_replace(iri, "/+$", ""), "/"))
+
+
 def norm_label(x: Column) -> Column:
     """Lower-case words of a label: camel humps and anything but letters and digits separate."""
     humps = F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1 $2")

@@ -14,7 +14,7 @@ from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import algebra as A
 from graphloom.operators import conflicts, edits, graph, history, similarity, store, terminology, validation, views
-from graphloom.plans import edit_queries, schema_queries
+from graphloom.plans import edit_queries, schema_queries, text_queries
 from graphloom.plans.catalog import ORACLES, QUERIES, Query, query
 from graphloom.plans.catalog import norm_sql as _norm
 from graphloom.plans.catalog import pascal_sql as _pascal
@@ -306,13 +306,6 @@ def chunk_spans(spark, sf_dir):
     return X.chunks(_read(spark, sf_dir, "documents"))
 
 
-@query()
-def evidence_windows(spark, sf_dir):
-    """Windows around each document's first word, wherever it comes again."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"^\W*(\w+)", 1).alias("label"))
-    return d.select("doc_id", "label", F.explode(X.evidence_windows("label", "text")).alias("w")).select("doc_id", "label", "w.start", "w.stop")
-
-
 # Similarity.
 _LABELS = f"SELECT DISTINCT {_norm('p_name')} AS norm FROM part"
 
@@ -564,7 +557,7 @@ def concept_label_twice(spark, sf_dir):
 
 
 #: Queries of these modules are registered where they are defined.
-MODULES = (schema_queries, edit_queries)
+MODULES = (schema_queries, edit_queries, text_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

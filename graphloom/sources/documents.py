@@ -90,11 +90,15 @@ def parse_content(contents: pd.Series, exts: pd.Series) -> pd.Series:
     return pd.Series([parse(c, e) for c, e in zip(contents, exts, strict=True)], dtype=object)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, path, filename, ext, size_bytes, text): files by content, the first of equal ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, length, content) -> (sha256, path, filename, ext, size_bytes, text): files by content, the first of equal ones."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(F.sha2("content", 256).alias("sha256"), "path", name.alias("filename"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("ext"), F.col("length").alias("size_bytes"), "content")
     first = rows.groupBy("sha256").agg(F.min("path").alias("_first"))
     kept = rows.join(first, ["sha256"]).filter("path = _first")
     return kept.select("sha256", "path", "filename", "ext", "size_bytes", parse_content("content", "ext").alias("text"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a folder, ``parsed``."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))

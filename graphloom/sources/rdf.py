@@ -11,11 +11,13 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
+from graphloom.functions.text import arrow_udf
 from graphloom.operators.store import SCHEMA
 from graphloom.sources.mapping import QUAD
 
@@ -141,6 +143,12 @@ def sniff(content: str) -> str:
     return "ntriples" if re.match(r"\s*(<[^>]*>|_:\S+)\s+<[^>]*>\s+.*\.\s*$", first) and "@prefix" not in head else "turtle"
 
 
+@arrow_udf("string")
+def format_of(names: pd.Series, contents: pd.Series) -> pd.Series:
+    """The format by a file's extension where that is known, else by its content."""
+    return pd.Series([normalize_format((n or "").rpartition(".")[2]) or (None if c is None else sniff(c)) for n, c in zip(names, contents, strict=True)], dtype=object)
+
+
 _TURTLE = re.compile(
     r"""(?P<comment>\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)"""
     r"""|(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<bnode>_:[\w][\w.-]*)|(?P<name>[\w-]*:(?:[\w%-](?:[\w.%-]*[\w%-])?)?)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\]()])|(?P<space>\s+)""",
