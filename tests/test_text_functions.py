@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import extraction
+from graphloom.sources import documents, rdf
 
 CHUNKS = [
     ("First sentence. Second sentence.\n\nThird paragraph.", [(0, 0, 16, "First sentence. ", 5), (1, 6, 32, "sentence. Second sentence.", 8), (2, 16, 50, "Second sentence.\n\nThird paragraph.", 11)]),
@@ -42,6 +43,30 @@ def test_terms(spark):
     assert all(r[0] == r[1] for r in c.select(T.clamp_confidence(F.col("a")), "b").collect())
 
 
+def test_local_names(spark):
+    rows = [
+        ("http://x/a#b", "b", "b", "b", "b"), ("http://x/a#", "", "", "a#", ""), ("http://x/a/", "", "", "http://x/a/", "a"), ("urn:Animal", "urn:Animal", "Animal", "urn:Animal", "urn:Animal"),
+        ("http://x#a/b", "b", "b", "a/b", "a/b"), ("", "", "", "", ""), (None, None, None, None, None),
+    ]
+    d = spark.createDataFrame(rows, "x string, individual string, published string, rules string, schema string")
+    x = F.col("x")
+    got = d.select(T.local_part(x), T.local_part(x, "#/:"), T.local_in_rules(x), T.local_in_schema(x), "individual", "published", "rules", "schema").collect()
+    assert all(tuple(r[:4]) == tuple(r[4:]) for r in got)
+
+
+def test_formats(spark):
+    rows = [("a.TTL", "{}", "turtle"), ("a", '{"@id": "x"}', "jsonld"), ("a.b", "<s> <p> <o> .", "ntriples"), (None, "<?xml?>", "rdfxml"), ("a", None, None), ("a", "", "turtle")]
+    d = spark.createDataFrame(rows, "n string, c string, want string")
+    assert all(r[0] == r[1] for r in d.select(rdf.format_of("n", "c"), "want").collect())
+
+
+def test_files_of_equal_content(spark):
+    rows = [("d/b.txt", 1, b"x"), ("d/a.MD", 1, b"x"), ("d/c.exe", 1, b"y"), ("d/e.docx", 1, b"z"), ("d/f.csv", 0, b"")]
+    got = documents.parsed(spark.createDataFrame(rows, "path string, length long, content binary"))
+    assert sorted((r.filename, r.ext, r.text) for r in got.collect()) == [("a.MD", "md", "x"), ("c.exe", "exe", None), ("e.docx", "docx", None), ("f.csv", "csv", "")]
+    assert documents.parsed(spark.createDataFrame([], "path string, length long, content binary")).count() == 0
+
+
 def test_grounding():
     assert X.grounded("Pump", "The pump runs.") and not X.grounded("Pump", "pumps run") and X.grounded("snake_case name", "a Snake Case name.") and X.grounded("温度", "当前温度为")
     assert not X.grounded("", "x") and not X.grounded("x", None)
