@@ -144,6 +144,39 @@ SELECT page_id, payload_bytes, p.payload_digest AS payload_digest,
 FROM full_pages p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000
 """
 
+OP12 = r"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                         lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) AS h
+  FROM documents),
+sizes AS (SELECT rid, len(w)::BIGINT AS n, h, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM docs),
+loops AS (SELECT rid, n, a, CASE WHEN h % 10 = 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM sizes WHERE n > 0),
+raw AS MATERIALIZED (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+places AS (SELECT rid, i, CASE WHEN p IS NULL OR i < a THEN i ELSE a + (i - a) % p END AS j FROM raw JOIN loops USING (rid)),
+words AS MATERIALIZED (SELECT q.rid, q.i, r.word FROM places q JOIN raw r ON r.rid = q.rid AND r.i = q.j),
+periods AS (SELECT rid, n, unnest(range(1, n // 4 + 1)) AS p FROM loops),
+points AS (SELECT rid, p, unnest(range(0, n - 3 * p, p)) AS x FROM periods),
+one AS MATERIALIZED (SELECT t.*, word FROM points t JOIN words w ON w.rid = t.rid AND w.i = x),
+two AS MATERIALIZED (SELECT t.* FROM one t JOIN words w ON w.rid = t.rid AND w.i = x + p AND w.word = t.word),
+three AS MATERIALIZED (SELECT t.* FROM two t JOIN words w ON w.rid = t.rid AND w.i = x + 2 * p AND w.word = t.word),
+tried AS MATERIALIZED (SELECT DISTINCT t.rid, p FROM three t JOIN words w ON w.rid = t.rid AND w.i = x + 3 * p AND w.word = t.word),
+every AS MATERIALIZED (SELECT t.rid, p, i, word FROM tried t JOIN words w USING (rid)),
+same AS (
+  SELECT t.rid, t.p, t.i, t.i - row_number() OVER (PARTITION BY t.rid, t.p ORDER BY t.i) AS island
+  FROM every t JOIN words w ON w.rid = t.rid AND w.i = t.i + t.p AND w.word = t.word),
+stretches AS (SELECT rid, p, min(i) AS start, count(*) + p AS length FROM same GROUP BY rid, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+runs AS (SELECT rid, start, length, min(p) AS period FROM stretches GROUP BY rid, start, length),
+told AS (
+  SELECT rid, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY rid),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept k USING (rid)
+"""
+
 ORACLES = {
     "op2_decontamination": OP2,
     "op3_substring_dedup": OP3,
@@ -151,4 +184,5 @@ ORACLES = {
     "op6_warc_archive": OP6,
     "op8_secret_scan": _op8(),
     "op10_source_mixing": OP10,
+    "op12_periodic_runs": OP12,
 }
