@@ -144,6 +144,27 @@ SELECT page_id, payload_bytes, p.payload_digest AS payload_digest,
 FROM full_pages p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+tfs AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) GROUP BY ALL),
+facts AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS words FROM docs WHERE len(w) > 0),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+weighed AS (SELECT item_id, term, times * floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM asked JOIN dfs USING (term), facts),
+lengths AS (SELECT rid, doc_id, 25 + (75 * len(w)::BIGINT * n) // words AS m FROM docs, facts WHERE len(w) > 0),
+scored AS (
+  SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM weighed JOIN tfs USING (term) JOIN lengths USING (rid) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP12 = r"""
 WITH docs AS MATERIALIZED (
   SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -184,5 +205,6 @@ ORACLES = {
     "op6_warc_archive": OP6,
     "op8_secret_scan": _op8(),
     "op10_source_mixing": OP10,
+    "op11_ranked_search": OP11,
     "op12_periodic_runs": OP12,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, mixing, pii, quality, runs, secrets, simhash, substring, tokens, topk, toxicity, warc
+from graphloom.llm import decontam, mixing, pii, quality, ranked, runs, secrets, simhash, substring, tokens, topk, toxicity, warc
 from graphloom.llm.oracles import ORACLES
 
 
@@ -73,6 +73,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.facts(_docs(spark, sf_dir))
 
@@ -84,7 +89,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_token_counts, op2_decontamination, op3_substring_dedup, op4_bm25_topk, op5_pii_pseudonyms, op6_warc_archive, op7_toxicity, op8_secret_scan,
-        op9_simhash_dedup, op10_source_mixing, op12_periodic_runs, op13_quality_rules,
+        op9_simhash_dedup, op10_source_mixing, op11_ranked_search, op12_periodic_runs, op13_quality_rules,
     )
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
