@@ -30,57 +30,77 @@ FROM times t LEFT JOIN took k USING (rid)
 """
 
 _GAPS = r"""
-  SELECT doc_id, rid, {no} AS kind_no, '{kind}' AS kind, i, body,
+  SELECT {key}, {no} AS kind_no, '{kind}' AS kind, i, body,
          list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
-  FROM (SELECT doc_id, rid, i, found, found[i] AS body, string_split_regex(text, '{pattern}') AS gaps
-        FROM (SELECT doc_id, rid, text, found, unnest(range(1, len(found) + 1)) AS i
-              FROM (SELECT doc_id, rid, text, regexp_extract_all(text, '{pattern}') AS found FROM docs)))
+  FROM (SELECT {key}, i, found, found[i] AS body, string_split_regex(text, '{pattern}') AS gaps
+        FROM (SELECT {key}, text, found, unnest(range(1, len(found) + 1)) AS i
+              FROM (SELECT {key}, text, regexp_extract_all(text, '{pattern}') AS found FROM {rows})))
 """
 
 
 def _op8() -> str:
+    """Base spans, then entropy spans of whole candidates, then of pieces of candidates."""
     from graphloom.llm import secrets as s
 
     sql = lambda p: p.replace("'", "''")
-    spans = {k: _GAPS.format(no=n, kind=k, pattern=sql(p)) for n, (k, p) in enumerate((("assign", s.ASSIGN), ("access", s.ACCESS), ("hex", s.HEX), ("entropy", s.CANDIDATE)))}
+    spans = {k: _GAPS.format(key="rid", rows="docs", no=n, kind=k, pattern=sql(p)) for n, (k, p) in enumerate((("assign", s.ASSIGN), ("access", s.ACCESS), ("hex", s.HEX), ("entropy", s.CANDIDATE)))}
+    w = s.WINDOW
+    runs = _GAPS.format(key="rid, part", rows="parts", no=4, kind="piece", pattern=f"[^=]{{{w},}}")
     allowed = " OR ".join(f"regexp_matches(body, '{sql(p)}')" for p in s.ALLOWED)
     bits = (
         f"CASE WHEN regexp_matches(body, '^[0-9a-f]+$') OR regexp_matches(body, '^[0-9A-F]+$') THEN {s.HOT_BITS['hex']} "
         f"WHEN regexp_matches(body, '^[0-9A-Za-z]+$') THEN {s.HOT_BITS['alnum']} ELSE {s.HOT_BITS['base64']} END"
     )
-    w = s.WINDOW
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 base AS (
-  SELECT doc_id, rid, kind_no, kind, start, start + length(body) AS stop FROM ({spans['assign']}) WHERE length(regexp_extract(body, '{sql(s.ASSIGN)}', 2)) >= 6
-  UNION ALL SELECT doc_id, rid, kind_no, kind, start, start + length(body) FROM ({spans['access']})
-  UNION ALL SELECT doc_id, rid, kind_no, kind, start, start + length(body) FROM ({spans['hex']})),
+  SELECT rid, kind_no, kind, start, start + length(body) AS stop FROM ({spans['assign']}) WHERE length(regexp_extract(body, '{sql(s.ASSIGN)}', 2)) >= 6
+  UNION ALL SELECT rid, kind_no, kind, start, start + length(body) FROM ({spans['access']})
+  UNION ALL SELECT rid, kind_no, kind, start, start + length(body) FROM ({spans['hex']})),
+candidates AS MATERIALIZED (SELECT rid, start, start + length(body) AS stop, body FROM ({spans['entropy']})),
 tried AS (
-  SELECT c.* FROM (SELECT *, start + length(body) AS stop FROM ({spans['entropy']}) WHERE NOT ({allowed})) c
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.stop AND c.start < b.stop)),
-windows AS (SELECT rid, i, start, body, unnest(range(0, length(body) - {w - 1})) AS pos FROM tried),
-chars AS (SELECT rid, i, start, body, pos, unnest(string_split(substr(body, pos + 1, {w}), '')) AS ch FROM windows),
-counted AS (SELECT rid, i, start, body, pos, ch, count(*) AS c FROM chars GROUP BY ALL),
+  SELECT c.rid, 3 AS kind_no, 'entropy' AS kind, start, body FROM candidates c
+  WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.stop AND c.start < b.stop)),
+looked AS (
+  SELECT c.* FROM candidates c JOIN docs d USING (rid)
+  WHERE regexp_matches(d.text, '{sql(s.WORD)}') OR regexp_matches(d.text, '{sql(s.NAMED_SIGN)}') OR rid IN (SELECT rid FROM base)),
+met AS (SELECT c.rid, c.start AS c_start, c.stop AS c_stop, b.start, b.stop, b.kind_no FROM looked c JOIN base b ON b.rid = c.rid AND b.start < c.stop AND c.start < b.stop),
+free AS (
+  SELECT rid, greatest(c_start, coalesce(max(stop) OVER (PARTITION BY rid, c_start ORDER BY start, kind_no, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c_start)) AS start, start AS stop FROM met
+  UNION ALL SELECT c.rid, greatest(c.start, coalesce(m.stop, c.start)), c.stop
+  FROM looked c LEFT JOIN (SELECT rid, c_start, max(stop) AS stop FROM met GROUP BY ALL) m ON m.rid = c.rid AND m.c_start = c.start),
+parts AS (SELECT rid, f.start AS part, substr(text, f.start + 1, f.stop - f.start) AS text FROM free f JOIN docs USING (rid) WHERE f.stop - f.start >= {w}),
+bare AS (
+  SELECT rid, part + start AS start, body, regexp_matches(body, '{sql(s.WORD)}') AS marked, regexp_replace(body, '{sql(s.BEFORE)}', '') AS rest FROM ({runs})),
+pieces AS (
+  SELECT rid, 4 AS kind_no, 'piece' AS kind, start, body FROM (
+    SELECT rid, CASE WHEN marked THEN start + length(body) - length(rest) ELSE start END AS start, CASE WHEN marked THEN regexp_replace(rest, '{sql(s.AFTER)}', '') ELSE body END AS body FROM bare)
+  WHERE length(body) >= {w} AND NOT ({allowed})),
+every AS (SELECT *, row_number() OVER () AS no FROM (SELECT * FROM tried UNION ALL SELECT * FROM pieces)),
+windows AS (SELECT no, body, unnest(range(0, length(body) - {w - 1})) AS pos FROM every),
+chars AS (SELECT no, body, pos, unnest(string_split(substr(body, pos + 1, {w}), '')) AS ch FROM windows),
+counted AS (SELECT no, body, pos, ch, count(*) AS c FROM chars GROUP BY ALL),
 hot AS (
-  SELECT rid, i, start, min(pos) AS first, max(pos) AS last FROM (
-    SELECT rid, i, start, body, pos FROM counted GROUP BY ALL HAVING log2({w}) - sum(c * log2(c)) / {w} >= any_value({bits}))
+  SELECT no, min(pos) AS first, max(pos) AS last FROM (
+    SELECT no, pos FROM counted GROUP BY no, body, pos HAVING log2({w}) - sum(c * log2(c)) / {w} >= any_value({bits}))
   GROUP BY ALL),
+warm AS (SELECT rid, kind_no, kind, start + first AS start, start + last + {w} AS stop FROM every JOIN hot USING (no)),
 spans AS (
   SELECT rid, kind_no, kind, start, stop FROM base
-  UNION ALL SELECT rid, 3, 'entropy', start + first, start + last + {w} FROM hot),
+  UNION ALL SELECT * FROM warm WHERE kind_no = 3
+  UNION ALL SELECT * FROM warm p WHERE kind_no = 4 AND NOT EXISTS (SELECT 1 FROM warm e WHERE e.kind_no = 3 AND e.rid = p.rid AND e.start <= p.start AND p.stop <= e.stop)),
 told AS (
   SELECT rid, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
-         count(*) FILTER (kind_no = 3) AS n_entropy,
+         count(*) FILTER (kind_no = 3) AS n_entropy, count(*) FILTER (kind_no = 4) AS n_piece,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base_spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS spans
   FROM spans GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       coalesce(n_entropy, 0)::BIGINT AS n_entropy, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_entropy, 0)::BIGINT AS n_entropy, coalesce(n_piece, 0)::BIGINT AS n_piece, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs d LEFT JOIN told USING (rid)
 """
 
 
-
 OP2 = r"""
 WITH docs AS (
   SELECT doc_id, row_number() OVER () AS rid,

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bound, text_or_empty
+from graphloom.llm.common import bound, free_name, text_or_empty
 
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = (
@@ -205,7 +205,7 @@ def _pieces(text: Column, base: Column, told: Column) -> Column:
 def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", pieces: bool = False) -> DataFrame:
     """Adds ``into``: array<struct<start, kind_no, stop, body>>, ordered by start, then kind.
 
-    ``kind_no`` indexes KINDS. A column named ``into`` is replaced.
+    ``kind_no`` indexes KINDS. A column named ``into`` is replaced; no other column is touched.
     """
     text = text_or_empty(text_col)
     assign = _when(
@@ -213,13 +213,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets",
     )
     access = _when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access"))
     hexes = _when(text.rlike(HEX), _spans(text, HEX, "hex"))
-    found = docs.withColumn("_base", F.concat(assign, access, hexes))
-    found = found.withColumn("_more", _when(text.rlike(CANDIDATE_SIGN), _entropy(text, F.col("_base"))))
-    if not pieces:
-        return found.withColumn(into, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_more")
-    sign = text.rlike(CANDIDATE_SIGN) & ((F.size("_base") > 0) | text.rlike(WORD) | text.rlike(NAMED_SIGN))
-    found = found.withColumn("_rest", _when(sign, _pieces(text, F.col("_base"), F.col("_more"))))
-    return found.withColumn(into, F.array_sort(F.concat("_base", "_more", "_rest"))).drop("_base", "_more", "_rest")
+    own = {n: free_name(docs, n) for n in ("_base", "_more", "_rest")}
+    base, more, rest = (F.col(c) for c in own.values())
+    found = docs.withColumn(own["_base"], F.concat(assign, access, hexes))
+    found = found.withColumn(own["_more"], _when(text.rlike(CANDIDATE_SIGN), _entropy(text, base)))
+    sign = F.lit(pieces) & text.rlike(CANDIDATE_SIGN) & ((F.size(base) > 0) | text.rlike(WORD) | text.rlike(NAMED_SIGN))
+    found = found.withColumn(own["_rest"], _when(sign, _pieces(text, base, more)))
+    return found.withColumn(into, F.array_sort(F.concat(base, more, rest))).drop(*own.values())
 
 
 def spans_text(spans: Column) -> Column:
@@ -233,8 +233,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
 
     Overlapping spans (an assignment whose value is hex) are replaced once, as a whole.
     """
-    columns = docs.columns
-    found = find_secrets(docs, text_col, "_secrets", pieces)
+    columns, into = docs.columns, free_name(docs, "_secrets")
+    found = find_secrets(docs, text_col, into, pieces)
     text = text_or_empty(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -246,6 +246,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
-        F.col("_secrets"), zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+        F.col(into), zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
     )
-    return found.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(F.col(text_col))).select(*columns)
+    return found.withColumn(text_col, F.when(F.size(into) > 0, clean).otherwise(F.col(text_col))).select(*columns)
