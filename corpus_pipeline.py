@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, mixing, secrets, simhash, toxicity
-from graphloom.llm.common import fresh_dir
+from graphloom.llm.common import free_name, fresh_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text where it changed."""
-    columns = docs.columns
-    old = docs.withColumn("_old", F.col("text"))
-    new = secrets.redact_secrets(old, pieces=True)
-    return new.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_old")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+    before = free_name(docs, "_old")
+    new = secrets.redact_secrets(docs.withColumn(before, F.col("text")), pieces=True)
+    same = F.col("text").eqNullSafe(F.col(before))
+    return new.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
