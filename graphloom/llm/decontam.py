@@ -1,18 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Test items are cut into phrases of consecutive words. The corpus frequency of the items' terms
-tells the rarest terms of each phrase; only postings (document, position) of those terms are
-kept. A posting's position less the term's place in the item is the diagonal on which the whole
-item would lie; intersecting the offset-adjusted lists of a phrase's rarest terms is one
-aggregation by (document, item, diagonal), since all terms of an exact phrase share a diagonal.
-What survives is compared word by word with the document. Proximity matches ask that the
-rarest terms' offset-adjusted positions lie within a slop of each other instead.
+Test items are cut into phrases of consecutive words, each told once however many items hold it
+(which items do is a table beside). The corpus frequency of the items' terms tells the rarest
+terms of each phrase; phrases with the same rarest terms at the same distances are one entry of
+the look-up. Only postings (term, document, position) of rarest terms are stored, sorted by term
+in each file. A posting's position less the term's distance from the rarest is the place where
+that rarest term would be; intersecting the offset-adjusted lists is one aggregation by (document,
+entry, place). What survives is compared word by word with the document, for exact phrases, and
+for near ones: all the phrase's words in order within ``slop`` words more. Near phrases allow
+places to differ by ``slop``, by aggregating over zones of that width.
 
 The terms of the items are broadcast while there are at most ``BROADCAST_TERMS`` of them (they
-are counted first) and joined by a shuffle beyond that; what is broadcast of the corpus has a
-fixed number of slots. Aggregation keys hold the document, so a
-passage that a third of the corpus shares does not meet in one task; lined-up terms find their
-phrase by item and place, which at most as many phrases share as a phrase has words.
+are counted first) and joined by a shuffle beyond that, after words have been counted in their
+tasks; what is broadcast of the corpus has a fixed number of slots. Aggregation keys hold the
+document, so a passage that a third of the corpus shares does not meet in one task. The items of
+a document are looked up once for each different set of phrases.
 
 Defined results: null texts and texts without words match nothing; an item of fewer words than a
 phrase needs is one phrase; rows that repeat a doc_id are judged each by its own text, rows that
@@ -25,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORD, ascii_lower, bound, fresh_dir, row_key, slot, slots_of, text_or_empty, without
+from graphloom.llm.common import ALNUM_WORD, ascii_lower, bound, fresh_dir, row_key, slot, slots_of, spread_join, text_or_empty, without
 
 PHRASE_WORDS = 10
 #: How many rarest terms of each phrase are looked up.
 LISTS = 2
+#: Words by which a near phrase may be longer.
+SLOP = 3
 #: Most terms, and bytes of terms, that are broadcast.
 BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 32 << 20
 _GAP = ALNUM_WORD.replace("[^", "[")
@@ -57,14 +61,11 @@ def words_of(text: Column) -> Column:
 
 
 def phrases(items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
-    """(item_id, text) -> (item_key, item_id, at, words): every n consecutive words of an item."""
-    cut = items.select(row_key("item_id", "text").alias("item_key"), F.col("item_id"), words_of(text_or_empty()).alias("all")).distinct()
+    """(item_id, text) -> (phrase, item_id, words): every n consecutive words of an item; ``phrase`` names the words."""
+    cut = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_or_empty()).alias("all")).distinct()
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - n, F.lit(0)))
-    return (
-        cut.filter(F.size("all") > 0)
-        .select("item_key", "item_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("all", i + 1, n).alias("words")))).alias("p"))
-        .select("item_key", "item_id", "p.at", "p.words")
-    )
+    each = cut.filter(F.size("all") > 0).select("item_id", F.explode(F.transform(starts, lambda i: F.slice("all", i + 1, n))).alias("words"))
+    return each.select(F.md5(F.array_join("words", " ")).alias("phrase"), "item_id", "words").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -74,81 +75,78 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def rarest_terms(phr: DataFrame, docs: DataFrame, lists: int = LISTS) -> DataFrame:
-    """Adds ``places``: places in the item of each phrase's rarest different terms, rarest first.
+    """(phrase, words) -> (phrase, words, first, entry, terms): the phrase's rarest different terms.
 
-    Phrases with a term that the corpus lacks cannot match and are dropped.
+    ``terms``: array<struct<term, shift>>, rarest first, with each one's distance from the rarest;
+    ``first``: the place of the rarest in the phrase; ``entry``: a hash of ``terms``. Phrases with a
+    term that the corpus lacks cannot match and are dropped.
     """
     terms = phr.select(F.explode("words").alias("term")).distinct()
-    wanted = _small(terms)
-    counts = docs.select(F.explode(cells_of(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count()
+    wanted, every = _small(terms), docs.select(F.explode(cells_of(text_or_empty())).alias("term"))
+    if wanted is terms:  # too many to broadcast: words are counted in their tasks before they meet the terms
+        counts = every.groupBy("term").count().join(terms, "term", "left_semi")
+    else:
+        counts = every.join(wanted, "term", "left_semi").groupBy("term").count()
     known = terms.join(counts, "term", "left")
-    each = phr.select("item_key", "at", F.posexplode("words").alias("place", "term")).join(known, "term")
+    each = phr.select("phrase", F.posexplode("words").alias("place", "term")).join(known, "term")
+    order = Window.partitionBy("phrase").orderBy(F.col("count").asc_nulls_first(), "term")
     ranked = (
-        each.groupBy("item_key", "at", "term")
-        .agg(F.min("place").alias("place"), F.first("count").alias("count"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("item_key", "at").orderBy(F.col("count").asc_nulls_first(), "term")))
-        .filter(F.col("rank") <= lists)
-        .groupBy("item_key", "at")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "place", "count"))).alias("r"))
+        each.groupBy("phrase", "term").agg(F.min("place").alias("place"), F.first("count").alias("count"))
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= lists)
+        .groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("rank", "place", "term", "count"))).alias("r"))
         .filter(F.col("r")[0]["count"].isNotNull())
-        .select(F.col("item_key").alias("r_key"), F.col("at").alias("r_at"), F.transform("r", lambda x: x["place"] + F.col("at")).alias("places"))
-    )
-    return phr.join(ranked, (F.col("item_key") == F.col("r_key")) & (F.col("at") == F.col("r_at"))).drop("r_key", "r_at")
+        .select(F.col("phrase").alias("r_phrase"), F.col("r")[0]["place"].alias("first"), F.transform("r", lambda x: F.struct(x["term"].alias("term"), (x["place"] - F.col("r")[0]["place"]).alias("shift"))).alias("terms"))
+    )
+    return phr.join(ranked, F.col("phrase") == F.col("r_phrase")).select("phrase", "words", "first", F.xxhash64("terms").alias("entry"), "terms")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of ``terms`` (term, item_key, place): one row for each occurrence.
+    """(term, doc_id, doc_key, pos): the positional index of ``terms`` (term), one row for each occurrence."""
+    every = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.posexplode(cells_of(text_or_empty())).alias("pos", "term"))
+    return every.join(_small(terms), "term", "left_semi").select("term", "doc_id", "doc_key", "pos")
+
+
+def build_index(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(phrases with their rarest terms, which items hold them, postings of rarest terms), each written once."""
+    spark, at = docs.sparkSession, fresh_dir(docs.sparkSession, "index")
+    phrases(items, n).write.parquet(f"{at}/members")
+    members = spark.read.parquet(f"{at}/members")
+    rarest_terms(members.select("phrase", "words").distinct(), docs, lists).write.parquet(f"{at}/phrases")
+    chosen = spark.read.parquet(f"{at}/phrases")
+    wanted = chosen.select(F.explode("terms").alias("t")).select("t.term").distinct()
+    postings(docs, wanted).sortWithinPartitions("term", "doc_key", "pos").write.parquet(f"{at}/postings")
+    return chosen, members.select("phrase", "item_id"), spark.read.parquet(f"{at}/postings")
+
 
-    (doc_id, doc_key, item_key, place, diagonal): ``diagonal`` is the document position at which
-    the item would begin.
+def candidates(chosen: DataFrame, index: DataFrame, slop: int = 0) -> DataFrame:
+    """(doc_id, doc_key, start, phrase, words): where all rarest terms of a phrase line up within ``slop`` words.
+
+    ``start`` is where the rarest says the phrase begins.
     """
-    every = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.posexplode(cells_of(text_or_empty())).alias("pos", "term"))
-    return every.join(_small(terms), "term").select("doc_id", "doc_key", "item_key", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
-
-
-def _index(docs: DataFrame, items: DataFrame, n: int, lists: int) -> tuple[DataFrame, DataFrame]:
-    """(phrases with their rarest places, postings of those), the phrases written once."""
-    at = fresh_dir(docs.sparkSession, "phrases")
-    rarest_terms(phrases(items, n), docs, lists).write.parquet(at)
-    chosen = docs.sparkSession.read.parquet(at)
-    terms = chosen.select("item_key", F.explode("places").alias("place"), "at", "words").select(
-        "item_key", "place", F.get("words", F.col("place") - F.col("at")).alias("term")
-    ).distinct()
-    return chosen, postings(docs, terms)
-
-
-def candidates(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
-    """(doc_id, doc_key, start, item_key, item_id, words): where all rarest terms of a phrase line up."""
-    chosen, index = _index(docs, items, n, lists)
-    lined = index.groupBy("doc_id", "doc_key", F.col("item_key").alias("l_key"), "diagonal").agg(F.collect_set("place").alias("met"))
-    # phrases with fewer places than lists (few different terms) are looked up by what they have
-    few = _few(chosen, lists)
-    whole = lined.filter(F.size("met") >= lists)
-    if few is not None:
-        whole = whole.unionByName(lined.filter(F.size("met") < lists).join(few, F.col("l_key") == F.col("f_key"), "left_semi"))
-    start = F.col("diagonal") + F.col("at")
-    inside = F.size(F.array_except("places", "met")) == 0
-    by_place = whole.withColumn("l_place", F.explode("met"))
-    same = (F.col("l_key") == F.col("item_key")) & (F.col("l_place") == F.get("places", F.lit(0)))
-    return by_place.join(chosen, same & inside & (start >= 0)).select("doc_id", "doc_key", start.alias("start"), "item_key", "item_id", "words")
-
-
-def _few(chosen: DataFrame, lists: int) -> DataFrame | None:
-    """(f_key) of items with a phrase of fewer places than ``lists``; None if there are none."""
-    keys = chosen.filter(F.size("places") < lists).select(F.col("item_key").alias("f_key")).distinct()
-    return keys if keys.limit(1).count() else None
-
-
-def exact_matches(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
-    """``docs``' rows as (doc_id, doc_key, n_words, spans, item_ids).
-
-    ``spans``: array<struct<start, stop>> of the phrases' exact occurrences in words, sorted;
-    ``item_ids``: the ids of items with an occurring phrase, as strings, sorted. Texts travel only
-    where their key's slot holds a candidate.
+    entries = chosen.groupBy("entry").agg(F.first("terms").alias("terms"))
+    looked = entries.select("entry", F.size("terms").alias("roles"), F.posexplode("terms").alias("role", "t")).select("entry", "roles", "role", "t.term", "t.shift")
+    met = index.join(_small(looked), "term").select("doc_id", "doc_key", "entry", "roles", "role", (F.col("pos") - F.col("shift")).alias("place"))
+    zone = F.floor(F.col("place") / (slop + 1))
+    near = F.when(F.col("role") == 0, F.array(zone)).otherwise(F.array(zone - 1, zone, zone + 1) if slop else F.array(zone))
+    lined = met.withColumn("zone", F.explode(near)).groupBy("doc_id", "doc_key", "entry", "roles", "zone").agg(F.collect_set(F.struct("role", "place")).alias("met"))
+    roles = F.size(F.array_distinct(F.transform("met", lambda x: x["role"])))
+    others = lambda lead: F.filter("met", lambda y: F.abs(y["place"] - lead["place"]) <= slop)
+    whole = lambda lead: (lead["role"] == 0) & (F.size(F.array_distinct(F.transform(others(lead), lambda y: y["role"]))) == F.col("roles"))
+    lead = lined.filter(roles == F.col("roles")).select("doc_id", "doc_key", F.col("entry").alias("l_entry"), F.explode(F.filter("met", whole)).alias("lead"))
+    start = F.col("lead")["place"] - F.col("first")
+    return lead.join(chosen, F.col("l_entry") == F.col("entry")).filter(start >= -slop).select("doc_id", "doc_key", start.alias("start"), "phrase", "words")
+
+
+def matches(docs: DataFrame, chosen: DataFrame, index: DataFrame, slop: int = 0) -> DataFrame:
+    """``docs``' rows as (doc_id, doc_key, n_words, exact, near).
+
+    ``exact``: array<struct<start, stop, phrase>> of the phrases' occurrences in words; ``near``:
+    array<struct<start, extra, phrase>> of places where all words of a phrase occur in order with
+    1 to ``slop`` words more between them. Texts travel only where their key's slot holds a candidate.
     """
     at = fresh_dir(docs.sparkSession, "candidates")
-    candidates(docs, items, n, lists).groupBy(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key")).agg(
-        F.collect_list(F.struct("start", F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"), F.col("item_id").cast("string").alias("item_id"))).alias("tries")
+    candidates(chosen, index, slop).groupBy(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key")).agg(
+        F.collect_list(F.struct("start", "phrase", "words")).alias("tries")
     ).write.parquet(at)
     tried = docs.sparkSession.read.parquet(at)
     keyed = docs.select("doc_id", text_or_empty().alias("text"), row_key("doc_id", "text").alias("doc_key")).withColumn("n_words", n_words(cells_of(F.col("text"))))
@@ -156,17 +154,34 @@ def exact_matches(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, list
     light = marked.select("doc_id", "doc_key", "n_words", F.when(F.col("_slot").isNotNull(), F.col("text")).alias("text"))
     joined = light.join(tried, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key")), "left")
 
+    def same(cells: Column, t: Column) -> Column:
+        return (t["start"] >= 0) & (F.slice(cells, F.greatest(t["start"], F.lit(0)) + 1, F.size(t["words"])) == t["words"])
+
+    def extra(cells: Column, t: Column, begin: Column) -> Column:
+        """Words more than the phrase's from ``begin`` to its last word, met one after another; null if it is not met."""
+        n = F.size(t["words"])
+        part = F.slice(cells, F.greatest(begin, F.lit(0)) + 1, n + slop)
+        zero = F.struct(F.lit(0).alias("met"), F.lit(0).alias("read"))
+        step = lambda acc, c: F.struct((acc["met"] + F.when(c == F.get(t["words"], acc["met"]), 1).otherwise(0)).alias("met"), (acc["read"] + F.when(acc["met"] < n, 1).otherwise(0)).alias("read"))
+        return F.when((begin >= 0) & (F.get(cells, F.greatest(begin, F.lit(0))) == F.get(t["words"], F.lit(0))), F.aggregate(part, zero, step, lambda acc: F.when(acc["met"] == n, acc["read"] - n)))
+
     def check(cells: Column) -> Column:
         lead = leading(cells)
-        hits = F.filter("tries", lambda t: F.array_join(F.slice(cells, t["start"] + 1, t["n"]), " ") == t["phrase"])
-        span = F.transform(hits, lambda t: F.struct((t["start"] - lead).alias("start"), (t["start"] - lead + t["n"]).alias("stop"), t["item_id"].alias("item_id")))
-        return F.when(F.col("tries").isNotNull(), span)
+        hits = F.transform(F.filter("tries", lambda t: same(cells, t)), lambda t: F.struct((t["start"] - lead).alias("start"), (t["start"] - lead + F.size(t["words"])).alias("stop"), t["phrase"].alias("phrase")))
+        if not slop:
+            return F.struct(hits.alias("exact"), F.array().cast(_NEAR).alias("near"))
+        begins = F.sequence(F.lit(0), F.lit(slop))
+        loose = F.filter("tries", lambda t: ~same(cells, t))
+        each = lambda t: F.transform(begins, lambda d: F.struct((t["start"] - d - lead).alias("start"), extra(cells, t, t["start"] - d).alias("extra"), t["phrase"].alias("phrase")))
+        found = F.filter(F.flatten(F.transform(loose, each)), lambda x: x["extra"] > 0)
+        return F.struct(hits.alias("exact"), F.array_distinct(found).alias("near"))
+
+    none = F.struct(F.array().cast(_EXACT).alias("exact"), F.array().cast(_NEAR).alias("near"))
+    found = F.when(F.col("tries").isNotNull(), bound(cells_of(F.col("text")), check))
+    return joined.select("doc_id", "doc_key", "n_words", F.coalesce(found, none).alias("f")).select("doc_id", "doc_key", "n_words", "f.exact", "f.near")
 
-    none = F.array().cast("array<struct<start:int,stop:int,item_id:string>>")
-    found = joined.select("doc_id", "doc_key", "n_words", F.coalesce(bound(cells_of(F.col("text")), check), none).alias("hits"))
-    spans = F.transform("hits", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")))
-    ids = F.filter(F.transform("hits", lambda t: t["item_id"]), lambda i: i.isNotNull())
-    return found.select("doc_id", "doc_key", "n_words", F.array_sort(F.array_distinct(spans)).alias("spans"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
+
+_EXACT, _NEAR = "array<struct<start:int,stop:int,phrase:string>>", "array<struct<start:int,extra:int,phrase:string>>"
 
 
 def covered(spans: Column) -> Column:
@@ -181,44 +196,47 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), step, lambda acc: acc["n"]).cast("long")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
-    """(doc_id, item_id, start, spread): phrases whose rarest terms occur within ``slop`` words of
-    their places; ``start`` is where the rarest says the phrase begins, ``spread`` how far off the
-    others are at most. One row for each document, item and start, by its least spread.
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, n: int = PHRASE_WORDS, lists: int = LISTS) -> DataFrame:
+    """(doc_id, item_id, start, spread): phrases of items whose words all occur in order, with at most
+    ``slop`` words more between them; ``spread`` is how many. One row for each document, item and
+    start, by its least spread; exact occurrences have spread 0.
+    """
+    chosen, members, index = build_index(docs, items, n, lists)
+    found = matches(docs, chosen, index, slop)
+    exact = F.transform("exact", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("spread"), x["phrase"].alias("phrase")))
+    near = F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["extra"].alias("spread"), x["phrase"].alias("phrase")))
+    each = found.select("doc_id", F.explode(F.concat(exact, near)).alias("m")).select("doc_id", "m.start", "m.spread", F.col("m.phrase").alias("m_phrase"))
+    met = each.join(members, F.col("m_phrase") == F.col("phrase"))
+    return met.groupBy("doc_id", "item_id", "start").agg(F.min("spread").alias("spread"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near: one row for each row of ``docs``.
+
+    ``n_near``: different phrases that occur nearly (see ``matches``) and nowhere exactly.
     """
-    chosen, index = _index(docs, items, n, lists)
-    index = index.withColumn("zone", F.floor(F.col("diagonal") / (slop + 1)))
-    by_phrase = chosen.select("item_key", "item_id", "at", F.posexplode("places").alias("role", "place"), F.size("places").alias("roles"))
-    by_phrase = by_phrase.select(F.col("item_key").alias("p_key"), "item_id", "at", "role", F.col("place").alias("p_place"), "roles")
-    met = index.join(by_phrase, (F.col("item_key") == F.col("p_key")) & (F.col("place") == F.col("p_place"))).select("doc_id", "doc_key", "item_key", "item_id", "at", "role", "roles", "diagonal", "zone")
-    lead = met.filter("role = 0").select(*[F.col(c).alias(f"l_{c}") for c in met.columns])
-    others = met.filter("role > 0").withColumn("zone", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)))
-    same = (
-        F.col("l_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("l_doc_key") == F.col("doc_key")) & (F.col("l_item_key") == F.col("item_key"))
-        & (F.col("l_at") == F.col("at")) & (F.col("l_zone") == F.col("zone")) & (F.abs(F.col("l_diagonal") - F.col("diagonal")) <= slop)
-    )
-    key = ["l_doc_id", "l_doc_key", "l_item_key", "l_item_id", "l_at", "l_diagonal", "l_roles"]
-    near = lead.join(others, same, "left").groupBy(*key, "role").agg(F.min(F.abs(F.col("l_diagonal") - F.col("diagonal"))).alias("off"))
-    whole = near.groupBy(*key).agg(F.count("off").alias("found"), F.coalesce(F.max("off"), F.lit(0)).alias("spread")).filter(F.col("found") == F.col("l_roles") - 1)
-    return whole.groupBy(F.col("l_doc_id").alias("doc_id"), F.col("l_item_id").alias("item_id"), (F.col("l_diagonal") + F.col("l_at")).alias("start")).agg(F.min("spread").alias("spread"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of ``docs``."""
-    found = exact_matches(docs, items, n)
-    hit = covered(F.col("spans"))
-    return found.select(
-        "doc_id",
-        "n_words",
-        hit.alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
-    )
+    chosen, members, index = build_index(docs, items, n)
+    names = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["phrase"])))
+    spans = F.array_sort(F.transform("exact", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))
+    found = matches(docs, chosen, index, slop).select("doc_id", "n_words", covered(spans).alias("n_hit"), names("exact").alias("held"), F.size(F.array_except(names("near"), names("exact"))).cast("long").alias("n_near"))
+    at = fresh_dir(docs.sparkSession, "matches")
+    found.withColumn("set", F.when(F.size("held") > 0, F.md5(F.array_join("held", "")))).write.parquet(at)
+    found = docs.sparkSession.read.parquet(at)
+    # each set of phrases once, with the items that hold one of them
+    sets = found.filter("set is not null").groupBy(F.col("set").alias("s_set")).agg(F.count(F.lit(1)).alias("rows"), F.first("held").alias("held"))
+    each = sets.select("s_set", "rows", F.explode("held").alias("m_phrase")).join(members, F.col("m_phrase") == F.col("phrase"), "left")
+    ids = each.groupBy("s_set", "rows").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    told = ids.select("s_set", "rows", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "n_near"]
+    hit = spread_join(found.filter("set is not null").drop("held"), told, "set", "s_set", "rows").select(*columns)
+    clean = found.filter("set is null").withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)})
+    return hit.unionByName(clean.select(*columns))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS) -> DataFrame:
     """``docs`` without the rows that hold an exact phrase of an item."""
     at = fresh_dir(docs.sparkSession, "contaminated")
-    exact_matches(docs, items, n).filter(F.size("spans") > 0).select(F.col("doc_id").alias("g_id"), F.col("doc_key").alias("g_key")).distinct().write.parquet(at)
+    chosen, _, index = build_index(docs, items, n)
+    found = matches(docs, chosen, index).filter(F.size("exact") > 0)
+    found.select(F.col("doc_id").alias("g_id"), F.col("doc_key").alias("g_key")).distinct().write.parquet(at)
     return without(docs, docs.sparkSession.read.parquet(at), row_key("doc_id", "text"))

@@ -117,10 +117,18 @@ places AS (
   FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM phrases))),
 hits AS (SELECT rid, i, p.n, item_id FROM places JOIN phrases p USING (n, phrase)),
 words AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY rid),
-found AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hits) GROUP BY rid)
+found AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hits) GROUP BY rid),
+texts AS (SELECT DISTINCT n, phrase, string_split(phrase, ' ') AS pw FROM phrases),
+opened AS (SELECT rid, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+loose AS MATERIALIZED (
+  SELECT rid, n, phrase, pw, part FROM (SELECT rid, n, phrase, pw, w[i:i + n + 2] AS part FROM opened JOIN texts ON word = pw[1]) WHERE list_has_all(part, pw)),
+near AS (
+  SELECT DISTINCT rid, n, phrase FROM loose
+  WHERE regexp_matches(array_to_string(part, ' '), '^' || array_to_string(pw, '( [^ ]+)* ') || '( |$)')),
+nearly AS (SELECT rid, count(*) AS n_near FROM near ANTI JOIN (SELECT rid, i.n, i.phrase FROM places i) USING (rid, n, phrase) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid) LEFT JOIN nearly USING (rid)
 """
 
 OP3 = r"""
