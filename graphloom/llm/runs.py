@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import free_name
+
 #: A run repeats its period so many times, and has so many words at least.
 TIMES, LEAST = 4, 6
 CHUNK = 64
@@ -163,7 +165,8 @@ def periodic_runs(docs: DataFrame, *keep: str, loop: Column | None = None) -> Da
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     h = F.lit(None) if loop is None else loop
-    return docs.select(F.col("text").cast("string").alias("_text"), h.cast("long").alias("_loop"), *keep).mapInArrow(run, ", ".join(filter(None, [schema, SCHEMA])))
+    text, of = free_name(docs, "_text"), free_name(docs, "_loop")
+    return docs.select(F.col("text").cast("string").alias(text), h.cast("long").alias(of), *keep).mapInArrow(run, ", ".join(filter(None, [schema, SCHEMA])))
 
 
 def facts(docs: DataFrame) -> DataFrame:
