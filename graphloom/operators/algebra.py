@@ -2,6 +2,7 @@
 
 Queries are built with Python calls; Catalyst plans them. A solution is a DataFrame with one
 struct column for each variable: (kind, value, dt, lang), null where the variable is unbound.
+A column that cannot be null is always bound, and joins on such columns only are plain equi-joins.
 Numbers, dates and strings are taken out of a term by the functions below, which give null where
 SPARQL has a type error, so a filter drops the row.
 """
@@ -61,32 +62,92 @@ def pattern(triples: DataFrame, s, p, o) -> DataFrame:
     return triples.select(*[c.alias(n) for n, c in bound.items()]) if bound else triples.select(F.lit(True).alias("_met")).limit(1)
 
 
-def _joined(a: DataFrame, b: DataFrame, how: str, maybe_unbound: tuple[str, ...] = (), where=None) -> DataFrame:
+#: Copies of the right side where solutions share no bound variable, so that a product is no single task's.
+SALTS = 16
+
+
+def _loose(a: DataFrame, b: DataFrame, named: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """(shared variables that are always bound, those that may be unbound on either side)."""
     shared = [c for c in a.columns if c in b.columns]
+    maybe = [c for c in shared if c in named or a.schema[c].nullable or b.schema[c].nullable]
+    return [c for c in shared if c not in maybe], maybe
+
+
+def _masked(side: DataFrame, maybe: list[str], own: str, other: str, prefix: str) -> DataFrame:
+    """A row of ``side`` for each set of variables that its partner may have bound.
+
+    Adds ``own`` and ``other`` (bit sets of bound variables), and for each variable its value where
+    both have it, else null: rows of the two sides are compatible where all of these are the same.
+    """
+    mask = F.lit(0)
+    for i, c in enumerate(maybe):
+        mask = mask + F.when(F.col(c).isNotNull(), 1 << i).otherwise(0)
+    out = side.withColumn(own, mask).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit((1 << len(maybe)) - 1))))
+    both = F.col(own).bitwiseAND(F.col(other))
+    return out.withColumns({f"{prefix}{i}": F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)) for i, c in enumerate(maybe)})
+
+
+def _pairs(a: DataFrame, b: DataFrame, sure: list[str], maybe: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their masks (variables of ``b`` as ``_r_name``), and the equalities that join them."""
     right = b.select(*[F.col(c).alias(f"_r_{c}") for c in b.columns])
     on = F.lit(True)
-    for c in shared:
-        same = F.col(c) == F.col(f"_r_{c}")
-        if c in maybe_unbound:  # only then: an unbound variable is compatible with any value
-            same = same | F.col(c).isNull() | F.col(f"_r_{c}").isNull()
-        on = on & same
+    for c in sure:
+        on = on & (F.col(c) == F.col(f"_r_{c}"))
+    if not maybe:
+        return a, right, on
+    left, right = _masked(a, maybe, "_am", "_bm", "_ak"), _masked(right, [f"_r_{c}" for c in maybe], "_r_bm", "_r_am", "_bk")
+    on = on & (F.col("_am") == F.col("_r_am")) & (F.col("_bm") == F.col("_r_bm"))
+    for i in range(len(maybe)):
+        on = on & F.col(f"_ak{i}").eqNullSafe(F.col(f"_bk{i}"))
+    return left, right, on
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return on
+
+
+def _merged(a: DataFrame, b: DataFrame, named: tuple[str, ...], where, keep: bool = False) -> DataFrame:
+    """Compatible pairs of solutions as one solution each; with ``keep`` also the left one, as ``_a_name``."""
+    sure, maybe = _loose(a, b, named)
+    left, right, on = _pairs(a, b, sure, maybe)
+    if maybe and not sure:  # rows that have no variable in common meet in a product, which is spread
+        apart = lambda x, y: F.col(x).bitwiseAND(F.col(y)) == 0
+        left = left.withColumn("_salt", F.when(apart("_am", "_bm"), F.pmod(F.xxhash64(*a.columns), F.lit(SALTS))).otherwise(0))
+        right = right.withColumn("_r_salt", F.explode(F.when(apart("_r_am", "_r_bm"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on = on & (F.col("_salt") == F.col("_r_salt"))
+    of = lambda c: F.coalesce(c, f"_r_{c}") if c in maybe else F.col(c) if c in a.columns else F.col(f"_r_{c}")
     if where is not None:
-        on = on & where(lambda n: F.col(n) if n in a.columns and n not in maybe_unbound else F.col(f"_r_{n}") if n not in a.columns else F.coalesce(n, f"_r_{n}"))
-    out = a.join(right, on, how)
-    if how in ("left_semi", "left_anti"):
-        return out
-    columns = [F.coalesce(c, f"_r_{c}").alias(c) if c in shared else F.col(c) for c in a.columns]
-    return out.select(*columns, *[F.col(f"_r_{c}").alias(c) for c in b.columns if c not in shared])
+        on = on & where(of)
+    extra = [F.col(c).alias(f"_a_{c}") for c in a.columns] if keep else []
+    return left.join(right, on).select(*[of(c).alias(c) for c in a.columns], *[of(c).alias(c) for c in b.columns if c not in a.columns], *extra)
 
 
 def join(a: DataFrame, b: DataFrame, *maybe_unbound: str) -> DataFrame:
-    """Solutions that agree on shared variables; name those that may be unbound on either side."""
-    return _joined(a, b, "inner", maybe_unbound)
+    """Compatible solutions of both: they agree where both have a variable bound.
+
+    Variables that may be unbound are known by their columns' nullability; others can be named.
+    They are split by what is bound: one equi-join over pairs of such sets, never a product with a
+    filter.
+    """
+    return _merged(a, b, maybe_unbound, None)
 
 
 def optional(a: DataFrame, b: DataFrame, *maybe_unbound: str, where=None) -> DataFrame:
-    """All of ``a``, with ``b`` where it agrees; ``where(var)`` is the filter inside OPTIONAL."""
-    return _joined(a, b, "left", maybe_unbound, where)
+    """All of ``a``, with ``b`` where it is compatible; ``where(var)`` is the filter inside OPTIONAL."""
+    sure, maybe = _loose(a, b, maybe_unbound)
+    if not maybe:
+        left, right, on = _pairs(a, b, sure, maybe)
+        on = on if where is None else on & where(lambda n: F.col(n) if n in a.columns else F.col(f"_r_{n}"))
+        return left.join(right, on, "left").select(*a.columns, *[F.col(f"_r_{c}").alias(c) for c in b.columns if c not in a.columns])
+    met = _merged(a, b, maybe_unbound, where, keep=True)
+    # whether a solution met one depends on its values only, so what is left is told by them
+    known = [c for c in a.columns if where is not None or c in sure or c in maybe]
+    seen = met.select(*[F.col(f"_a_{c}").alias(f"_m_{c}") for c in known]).distinct()
+    alone = a.join(seen, _same(known, "_m_"), "left_anti")
+    return met.drop(*[f"_a_{c}" for c in a.columns]).unionByName(alone, allowMissingColumns=True)
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -96,23 +157,42 @@ def union(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _met(a: DataFrame, b: DataFrame, how: str, overlap: bool) -> DataFrame:
+    """``a`` with (left_semi) or without (left_anti) the solutions that ``b`` has a compatible one for.
+
+    With ``overlap`` only one with a variable bound on both sides counts.
+    """
+    sure, maybe = _loose(a, b, ())
+    shared = [*sure, *maybe]
+    left, right, on = _pairs(a.select(*shared), b.select(*shared), sure, maybe)
+    if not maybe:
+        return a.join(right, on, how)
+    if overlap and not sure:
+        left, right = left.filter(F.col("_am").bitwiseAND(F.col("_bm")) > 0), right.filter(F.col("_r_am").bitwiseAND(F.col("_r_bm")) > 0)
+    keys = [f"_r_{c}" for c in sure] + ["_r_am", "_r_bm", *[f"_bk{i}" for i in range(len(maybe))]]
+    met = left.join(right.select(*keys).distinct(), on, "left_semi").select(*[F.col(c).alias(f"_m_{c}") for c in shared]).distinct()
+    return a.join(met, _same(shared, "_m_"), how)
+
+
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Without the solutions of ``b``; where the two share no variable nothing is taken away."""
-    return _joined(a, b, "left_anti") if set(a.columns) & set(b.columns) else a
+    """Without the solutions that are compatible with one of ``b`` and have a variable bound in common with it."""
+    return _met(a, b, "left_anti", True) if set(a.columns) & set(b.columns) else a
 
 
 def exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _joined(a, b, "left_semi")
+    """The solutions that a solution of ``b`` is compatible with."""
+    return _met(a, b, "left_semi", False)
 
 
 def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _joined(a, b, "left_anti")
+    return _met(a, b, "left_anti", False)
 
 
 def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """Inline solutions; None is UNDEF."""
     cells = [tuple(None if x is None else (iri(x) if isinstance(x, str) else x) for x in r) for r in rows]
-    return spark.createDataFrame(cells, ", ".join(f"{n} {TERM}" for n in names))
+    full = [" NOT NULL" if all(r[i] is not None for r in cells) else "" for i in range(len(names))]
+    return spark.createDataFrame(cells, ", ".join(f"{n} {TERM}{f}" for n, f in zip(names, full, strict=True)))
 
 
 def path_plus(triples: DataFrame, predicate: str, s: str = "s", o: str = "o", zero: bool = False) -> DataFrame:
