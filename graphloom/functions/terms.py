@@ -143,21 +143,41 @@ def property_local_name(label: Column) -> Column:
     return F.when(n == "", F.lit("property")).otherwise(F.concat(F.lower(F.substring(pascal, 1, 1)), F.substring(pascal, F.lit(2), F.length(pascal))))
 
 
+#: Full-width forms of the printable ASCII signs, as Unicode's compatibility forms have them.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F))
+#: Datatypes that a bare word names.
+BARE_DATATYPES = ("string", "integer", "decimal", "boolean", "date", "datetime", "time", "anyuri")
+
+
+def _datatype_token(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(F.translate(name, _WIDE + "\u3000", _NARROW + " ")), r"^<+|>+$", ""))
+
+
+def is_datatype_label(label: Column) -> Column:
+    """Does a class's label name a datatype, by prefix, IRI or one of the common bare names?"""
+    token = _datatype_token(label)
+    return F.coalesce((F.startswith(token, F.lit("xsd:")) | F.contains(token, F.lit("xmlschema#")) | token.isin(*BARE_DATATYPES)) & canonical_datatype(label).isNotNull(), F.lit(False))
+
+
 def canonical_datatype(name: Column) -> Column:
     """XSD IRI of a datatype's name, alias or IRI; null where it is unknown."""
-    token = F.lower(F.regexp_replace(F.trim(name), r"^<+|>+$", ""))
+    token = _datatype_token(name)
     bare = F.regexp_replace(token, "^(?:xsd:|.*xmlschema#)", "")
     known = F.create_map(*[F.lit(x) for pair in DATATYPES.items() for x in pair])
     return F.concat(F.lit(XSD), F.try_element_at(known, bare))
 
 
+#: Lexical forms of numbers.
+XSD_INTEGER, XSD_DECIMAL, XSD_DOUBLE = r"[+-]?[0-9]+", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)", r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
 def xsd_valid(value: Column, dt: Column) -> Column:
-    """Is a lexical value in its datatype's space? Datatypes without a rule accept all."""
-    kind = F.regexp_extract(dt, r"[^#]*$", 0)
+    """Is a lexical value in its datatype's space? White space around it does not count; datatypes without a rule accept all."""
+    kind, x = F.regexp_extract(dt, r"[^#]*$", 0), F.regexp_replace(value, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     return (
-        F.when(kind == "integer", value.rlike(r"^[+-]?[0-9]+$"))
-        .when(kind.isin("decimal", "float", "double"), value.try_cast("double").isNotNull())
-        .when(kind == "boolean", value.isin("true", "false", "1", "0"))
+        F.when(kind == "integer", x.rlike(f"^(?:{XSD_INTEGER})$"))
+        .when(kind.isin("decimal", "float", "double"), x.rlike(f"^(?:{XSD_DOUBLE}|(?i:[+-]?(?:infinity|nan)))$"))
+        .when(kind == "boolean", F.lower(x).isin("true", "false", "1", "0"))
         .otherwise(F.lit(True))
     )
 

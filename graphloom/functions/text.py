@@ -16,7 +16,6 @@ from pyspark.sql.functions import pandas_udf
 
 CHUNK = "array<struct<idx:int,char_start:int,char_end:int,text:string,token_estimate:int>>"
 _TOKEN = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[A-Za-z0-9_]+|[^\s]")
-_CJK = re.compile(r"[㐀-鿿]")
 #: Kinds of places where a chunk may end or begin, each a pattern that ends at the place.
 #: The sentence end is a fixed pattern.
 _SENTENCE = re.compile(r"""[.!?;:。！？；：](?:["'”’)\]]*)\s+""")
@@ -50,49 +49,6 @@ def normalize_label(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: None if x is None else _squeezed(unicodedata.normalize("NFKC", x).lower()))
 
 
-def plain_text(x: str) -> str:
-    """NFKC without links, tags and short codes: lower-cased words joined by spaces."""
-    x = unicodedata.normalize("NFKC", x)
-    x = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", x)
-    x = re.sub(r"\{\{[^}]*\}\}|<[^>]+>|:[a-z0-9_+-]+:", " ", x)
-    return " ".join(re.findall(r"\w+", x.replace("_", " ").lower()))
-
-
-@arrow_udf("string")
-def normalize_evidence(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else plain_text(x))
-
-
-def grounded(surface: str | None, source: str | None) -> bool:
-    """Is a surface form in a source: as written at word bounds in any case, or as normalized words?"""
-    if not surface or not source or not surface.strip():
-        return False
-    form = surface.strip()
-    if _CJK.search(form):
-        return form.lower() in source.lower()
-    if re.search(rf"(?<!\w){re.escape(form)}(?!\w)", source, re.IGNORECASE):
-        return True
-    words = plain_text(form)
-    return bool(words) and f" {words} " in f" {plain_text(source)} "
-
-
-@arrow_udf("boolean")
-def surface_is_grounded(surfaces: pd.Series, sources: pd.Series) -> pd.Series:
-    return pd.Series([grounded(a, b) for a, b in zip(surfaces, sources, strict=True)])
-
-
-@arrow_udf("boolean")
-def evidence_is_grounded(evidence: pd.Series, sources: pd.Series) -> pd.Series:
-    """Quotes of four characters or more besides white space that the source holds."""
-
-    def one(e, s) -> bool:
-        if not e or not s or len(re.sub(r"\s", "", e)) < 4:
-            return False
-        return _squeezed(e).lower() in _squeezed(s).lower() or grounded(e, s)
-
-    return pd.Series([one(a, b) for a, b in zip(evidence, sources, strict=True)])
-
-
 def token_count(x: str) -> int:
     n = sum((len(t) + 3) // 4 if t[0].isascii() and (t[0].isalnum() or t[0] == "_") else 1 for t in _TOKEN.findall(x))
     return max(1, n) if x else 0
@@ -178,52 +134,6 @@ def chunks(docs: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
     return docs.select("doc_id", F.explode(chunk_udf(size, overlap)(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-#: Keys whose values are types, in English and Chinese (fixed values).
-TYPE_KEYS = ("type", "kind", "class", "category", "类型", "种类", "类别")
-
-
-def structured_values(text: str | None) -> list[tuple[str, str, str]]:
-    """(key, value, role) of ``key: value`` lines and JSON-like pairs; lists of scalars are split."""
-    out = []
-    for line in (text or "").splitlines():
-        m = re.match(r"\s*[-*]?\s*\"?([\w][\w \-/]{0,60}?)\"?\s*[:：]\s*(\S.*?)\s*,?\s*$", line)
-        if not m or "://" in line[: m.end(1) + 3]:
-            continue
-        key, value = m[1].strip(), m[2].strip().strip("\"'")
-        role = "type" if key.lower() in TYPE_KEYS else "value"
-        parts = [p.strip().strip("\"'[]") for p in re.split(r"[,，;、]", value)] if re.search(r"[,，;、]", value) and not re.search(r"[.。]\s", value) else [value]
-        out += [(key, p, role) for p in parts if p]
-    return out
-
-
-@arrow_udf("array<struct<key:string,value:string,role:string>>")
-def structured_value_roles(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: [{"key": k, "value": v, "role": r} for k, v, r in structured_values(x)])
-
-
-_DECLARES = (
-    r"(?<!\w){x}\s+is\s+an?\s+(?:instance|example|individual|member)\s+of\b",
-    r"\b(?:instance|example|individual)s?\s*(?:is|are|:)\s*{x}(?!\w)",
-    r"\b(?:named|called)\s+[\"'“]?{x}(?!\w)",
-    r"{x}\s*是\s*(?:一个|一种)?\s*\S{{0,12}}(?:的实例|的例子|个体)",
-    r"(?:实例|个体|例如)\s*[:：为是]?\s*{x}",
-    r"名为\s*[\"“]?{x}",
-)
-
-
-@arrow_udf("boolean")
-def declared_individual(labels: pd.Series, sources: pd.Series) -> pd.Series:
-    """Does the source say that a label names one individual?"""
-
-    def one(label, source) -> bool:
-        if not label or not source or not label.strip():
-            return False
-        x = re.escape(label.strip())
-        return any(re.search(p.format(x=x), source, re.IGNORECASE) for p in _DECLARES)
-
-    return pd.Series([one(a, b) for a, b in zip(labels, sources, strict=True)])
-
-
 def evenly(n: int, most: int | None) -> list[int]:
     """Places of a sample of ``most`` spread over 0 to n - 1, both ends included; all without ``most``."""
     if most is None or n <= most:

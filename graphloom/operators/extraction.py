@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import evidence as E
 from graphloom.functions import terms as T
-from graphloom.functions import text as X
-from graphloom.operators import edits
+from graphloom.operators import edits, mentions
 
 _CLASS = "struct<label:string,comment:string,evidence:string>"
 _PROP = "struct<label:string,comment:string,domain:string,range:string>"
@@ -63,23 +63,31 @@ def label_index(entities: DataFrame, wins: str = "first") -> DataFrame:
     return named.groupBy("norm").agg(pick("iri", F.struct("seq", "iri")).alias("iri"))
 
 
-def guard_classes(classes: DataFrame, chunks: DataFrame) -> DataFrame:
+def guard_classes(classes: DataFrame, chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Adds ``blocked``: why a class must not enter the schema, null where it may.
 
-    In this order: it is declared an individual, it is the value of a structured pair that is not
-    a type, it is an XSD datatype, its label is not in its chunk.
+    A datatype is no class. Else, in this order: some chunk declares the label an individual; it is
+    the value of a structured pair of its chunk and no field says it is a type (unless the class is
+    known, or verified: the column ``verified``, if there is one, for any row of that label in the
+    chunk); its label is not in its chunk (unless the class is known). ``existing``: (label).
     """
     src = chunks.select(F.col("chunk_id").alias("_c"), F.col("text").alias("_t"))
-    rows = classes.join(src, F.col("chunk_id") == F.col("_c"), "left")
-    norm = T.norm_label(F.col("label"))
-    scalar = F.exists(X.structured_value_roles(F.col("_t")), lambda v: (T.norm_label(v["value"]) == norm) & (v["role"] == "value"))
-    typed = F.exists(X.structured_value_roles(F.col("_t")), lambda v: (T.norm_label(v["value"]) == norm) & (v["role"] == "type"))
-    xsd = F.lower("label").rlike("^(?:xsd:|.*xmlschema#)") & T.canonical_datatype(F.col("label")).isNotNull()
+    rows = classes.join(src, F.col("chunk_id") == F.col("_c"), "left").withColumn("_n", E.normalize_class(F.col("label")))
+    named = mentions.declared_anywhere(classes.select("label"), chunks).select(F.col("label").alias("_d"))
+    rows = rows.join(named, F.col("label") == F.col("_d"), "left")
+    known = F.lit(False)
+    if existing is not None:
+        rows = rows.join(existing.select(E.normalize_class(F.col("label")).alias("_k")).distinct(), F.col("_n") == F.col("_k"), "left")
+        known = F.col("_k").isNotNull()
+    sure = known
+    if "verified" in classes.columns:
+        sure = known | F.coalesce(F.max(F.col("verified")).over(Window.partitionBy("chunk_id", "_n")), F.lit(False))
+    value = F.array_contains(E.non_type_values(F.col("_t")), F.col("_n"))
     why = (
-        F.when(X.declared_individual(F.col("label"), F.col("_t")), "individual").when(F.coalesce(scalar & ~typed, F.lit(False)), "value").when(xsd, "datatype")
-        .when(~F.coalesce(X.surface_is_grounded(F.col("label"), F.col("_t")), F.lit(False)), "not grounded")
-    )
-    return rows.withColumn("blocked", why).drop("_c", "_t")
+        F.when(T.is_datatype_label(F.col("label")), "datatype").when(F.col("_d").isNotNull(), "individual").when(~sure & F.coalesce(value, F.lit(False)), "value")
+        .when(~known & ~F.coalesce(E.surface_is_grounded(F.col("label"), F.col("_t")), F.lit(False)), "not grounded")
+    )
+    return rows.withColumn("blocked", why).select(*classes.columns, "blocked")
 
 
 def clean_schema(delta: dict[str, DataFrame], guarded: DataFrame) -> dict[str, DataFrame]:
@@ -90,22 +98,23 @@ def clean_schema(delta: dict[str, DataFrame], guarded: DataFrame) -> dict[str, D
     null; axioms with an unknown end or an unsafe compound head go.
     """
     kept = guarded.filter("blocked is null").drop("blocked")
-    names = kept.select(T.norm_label(F.col("label")).alias("norm")).distinct()
-    props = delta["properties"].withColumn("_n", T.norm_label(F.col("label"))).filter(~F.col("_n").isin("", *EMPTY_PROPERTIES))
+    norm = lambda c: E.normalize_class(F.col(c))
+    names = kept.select(norm("label").alias("norm")).distinct()
+    props = delta["properties"].withColumn("_n", norm("label")).filter(~F.col("_n").isin("", *EMPTY_PROPERTIES))
     dt = T.canonical_datatype(F.col("range"))
     other = F.max((F.col("range").isNotNull() & dt.isNull()).cast("int")).over(Window.partitionBy("_n"))
     props = props.withColumn("_dt", dt).withColumn("_other", other)
     props = props.withColumn("kind", F.when((F.col("kind") == "object") & F.col("_dt").isNotNull() & (F.col("_other") == 0), "data").otherwise(F.col("kind")))
     for slot in ("domain", "range"):
         side = names.select(F.col("norm").alias(f"_{slot}"))
-        props = props.join(side, T.norm_label(F.col(slot)) == F.col(f"_{slot}"), "left")
+        props = props.withColumn(f"_{slot}_n", norm(slot)).join(side, F.col(f"_{slot}_n") == F.col(f"_{slot}"), "left")
     keep_range = F.when(F.col("kind") == "data", F.coalesce("_dt", F.lit(T.XSD + "string"))).when(F.col("_range").isNotNull(), F.col("range"))
     props = props.withColumn("domain", F.when(F.col("_domain").isNotNull(), F.col("domain"))).withColumn("range", keep_range)
-    first = Window.partitionBy("_n", "kind", T.norm_label(F.coalesce("domain", F.lit(""))), F.coalesce("range", F.lit(""))).orderBy("chunk_id", "pos")
-    props = props.withColumn("_i", F.row_number().over(first)).filter("_i = 1").drop("_n", "_dt", "_other", "_domain", "_range", "_i")
+    first = Window.partitionBy("_n", "kind", F.when(F.col("domain").isNotNull(), F.col("_domain_n")), F.coalesce("range", F.lit(""))).orderBy("chunk_id", "pos")
+    props = props.withColumn("_i", F.row_number().over(first)).filter("_i = 1").drop("_n", "_dt", "_other", "_domain", "_range", "_domain_n", "_range_n", "_i")
     axioms = delta["axioms"]
     for end in ("a", "b"):
-        axioms = axioms.join(names.select(F.col("norm").alias(f"_{end}")), T.norm_label(F.col(end)) == F.col(f"_{end}"), "left_semi")
+        axioms = axioms.withColumn("_e", norm(end)).join(names.select(F.col("norm").alias("_k")), F.col("_e") == F.col("_k"), "left_semi").drop("_e")
     unsafe = (F.col("type") == "subclass") & F.coalesce(T.head_mismatch(F.col("a"), F.col("b")), F.lit(False))
     return {"classes": kept, "properties": props, "axioms": axioms.filter(~unsafe)}
 
@@ -169,7 +178,7 @@ def verified_roles(delta: DataFrame, decisions: DataFrame, chunks: DataFrame, fl
     first = decisions.withColumn("norm", T.norm_label(F.col("label"))).withColumn("_i", F.row_number().over(order)).filter("_i = 1")
     src = chunks.select(F.col("chunk_id").alias("_c"), "text")
     held = first.join(src, F.col("chunk_id") == F.col("_c")).filter(F.col("keep") & (F.col("role") == "type") & (T.clamp_confidence(F.col("confidence")) >= floor))
-    held = held.filter(X.evidence_is_grounded(F.col("evidence"), F.col("text"))).select(F.col("chunk_id").alias("_c"), F.col("norm").alias("_n"))
+    held = held.filter(E.evidence_is_grounded(F.col("evidence"), F.col("text"))).select(F.col("chunk_id").alias("_c"), F.col("norm").alias("_n"))
     return delta.join(held, (F.col("chunk_id") == F.col("_c")) & (T.norm_label(F.col("label")) == F.col("_n")), "left_semi")
 
 
@@ -188,18 +197,5 @@ def evenly_sampled(rows: DataFrame, by: str, order: str, most: int) -> DataFrame
 
 
 def grounding_chunks(labels: DataFrame, chunks: DataFrame, most: int | None = 4) -> DataFrame:
-    """(label) and (chunk_id, text) -> (label, chunk_id): the first chunks that hold each label, all without ``most``.
-
-    Labels meet chunks on their rarest word, then the whole label is looked for.
-    """
-    words = chunks.select("chunk_id", "text", F.array_distinct(F.split(T.norm_label(F.col("text")), " ")).alias("w"))
-    each = words.select("chunk_id", F.explode("w").alias("word"))
-    rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    mine = labels.select("label", F.explode(F.split(T.norm_label(F.col("label")), " ")).alias("word")).filter("word <> ''").join(rare, "word", "left")
-    key = mine.groupBy("label").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
-    met = key.join(each, "word").join(words.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
-    hits = met.filter(X.surface_is_grounded(F.col("label"), F.col("text")))
-    if most is None:
-        return hits.select("label", "chunk_id")
-    order = F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))
-    return hits.withColumn("_i", order).filter(F.col("_i") <= most).select("label", "chunk_id")
+    """(label) and (chunk_id, text) -> (label, chunk_id): the first chunks that hold each label, all without ``most``."""
+    return mentions.first_mentions(labels, chunks, most)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import evidence as E
 from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import edits, extraction, graph, similarity, terminology
@@ -43,7 +44,7 @@ def accepted_links(decisions: DataFrame, chunks: DataFrame, floor: float = LINK_
     holds; of one subclass's parents the surest."""
     held = decisions.join(chunks.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
     held = held.filter((T.clamp_confidence(F.col("confidence")) >= floor) & (T.norm_label(F.col("sub")) != T.norm_label(F.col("super"))))
-    held = held.filter(X.evidence_is_grounded(F.col("evidence"), F.col("text")))
+    held = held.filter(E.evidence_is_grounded(F.col("evidence"), F.col("text")))
     best = F.row_number().over(Window.partitionBy(T.norm_label(F.col("sub"))).orderBy(F.col("confidence").cast("double").desc(), "super"))
     return held.withColumn("_n", best).filter("_n = 1").select("sub", "super")
 

@@ -75,41 +75,6 @@ def folder_hash(spark, sf_dir):
 
 
 # Labels and sources.
-@query("SELECT p_partkey, 'pump a ' || lower(p_name) AS norm, p_name || ' see ' || lower(p_type) || ' a b' AS evidence FROM part")
-def normalized_labels(spark, sf_dir):
-    """Wide letters, spaces, links, tags and short codes go."""
-    label = F.concat(F.lit("  Ｐｕｍｐ\tＡ "), F.upper("p_name"), F.lit(" "))
-    shown = F.concat(F.lit("["), "p_name", F.lit("](http://x/y) :icon: See <b>"), "p_type", F.lit("</b> {{x}} a_b"))
-    return _parts(spark, sf_dir).select("p_partkey", X.normalize_label(label).alias("norm"), X.normalize_evidence(shown).alias("evidence"))
-
-
-@query("SELECT p_partkey, p_partkey % 4 IN (0, 2) AS surface, p_partkey % 4 IN (0, 1) AS quote FROM part")
-def grounded_forms(spark, sf_dir):
-    """Surfaces in any case or with underscores are held, cut words and empty ones are not; quotes in any spacing, cut words too."""
-    cut = F.expr("left(p_name, length(p_name) - 1)")
-    source = F.concat(F.lit("We sell the "), "p_name", F.lit(" here."))
-    surface = _case("p_partkey", F.upper("p_name"), cut, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(""))
-    quote = _case("p_partkey", F.upper("p_name"), F.concat(F.lit("THE  "), cut), F.lit("the"), F.concat("p_name", F.lit(" there")))
-    return _parts(spark, sf_dir).select("p_partkey", X.surface_is_grounded(surface, source).alias("surface"), X.evidence_is_grounded(quote, source).alias("quote"))
-
-
-@query("SELECT p_partkey, p_partkey % 5 < 3 AS declared FROM part")
-def declared_individuals(spark, sf_dir):
-    name = F.col("p_name")
-    source = _case("p_partkey", F.concat(name, F.lit(" is an example of it.")), F.concat(F.lit("A part called \""), name, F.lit("\".")), F.concat(F.lit("例如："), name), F.concat(name, F.lit(" is a part.")), F.lit(""))
-    return _parts(spark, sf_dir).select("p_partkey", X.declared_individual(name, source).alias("declared"))
-
-
-@query(
-    "SELECT p_partkey, 'Type' AS key, p_type AS value, 'type' AS role FROM part UNION ALL SELECT p_partkey, 'Made by', p_brand, 'value' FROM part"
-    " UNION ALL SELECT p_partkey, 'Words', unnest(string_split(p_name, ' ')), 'value' FROM part"
-)
-def structured_roles(spark, sf_dir):
-    """Types and values of ``key: value`` lines; lists are split, addresses are no pairs."""
-    shown = F.concat(F.lit("Type: "), "p_type", F.lit("\n- Made by: "), "p_brand", F.lit(",\n\"Words\": "), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit("\nsee http://x.y/z\n"))
-    return _parts(spark, sf_dir).select("p_partkey", F.explode(X.structured_value_roles(shown)).alias("r")).select("p_partkey", "r.*")
-
-
 @query(
     "WITH d AS (SELECT doc_id, text, regexp_extract(text, '^\\W*(\\w+)', 1) AS label FROM documents), p AS (SELECT *, string_split(lower(text), lower(label)) AS s FROM d WHERE label <> ''),"
     " h AS (SELECT doc_id, label, length(text) AS n, i, (list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(label))::BIGINT AS hit FROM (SELECT *, unnest(range(1, len(s))) AS i FROM p)),"
@@ -189,20 +154,12 @@ def individual_replies(spark, sf_dir):
 
 def _guarded(spark, sf_dir):
     p = _parts(spark, sf_dir)
-    text = F.concat(F.lit("Type: "), "p_type", F.lit("\nMade by: "), "p_brand", F.lit("\nThe "), "p_name", F.lit(" is an example of it."))
+    text = F.concat(F.lit("Type: "), "p_type", F.lit("\nMade by: "), "p_brand", F.lit("\nThe "), "p_name", F.lit(" is an instance of it."))
     labels = F.array(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit("xsd:integer"), F.lit("Absent Thing"))
     classes = p.select(F.col("p_partkey").alias("chunk_id"), F.posexplode(labels).alias("pos", "label"))
     return extraction.guard_classes(classes, p.select(F.col("p_partkey").alias("chunk_id"), text.alias("text")))
 
 
-@query(
-    "SELECT p_partkey AS chunk_id, unnest([p_name, p_type, p_brand, 'xsd:integer', 'Absent Thing']) AS label, unnest(['individual', NULL, 'value', 'datatype', 'not grounded']) AS blocked FROM part"
-)
-def guarded_classes(spark, sf_dir):
-    """Why a class does not enter the schema: an individual, a value, a datatype, not in its chunk."""
-    return _guarded(spark, sf_dir).select("chunk_id", "label", "blocked")
-
-
 @query(
     "SELECT p_partkey AS chunk_id, 'property' AS part, 'size' AS a, 'data' AS b FROM part UNION ALL SELECT p_partkey, 'class', p_type, NULL FROM part"
     " UNION ALL SELECT p_partkey, 'axiom', p_type, p_type FROM part WHERE p_partkey % 2 = 1"
