@@ -155,19 +155,87 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
-def display_tree(edges: DataFrame) -> DataFrame:
-    """(child, parent) -> (node, parent, depth_known, branch): a forest for display.
+def display_forest(classes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFrame:
+    """(iri, label), (child, parent) -> (node, parent, root, depth, branch, extra, standalone): a forest for display.
 
-    Each node keeps its smallest parent that is not one of its own descendants; ``branch`` is the
-    number of nodes below it in the whole hierarchy. Roots have a null parent.
+    Of its declared parents that are in no cycle with it a class keeps the one first by label, then
+    IRI; ``extra`` counts the others. ``branch`` is the class with all that hang below it in the
+    forest, ``depth`` its steps to the root. A class with neither parent nor child in the forest is
+    standalone. With ``paths`` a column ``path`` of IRIs from the root to the class is added.
+
+    No closure is made: each class points 2^n steps up after n rounds and sends what it counts
+    there, so the rounds are the logarithm of the depth, and sums are combined before they meet.
+    """
+    named = classes.filter("iri is not null").groupBy("iri").agg(F.min("label").alias("label"))
+    pair = edges.select("child", "parent").filter("child <> parent").distinct()
+    known = pair.join(named.select(F.col("iri").alias("child")), "child", "left_semi").join(named.withColumnRenamed("iri", "parent"), "parent")
+    ring = cycles(known.select("child", "parent"))
+    side = lambda c: ring.select(F.col("node").alias(c), F.col("root").alias(f"{c}_ring"))
+    open_ = known.join(side("child"), "child", "left").join(side("parent"), "parent", "left").filter("child_ring is null or parent_ring is null or child_ring <> parent_ring")
+    chosen = open_.groupBy(F.col("child").alias("node")).agg(F.min_by("parent", F.struct(F.coalesce("label", "parent"), "parent")).alias("parent"), (F.count(F.lit(1)) - 1).alias("extra"))
+    start = named.select(F.col("iri").alias("node")).join(chosen, "node", "left")
+    state = start.select(
+        "node", "parent", F.coalesce("extra", F.lit(0)).alias("extra"), F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "node").alias("root"),
+        F.lit(1).cast("long").alias("branch"), *([F.when(F.col("parent").isNull(), F.array("node")).otherwise(F.array("parent", "node")).alias("path")] if paths else []),
+    )
+    while True:
+        state = cut(state)
+        if state.filter("up is not null").isEmpty():
+            break
+        sent = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("branch").alias("more"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("a_depth"), F.col("root").alias("a_root"), *([F.col("path").alias("a_path")] if paths else []))
+        met = state.join(above, "up", "left").join(sent, "node", "left")
+        long_path = [F.when(F.col("a_path").isNull(), F.col("path")).otherwise(F.concat("a_path", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))).alias("path")] if paths else []
+        state = met.select(
+            "node", "parent", "extra", F.col("far").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"), F.coalesce("a_root", "root").alias("root"), (F.col("branch") + F.coalesce("more", F.lit(0))).alias("branch"), *long_path
+        )
+    alone = F.col("parent").isNull() & (F.col("branch") == 1)
+    return state.select("node", "parent", "root", "depth", "branch", "extra", alone.alias("standalone"), *(["path"] if paths else []))
+
+
+def maintained(closure: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """A stored closure (node, anc) of ``edges`` (child, parent) after links are removed and added.
+
+    Returns (node, anc, change): kept, rederived or added pairs of the new closure, and the gone
+    ones. Work follows what the links touch:
+
+    * what a removed link could have carried goes first: who reaches its child times what its
+      parent reaches, by two joins with the old closure;
+    * of that, what other links still carry comes back: nodes that lost a pair are closed among
+      themselves (path doubling over their links only), and end in pairs that were never touched;
+    * new links are chained where the closure leads from one's parent to another's child, and each
+      chain joins what reaches its begin with what its end reaches.
     """
-    up = cut(ancestors(edges))
-    nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    below = up.filter("node <> anc").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("branch"))
-    looping = up.select(F.col("anc").alias("child"), F.col("node").alias("parent"))
-    open_ = edges.select("child", "parent").distinct().join(looping, ["child", "parent"], "left_anti")
-    chosen = open_.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
-    return nodes.join(chosen, "node", "left").join(below, "node", "left").select("node", "parent", F.coalesce("branch", F.lit(0)).alias("branch"))
+    link = lambda d: d.select(F.col("child").cast(closure.schema["node"].dataType).alias("node"), F.col("parent").cast(closure.schema["anc"].dataType).alias("anc")).filter("node is not null and anc is not null").distinct()
+    old, all_links, plus = closure.select("node", "anc").distinct(), link(edges), link(added)
+    minus = link(removed).join(all_links, ["node", "anc"], "left_semi").join(plus, ["node", "anc"], "left_anti")
+    left = cut(all_links.join(minus, ["node", "anc"], "left_anti"))
+
+    def around(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs from all that reaches a pair's first node to all that its second reaches, these two included."""
+        before = known.select(F.col("node").alias("x"), F.col("anc").alias("node"))
+        after = known.select(F.col("node").alias("anc"), F.col("anc").alias("y"))
+        wide = pairs.join(before, "node").select(F.col("x").alias("node"), "anc").unionByName(pairs).distinct()
+        return wide.join(after, "anc").select("node", F.col("y").alias("anc")).unionByName(wide).distinct()
+
+    lost = cut(around(minus, old))
+    safe = cut(old.join(lost, ["node", "anc"], "left_anti"))
+    touched = lost.select("node").distinct()
+    own = left.join(touched, "node", "left_semi")
+    beyond = own.withColumnRenamed("anc", "mid").join(safe.select(F.col("node").alias("mid"), "anc"), "mid").select("node", "anc")
+    base = own.unionByName(beyond).distinct()
+    inside = ancestors(own.join(touched.withColumnRenamed("node", "anc"), "anc", "left_semi").select(F.col("node").alias("child"), F.col("anc").alias("parent")))
+    chained = inside.withColumnRenamed("anc", "mid").join(base.withColumnRenamed("node", "mid"), "mid").select("node", "anc")
+    back = cut(base.unionByName(chained).distinct().join(lost, ["node", "anc"], "left_semi"))
+    now = safe.unionByName(back)
+    starts = plus.select(F.col("node").alias("next")).distinct()
+    hop = plus.join(starts.withColumn("at", F.col("next")).unionByName(now.join(starts.withColumnRenamed("next", "anc"), "anc").select(F.col("anc").alias("next"), F.col("node").alias("at"))), F.col("anc") == F.col("at"))
+    chain = ancestors(hop.select(F.col("node").alias("child"), F.col("next").alias("parent")))
+    ends = chain.withColumnRenamed("anc", "mid").join(plus.withColumnRenamed("node", "mid"), "mid").select("node", "anc").unionByName(plus).distinct()
+    fresh = cut(around(ends, now).join(now, ["node", "anc"], "left_anti"))
+    gone = lost.join(back, ["node", "anc"], "left_anti").join(fresh, ["node", "anc"], "left_anti")
+    told = lambda d, change: d.select("node", "anc", F.lit(change).alias("change"))
+    return told(safe, "kept").unionByName(told(back, "rederived")).unionByName(told(fresh, "added")).unionByName(told(gone, "gone"))
 
 
 def ordered_members(members: Column) -> Column:

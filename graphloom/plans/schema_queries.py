@@ -193,13 +193,6 @@ def class_neighbourhood(spark, sf_dir):
     return graph.neighbourhood(edges, read(spark, sf_dir, "part").select(mapping.type_iri("Type", F.col("p_type")).alias("node")).distinct())
 
 
-@query(
-    f"WITH {LAYER}, n AS (SELECT child AS node FROM sub UNION SELECT parent FROM sub) SELECT node, (SELECT min(parent) FROM sub WHERE child = node) AS parent, (SELECT count(DISTINCT u.node) FROM up u WHERE u.anc = n.node) AS branch FROM n"
-)
-def display_tree(spark, sf_dir):
-    return graph.display_tree(_schema(spark, sf_dir).subclass)
-
-
 @query(f"WITH {LAYER}, g AS (SELECT p_size AS grp, c FROM p), m AS (SELECT grp, anc, count(DISTINCT c) AS n FROM g JOIN up ON c = node GROUP BY ALL) SELECT grp::VARCHAR AS grp, anc FROM m WHERE n = (SELECT count(DISTINCT c) FROM g WHERE g.grp = m.grp)")
 def common_superclasses(spark, sf_dir):
     members = read(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("group"), mapping.iri("part", F.col("p_partkey")).alias("cls"))
