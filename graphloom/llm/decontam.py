@@ -3,8 +3,7 @@
 Test items are cut into phrases of consecutive words, each told once however many items hold it
 (which items do is a table beside). The corpus frequency of the items' terms tells the rarest
 terms of each phrase; phrases with the same rarest terms at the same distances are one entry of
-the look-up. Only postings (term, document, position) of rarest terms are stored, sorted by term
-in each file. A posting's position less the term's distance from the rarest is the place where
+the look-up. Only postings (term, document, position) of rarest terms are stored. A posting's position less the term's distance from the rarest is the place where
 that rarest term would be; intersecting the offset-adjusted lists is one aggregation by (document,
 entry, place). What survives is compared word by word with the document, for exact phrases, and
 for near ones: all the phrase's words in order within ``slop`` words more. Near phrases allow
@@ -114,7 +113,7 @@ def build_index(docs: DataFrame, items: DataFrame, n: int = PHRASE_WORDS, lists:
     rarest_terms(members.select("phrase", "words").distinct(), docs, lists).write.parquet(f"{at}/phrases")
     chosen = spark.read.parquet(f"{at}/phrases")
     wanted = chosen.select(F.explode("terms").alias("t")).select("t.term").distinct()
-    postings(docs, wanted).sortWithinPartitions("term", "doc_key", "pos").write.parquet(f"{at}/postings")
+    postings(docs, wanted).write.parquet(f"{at}/postings")
     return chosen, members.select("phrase", "item_id"), spark.read.parquet(f"{at}/postings")
 
 
