@@ -78,29 +78,102 @@ def _least_before(edges: DataFrame, hops: int = 3) -> DataFrame:
         colour = cut(colour)
 
 
+def _named(nodes: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """``column`` replaced by its name in ``names`` (node, name) where it has one."""
+    other = names.select(F.col("node").alias("_node"), F.col("name").alias("_name"))
+    return nodes.join(other, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_name", column)).drop("_node", "_name")
+
+
+def _merged_pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with the ends of two-way edges made one node, and (node, name) of those that were."""
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    mutual = cut(edges.join(back, ["a", "b"], "left_semi").filter("a < b"))
+    if mutual.isEmpty():
+        return edges, None
+    names = cut(components(mutual).select("node", F.col("root").alias("name")))
+    return cut(_named(_named(edges, "a", names), "b", names).filter("a <> b").distinct()), names
+
+
+def _bypassed(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges with chains (nodes of one edge in and one out) taken out, (node, head, tail) of their
+    nodes, and the nodes of chains that close on themselves as edges.
+
+    Each chain node points at the nodes before and after it; pointers double their reach each round.
+    """
+    one = lambda end, other: edges.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias("to")).filter("n = 1").select("node", "to")
+    chain = cut(one("b", "a").withColumnRenamed("to", "up").join(one("a", "b").withColumnRenamed("to", "down"), "node"))
+    n = chain.count()
+    if not n:
+        return edges, None, None
+    inner = chain.select("node")
+    for _ in range(n.bit_length() + 1):
+        ahead = lambda c: chain.select(F.col("node").alias(c), F.col(c).alias(f"{c}_far"))  # noqa: E731, B023
+        step = chain.join(ahead("up"), "up", "left").join(ahead("down"), "down", "left").select("node", F.coalesce("up_far", "up").alias("up"), F.coalesce("down_far", "down").alias("down"))
+        chain = cut(step)
+        if chain.join(inner.withColumnRenamed("node", "up"), "up", "left_semi").isEmpty():
+            break
+    closed = cut(chain.join(inner.withColumnRenamed("node", "up"), "up", "left_semi").select("node"))
+    told = chain.join(closed, "node", "left_anti")
+    rest = edges.join(inner.withColumnRenamed("node", "a"), "a", "left_anti").join(inner.withColumnRenamed("node", "b"), "b", "left_anti")
+    more = told.filter("up <> down").select(F.col("up").alias("a"), F.col("down").alias("b"))
+    rings = None if closed.isEmpty() else edges.join(closed.withColumnRenamed("node", "a"), "a", "left_semi")
+    return cut(rest.unionByName(more).distinct()), told.select("node", F.col("up").alias("head"), F.col("down").alias("tail")), rings
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(child, parent) -> (root, node): strongly connected components of two nodes or more, and self-loops.
 
-    ``root`` is the component's smallest node. No closure is made: edges that are in no cycle are
-    trimmed, each node takes the smallest node before it and the smallest after it, and where both
-    are one node that is its component's root. The rest is judged again, with those edges only whose
-    ends agree in both; state stays as large as the edges.
+    ``root`` is the component's smallest node. No closure is made. The graph is made small first, in
+    rounds that are the logarithm of the longest chain: edges that are in no cycle are trimmed, the
+    ends of two-way edges become one node, and chains become one edge. What is left is coloured:
+    each node takes the smallest node before it and the smallest after it, and where both are one
+    node that is its component; the rest is judged again, with those edges only whose ends agree in
+    both. Then what was made small is unfolded: a chain belongs to a component if both its ends do.
     """
     known = cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).filter("a is not null and b is not null").distinct())
     loops = known.filter("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
-    left, found = known.filter("a <> b"), None
-    while True:
+    left, n = _trimmed(known.filter("a <> b"))
+    folded: list[tuple[str, DataFrame]] = []
+    named = None  # (node, name): nodes of a component have one name
+    while n:
+        last = n
+        left, names = _merged_pairs(left)
+        folded += [("names", names)] if names is not None else []
+        left, chains, rings = _bypassed(left)
+        if chains is not None:
+            folded.append(("chains", chains))
+        if rings is not None:
+            ring = components(rings).select("node", F.col("root").alias("name"))
+            named = ring if named is None else named.unionByName(ring)
         left, n = _trimmed(left)
-        if not n:
+        if n > 0.7 * last:
             break
+    while n:
         before, after = _least_before(left), _least_before(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = cut(before.withColumnRenamed("colour", "first").join(after.withColumnRenamed("colour", "last"), "node"))
-        others = both.filter("first = last and node <> first").select(F.col("first").alias("root"), "node")
-        part = others.unionByName(others.select("root", F.col("root").alias("node")).distinct())
-        found = part if found is None else found.unionByName(part)
+        found = both.filter("first = last").select("node", F.col("first").alias("name"))
+        named = found if named is None else named.unionByName(found)
         end = lambda c: both.filter("first <> last").select(F.col("node").alias(c), F.struct("first", "last").alias(f"of_{c}"))  # noqa: E731, B023
-        left = left.join(end("a"), "a").join(end("b"), "b").filter("of_a = of_b").select("a", "b")
-    return loops if found is None else found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("root", "node"))
+        left, n = _trimmed(left.join(end("a"), "a").join(end("b"), "b").filter("of_a = of_b").select("a", "b"))
+    if named is None and not folded:
+        return loops
+    node = known.schema["a"].dataType.simpleString()
+    named = known.sparkSession.createDataFrame([], f"node {node}, name {node}") if named is None else named
+    for kind, part in reversed(folded):
+        named = cut(named)
+        if kind == "names":  # nodes that became one have the name of that one, or its own
+            more = _named(part, "name", named)
+            named = named.join(more.select("node"), "node", "left_anti").unionByName(more)
+        else:
+            ends = part.withColumn("at_head", F.col("head")).withColumn("at_tail", F.col("tail"))
+            met = _named(_named(ends, "head", named), "tail", named).filter("head = tail")
+            more = met.select("node", F.col("head").alias("name"))
+            # an end that was in no component so far is in one with a chain back to itself
+            own = met.select(F.explode(F.array(F.struct(F.col("at_head").alias("node"), F.col("head").alias("name")), F.struct(F.col("at_tail").alias("node"), F.col("tail").alias("name")))).alias("x")).select("x.node", "x.name").distinct()
+            named = named.unionByName(more).unionByName(own.join(named.select("node"), "node", "left_anti"))
+    roots = named.groupBy("name").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "root")
+    found = named.join(roots, "name").select("root", "node")
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("root", "node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
