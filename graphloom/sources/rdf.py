@@ -1,14 +1,13 @@
 """RDF sources and sinks: line formats in column functions, document formats file by file.
 
 N-Quads and N-Triples are read as lines and taken apart by one regular expression inside the JVM;
-lines it does not match are dropped (or counted by ``malformed``). Turtle and RDF/XML need state
+lines it does not match fail the read (or are left out, and told by ``malformed``). Turtle and RDF/XML need state
 across lines, so each file is parsed in a task; a file is the unit of work and of failure.
 """
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +19,9 @@ from graphloom.functions import terms as T
 from graphloom.functions.text import arrow_udf
 from graphloom.operators.store import SCHEMA
 from graphloom.sources.mapping import QUAD
+from graphloom.sources.rdf_parsers import RdfXml, Turtle
 
-_IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
+_IRI = r"<((?:[^<>\"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*)>"
 _BNODE = r"_:([\p{L}\p{N}_][\p{L}\p{N}_.-]*)"
 _LITERAL = rf'"((?:[^"\\\n\r]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI})?'
 LINE = rf"^\s*(?:{_IRI}|{_BNODE})\s*{_IRI}\s*(?:{_IRI}|{_BNODE}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*(?:#.*)?$"
@@ -33,7 +33,7 @@ FORMATS = {"ttl": "turtle", "turtle": "turtle", "nt": "ntriples", "ntriples": "n
 def unescape(x: Column) -> Column:
     """String escapes of a literal; backslashes are set aside while the others are resolved."""
     x = F.replace(x, F.lit("\\\\"), F.lit("\x00"))
-    for shown, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+    for shown, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'"), ('\\"', '"')):
         x = F.replace(x, F.lit(shown), F.lit(raw))
     points = F.regexp_extract_all(x, F.lit(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"), F.lit(0))
 
@@ -53,21 +53,31 @@ def _matched(lines: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame, to_graph: str | None = None) -> DataFrame:
     """(value) -> quads. A graph in the line stays; lines without one go to ``to_graph``."""
     m = _matched(lines)
-    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    some = lambda c: F.when(F.col(c) != "", F.when(F.contains(c, F.lit("\\")), unescape(F.col(c))).otherwise(F.col(c)))
     kind = F.when(F.col("m4") != "", "iri").when(F.col("m5") != "", "bnode").otherwise("literal")
     return m.select(
         F.coalesce(some("m9"), F.lit(to_graph).cast("string")).alias("g"), F.when(F.col("m2") != "", "bnode").otherwise("iri").alias("s_kind"), F.coalesce(some("m1"), some("m2")).alias("s"),
-        F.col("m3").alias("p"), kind.alias("o_kind"), F.coalesce(some("m4"), some("m5"), unescape(F.col("m6"))).alias("o"), some("m8").alias("o_dt"), some("m7").alias("o_lang"),
+        some("m3").alias("p"), kind.alias("o_kind"), F.coalesce(some("m4"), some("m5"), unescape(F.col("m6"))).alias("o"), some("m8").alias("o_dt"), some("m7").alias("o_lang"),
     )
 
 
-def read_nquads(spark: SparkSession, path: str, to_graph: str | None = None) -> DataFrame:
-    return parse_lines(spark.read.text(path), to_graph)
+def _bad(line: Column) -> Column:
+    return (F.trim(line) != "") & ~line.rlike(r"^\s*#") & ~line.rlike(LINE)
+
+
+def read_nquads(spark: SparkSession, path: str, to_graph: str | None = None, skip: bool = False) -> DataFrame:
+    """Quads of line files. A line that holds something but no statement fails the read, or is left
+    out with ``skip``."""
+    lines = spark.read.text(path)
+    if not skip:
+        told = F.when(_bad(F.col("value")), F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 200)))).otherwise(F.col("value"))
+        lines = lines.select(told.alias("value"))
+    return parse_lines(lines, to_graph)
 
 
 def malformed(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines that hold something but no statement."""
-    return spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").rlike(r"^\s*#") & ~F.col("value").rlike(LINE))
+    return spark.read.text(path).filter(_bad(F.col("value")))
 
 
 def write_nquads(quads: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -82,6 +92,15 @@ def write_turtle(quads: DataFrame, path: str) -> None:
     blocks.select(F.concat(F.col("s"), F.lit(" "), F.col("body"), F.lit(" .")).alias("value")).write.text(path)
 
 
+def write_trig(quads: DataFrame, path: str) -> None:
+    """TriG: a block for each subject of a graph; every file is a document."""
+    pair = F.concat(F.lit("<"), F.col("p"), F.lit("> "), T.object_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")))
+    rows = quads.select(F.col("g"), T.subject_text(F.col("s_kind"), F.col("s")).alias("s"), pair.alias("po")).distinct()
+    blocks = rows.groupBy("g", "s").agg(F.array_join(F.array_sort(F.collect_list("po")), " ;\n    ").alias("body"))
+    open_ = F.when(F.col("g").isNull(), F.lit("{ ")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit("> { ")))
+    blocks.select(F.concat(open_, F.col("s"), F.lit(" "), F.col("body"), F.lit(" . }")).alias("value")).write.text(path)
+
+
 def _framed(head: str, tail: str, between: str = ""):
     """Lines of a partition between a head and a tail, so that each file is a document of its own."""
 
@@ -100,8 +119,16 @@ def _framed(head: str, tail: str, between: str = ""):
 
 
 def write_rdfxml(quads: DataFrame, path: str) -> None:
-    """RDF/XML, one description for each subject; every file is a document. No quads, no document."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    """RDF/XML, one description for each subject; every file is a document. No quads, no document.
+
+    What XML cannot say fails: control characters, and predicates that end in no name.
+    """
+    wrong = lambda test, why, c: F.when(test, F.raise_error(F.concat(F.lit(why), c))).otherwise(c)
+    quads = quads.withColumn("o", wrong(F.col("o").rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]"), "no XML text: ", F.col("o")))
+    quads = quads.withColumn("p", wrong(~F.col("p").rlike(r"[A-Za-z_][\w.-]*$"), "no XML name in ", F.col("p")))
+    marks = lambda c: F.replace(F.replace(F.replace(c, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;"))
+    safe = lambda c: marks(plain_safe(c))
+    plain_safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     local = F.regexp_extract("p", r"[A-Za-z_][\w.-]*$", 0)
     space = F.substring("p", F.lit(1), F.length("p") - F.length(local))
     node = lambda kind, v, a, b: F.when(kind == "bnode", F.concat(F.lit(f' rdf:nodeID="{a}'), v, F.lit('"'))).otherwise(F.concat(F.lit(f' rdf:{b}="'), safe(v), F.lit('"')))
@@ -149,190 +176,20 @@ def format_of(names: pd.Series, contents: pd.Series) -> pd.Series:
     return pd.Series([normalize_format((n or "").rpartition(".")[2]) or (None if c is None else sniff(c)) for n, c in zip(names, contents, strict=True)], dtype=object)
 
 
-_TURTLE = re.compile(
-    r"""(?P<comment>\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)"""
-    r"""|(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<bnode>_:[\w][\w.-]*)|(?P<name>[\w-]*:(?:[\w%-](?:[\w.%-]*[\w%-])?)?)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\]()])|(?P<space>\s+)""",
-    re.DOTALL,
-)
-_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "\\": "\\", "'": "'", "b": "\b", "f": "\f"}
-
-
-def _text(raw: str) -> str:
-    return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPES.get(m[3], m[3]), raw)
-
-
-class _Turtle:
-    """A cursor over the tokens of one Turtle text; yields (subject, predicate, object) terms."""
-
-    def __init__(self, text: str, base: str, scope: str):
-        self.tokens, at = [], 0
-        while at < len(text):
-            m = _TURTLE.match(text, at)
-            if not m:
-                raise ValueError(f"no Turtle at offset {at}: {text[at : at + 30]!r}")
-            if m.lastgroup not in ("comment", "space"):
-                self.tokens.append((m.lastgroup, m[0]))
-            at = m.end()
-        self.at, self.base, self.scope, self.prefixes, self.n, self.names, self.out = 0, base, scope, {}, 0, {}, []
-
-    def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
-
-    def take(self, value: str | None = None) -> tuple[str, str]:
-        token = self.peek()
-        if value is not None and token[1] != value:
-            raise ValueError(f"{value!r} expected, found {token[1]!r}")
-        self.at += 1
-        return token
-
-    def fresh(self, name: str | None = None) -> tuple:
-        if name is None or name not in self.names:
-            self.n += 1
-            self.names[name or f"[]{self.n}"] = ("bnode", f"rdfimport_{self.scope}_{self.n}", None, None)
-        return self.names[name or f"[]{self.n}"]
-
-    def resource(self, raw: str) -> tuple:
-        iri = _text(raw)
-        return ("iri", iri if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) else self.base + iri, None, None)
-
-    def term(self) -> tuple:
-        kind, value = self.take()
-        if kind == "iri":
-            return self.resource(value[1:-1])
-        if kind == "name":
-            prefix, _, local = value.partition(":")
-            if prefix not in self.prefixes:
-                raise ValueError(f"prefix {prefix!r} is not declared")
-            return ("iri", self.prefixes[prefix] + local, None, None)
-        if kind == "bnode":
-            return self.fresh(value)
-        if kind in ("str", "long"):
-            body, dt, lang = _text(value[3:-3] if kind == "long" else value[1:-1]), None, None
-            if self.peek()[0] == "lang":
-                lang = self.take()[1][1:]
-            elif self.peek()[0] == "dt":
-                self.take()
-                dt = self.term()[1]
-            return ("literal", body, dt, lang)
-        if kind == "num":
-            return ("literal", value, T.XSD + ("double" if "e" in value.lower() else "decimal" if "." in value else "integer"), None)
-        if value in ("true", "false"):
-            return ("literal", value, T.XSD + "boolean", None)
-        if value == "a":
-            return ("iri", T.TYPE, None, None)
-        if value == "[":
-            node = self.fresh()
-            if self.peek()[1] != "]":
-                self.pairs(node)
-            self.take("]")
-            return node
-        if value == "(":
-            items = []
-            while self.peek()[1] != ")":
-                items.append(self.term())
-            self.take(")")
-            rest = ("iri", T.RDF + "nil", None, None)
-            for item in reversed(items):
-                cell = self.fresh()
-                self.out += [(cell, T.RDF + "first", item), (cell, T.RDF + "rest", rest)]
-                rest = cell
-            return rest
-        raise ValueError(f"no term: {value!r}")
-
-    def pairs(self, subject: tuple) -> None:
-        while True:
-            predicate = self.term()[1]
-            self.out.append((subject, predicate, self.term()))
-            while self.peek()[1] == ",":
-                self.take()
-                self.out.append((subject, predicate, self.term()))
-            while self.peek()[1] == ";":
-                self.take()
-            if self.peek()[1] in (".", "]", ""):
-                return
-
-    def triples(self) -> list[tuple]:
-        while self.peek()[0] != "end":
-            kind, value = self.peek()
-            if value.lower() in ("@prefix", "prefix", "@base", "base") and kind in ("lang", "word"):
-                self.take()
-                if "prefix" in value.lower():
-                    name = self.take()[1][:-1]
-                    self.prefixes[name] = self.resource(self.take()[1][1:-1])[1]
-                else:
-                    self.base = self.resource(self.take()[1][1:-1])[1]
-                if value[0] == "@":
-                    self.take(".")
-                continue
-            subject = self.term()
-            if self.peek()[1] != ".":
-                self.pairs(subject)
-            self.take(".")
-        return self.out
-
-
-def _rdfxml(content: str, base: str, scope: str) -> list[tuple]:
-    """Triples of RDF/XML: typed and described nodes, resources, literals, nested nodes, collections."""
-    rdf, xml = "{" + T.RDF + "}", "{http://www.w3.org/XML/1998/namespace}"
-    out, names = [], {}
-
-    def blank(name: str | None) -> tuple:
-        key = name or f"[]{len(names)}"
-        return names.setdefault(key, ("bnode", f"rdfimport_{scope}_{len(names) + 1}", None, None))
-
-    def iri(x: str) -> tuple:
-        return ("iri", x if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", x) else base + x, None, None)
-
-    def node(e: ET.Element, lang: str | None) -> tuple:
-        lang = e.get(xml + "lang", lang)
-        about, ident, name = e.get(rdf + "about"), e.get(rdf + "ID"), e.get(rdf + "nodeID")
-        subject = iri(about) if about is not None else iri("#" + ident) if ident else blank(name)
-        if e.tag != rdf + "Description":
-            out.append((subject, T.TYPE, ("iri", re.sub("[{}]", "", e.tag), None, None)))
-        for key, value in e.attrib.items():
-            if not key.startswith((rdf, xml)):
-                out.append((subject, re.sub("[{}]", "", key), ("literal", value, None, lang)))
-        for child in e:
-            out.append((subject, re.sub("[{}]", "", child.tag), value_of(child, child.get(xml + "lang", lang))))
-        return subject
-
-    def value_of(e: ET.Element, lang: str | None) -> tuple:
-        if e.get(rdf + "resource") is not None:
-            return iri(e.get(rdf + "resource"))
-        if e.get(rdf + "nodeID"):
-            return blank(e.get(rdf + "nodeID"))
-        if e.get(rdf + "parseType") == "Collection":
-            rest = ("iri", T.RDF + "nil", None, None)
-            for item in reversed([node(c, lang) for c in e]):
-                cell = blank(None)
-                out.extend([(cell, T.RDF + "first", item), (cell, T.RDF + "rest", rest)])
-                rest = cell
-            return rest
-        if len(e):
-            return node(e[0], lang)
-        dt = e.get(rdf + "datatype")
-        return ("literal", e.text or "", dt, None if dt else lang)
-
-    root = ET.fromstring(content)
-    for e in root if root.tag == rdf + "RDF" else [root]:
-        node(e, root.get(xml + "lang"))
-    return out
-
-
 def triples_of(content: str, form: str, base: str, scope: str) -> list[tuple]:
     if form == "rdfxml":
-        return _rdfxml(content, base, scope)
+        return RdfXml(content, base, scope).triples()
     if form in ("turtle", "ntriples"):
-        return _Turtle(content, base, scope).triples()
+        return Turtle(content, base, scope).triples()
     raise ValueError(f"format {form!r} is not supported")
 
 
-def import_files(spark: SparkSession, path: str, graph_iri: str, form: str | None = None, base: str = "", max_triples: int = MAX_TRIPLES) -> DataFrame:
+def import_files(spark: SparkSession, path: str, graph_iri: str, form: str | None = None, base: str = "", max_triples: int = MAX_TRIPLES, prefix: tuple[str, str] | None = None) -> DataFrame:
     """Quads of Turtle, N-Triples and RDF/XML files, without repeats.
 
     The format is the given one, else by extension, else by content. Blank nodes are scoped by the
     file's content hash, so importing a file again gives the same quads. A file of more than
-    ``max_triples`` distinct triples fails.
+    ``max_triples`` distinct triples fails. ``prefix`` (from, to) replaces a namespace in the texts first.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("content"), F.substring(F.sha2("content", 256), 1, 12).alias("scope"))
     wanted = normalize_format(form) if form else None
@@ -340,6 +197,8 @@ def import_files(spark: SparkSession, path: str, graph_iri: str, form: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
+                if prefix:
+                    f["content"] = f["content"].replace(*prefix)
                 kind = wanted or normalize_format(f["path"].rpartition(".")[2]) or sniff(f["content"])
                 found = list(dict.fromkeys(triples_of(f["content"], kind, base, f["scope"])))
                 if len(found) > max_triples:
