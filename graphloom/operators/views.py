@@ -149,6 +149,11 @@ def resolve(rows: DataFrame, needle: str, lang: str | None = None, k: int = 10)
     return scored.withColumn("_n", best).filter("_n = 1").select("iri", F.col("l.label").alias("label"), "score").orderBy(F.col("score").desc(), "label", "iri").limit(k)
 
 
+def concepts_per_scheme(vocabulary: DataFrame, in_scheme: str) -> DataFrame:
+    """(scheme, n): how many different concepts each scheme has."""
+    return vocabulary.filter(F.col("p") == in_scheme).select("s", F.col("o").alias("scheme")).distinct().groupBy("scheme").agg(F.count(F.lit(1)).alias("n"))
+
+
 def default_scheme(schemes: DataFrame, rows: DataFrame, fixed: str) -> DataFrame:
     """(scheme): the fixed one if there, else the only one, else the extraction scheme with most
     concepts, else the one with most mapped, then most concepts. ``schemes``: (scheme, origin)."""

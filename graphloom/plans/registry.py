@@ -14,7 +14,7 @@ from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import algebra as A
 from graphloom.operators import conflicts, edits, graph, history, similarity, store, terminology, validation, views
-from graphloom.plans import edit_queries, evidence_queries, hierarchy_queries, schema_queries, solution_queries, text_queries
+from graphloom.plans import curation_queries, edit_queries, evidence_queries, hierarchy_queries, schema_queries, solution_queries, text_queries
 from graphloom.plans.catalog import ORACLES, QUERIES, Query, query
 from graphloom.plans.catalog import norm_sql as _norm
 from graphloom.plans.catalog import pascal_sql as _pascal
@@ -557,7 +557,7 @@ def concept_label_twice(spark, sf_dir):
 
 
 #: Queries of these modules are registered where they are defined.
-MODULES = (schema_queries, edit_queries, text_queries, evidence_queries, hierarchy_queries, solution_queries)
+MODULES = (curation_queries, schema_queries, edit_queries, text_queries, evidence_queries, hierarchy_queries, solution_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

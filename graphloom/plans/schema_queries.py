@@ -254,7 +254,7 @@ def _concepts(spark, sf_dir):
     p, c = read(spark, sf_dir, "part"), F.col
     return p.select(
         c("p_partkey").cast("string").alias("iri"), c("p_brand").alias("scheme"), c("p_name").alias("pref"), F.lit("en").alias("pref_lang"), F.array("p_type").alias("alts"), F.array().cast("array<string>").alias("hidden"),
-        F.when(c("p_size") > 25, (c("p_partkey") % 400).cast("string")).alias("mapped"), F.when(c("p_size") % 5 == 0, "deprecated").otherwise("active").alias("status"), F.when(c("p_size") % 2 == 0, "agent").otherwise("manual").alias("origin"),
+        F.when(c("p_size") > 25, F.floor(c("p_partkey") * 3 / 4).cast("string")).alias("mapped"), F.when(c("p_size") % 5 == 0, "deprecated").otherwise("active").alias("status"), F.when(c("p_size") % 2 == 0, "agent").otherwise("manual").alias("origin"),
         F.when(c("p_size") % 3 == 0, "2024-05-01T00:00:00Z").when(c("p_size") % 3 == 1, "2023-01-01").alias("created"), F.lit(None).cast("string").alias("modified"), c("p_partkey").cast("string").alias("k"),
     )
 
@@ -283,7 +283,7 @@ def default_scheme(spark, sf_dir):
     return views.default_scheme(rows.select("scheme", F.lit("manual").alias("origin")).distinct(), rows, "no such scheme")
 
 
-@query("SELECT p_partkey::VARCHAR AS iri, CASE WHEN p_size > 25 AND p_partkey % 400 IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN (p_partkey % 400)::VARCHAR END AS mapped FROM part")
+@query("SELECT p_partkey::VARCHAR AS iri, CASE WHEN p_size > 25 AND p_partkey * 3 // 4 IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN (p_partkey * 3 // 4)::VARCHAR END AS mapped FROM part")
 def drop_stale_mappings(spark, sf_dir):
     known = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("iri"))
     return terminology.drop_stale(_concepts(spark, sf_dir), known).select("iri", "mapped")
@@ -310,7 +310,7 @@ def sync_entities(spark, sf_dir):
 
 
 @query(
-    f"WITH m AS (SELECT p_partkey::VARCHAR AS concept, (p_partkey % 400) AS e FROM part WHERE p_size > 25), n AS (SELECT concept, c_name AS label, {norm_sql('c_name')} AS norm FROM m JOIN customer ON e = c_custkey)"
+    f"WITH m AS (SELECT p_partkey::VARCHAR AS concept, (p_partkey * 3 // 4) AS e FROM part WHERE p_size > 25), n AS (SELECT concept, c_name AS label, {norm_sql('c_name')} AS norm FROM m JOIN customer ON e = c_custkey)"
     " SELECT arg_min(concept, concept) AS concept, label FROM n GROUP BY label, norm"
 )
 def missing_aliases(spark, sf_dir):
@@ -320,12 +320,12 @@ def missing_aliases(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT (p_partkey % 400) AS e, min((p_partkey::VARCHAR, p_brand)) AS m FROM part WHERE p_size > 25 GROUP BY 1), k AS (SELECT e, m[1] AS iri, m[2] AS scheme FROM c)"
-    " SELECT DISTINCT x.iri, y.iri AS other FROM k x JOIN k y ON y.e = x.e + 1 AND x.scheme = y.scheme WHERE x.iri <> y.iri"
+    "WITH c AS (SELECT (p_partkey * 3 // 4) AS e, min((p_partkey::VARCHAR, p_brand)) AS m FROM part WHERE p_size > 25 GROUP BY 1), k AS (SELECT e, m[1] AS iri, m[2] AS scheme FROM c)"
+    " SELECT DISTINCT x.iri, y.iri AS other FROM k x JOIN k y ON y.e BETWEEN x.e + 1 AND x.e + 9 AND x.scheme = y.scheme WHERE x.iri <> y.iri AND x.e IN (SELECT c_custkey FROM customer)"
 )
 def missing_broader(spark, sf_dir):
     rows = _concepts(spark, sf_dir)
-    sub = spark.range(399).select(F.col("id").cast("string").alias("child"), (F.col("id") + 1).cast("string").alias("parent"))
+    sub = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("child"), F.explode(F.transform(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + 9), lambda x: x.cast("string"))).alias("parent"))
     none = spark.createDataFrame([], "iri string, kind string, other string")
     return terminology.missing_broader(sub, rows, none)
 

@@ -31,6 +31,8 @@ COMPARED = (
     "scan_literals", "scan_blank_subject", "insert_union", "remove_difference", "merged_layers", "nquads_round_trip", "export_manifest", "relocate_iris", "add_classes", "add_axioms", "delete_axioms", "delete_nodes", "subordinate_properties",
     "list_walk", "collect_garbage", "split_import", "merge_duplicates", "replace_chunks", "delete_documents", "select_documents", "conflict_evidence", "routed_advice", "compound_labels", "property_view", "class_neighbourhood", "concept_filters",
     "sync_entities", "missing_aliases", "decide_queue", "popular_parents", "schema_delta", "merge_individuals", "optional_left", "delete_class_cascade", "quality_gate",
+    "evidence_texts", "label_mentions", "first_mentions", "join_unbound", "optional_unbound", "minus_unbound", "not_exists_unbound", "closure_after_edits", "display_forest", "display_tree", "edited_individuals", "deleted_concepts",
+    "broader_cycles", "subclass_cycle_conflicts", "concepts_per_scheme", "merged_duplicates_flow", "typed_sums", "typed_arithmetic", "missing_broader",
 )
 
 
