@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
-from graphloom.operators import conflicts, edit_log, pipelines, terminology, views
+from graphloom.operators import conflicts, edit_log, merkle, pipelines, terminology, views
 from graphloom.plans.catalog import query, read
+from graphloom.plans.shared import fresh_dir
 from graphloom.sources import mapping
 from graphloom.sources.mapping import ABOX, EX
 
@@ -145,3 +146,25 @@ def merged_duplicates_flow(spark, sf_dir):
     decisions = one.join(two, (F.col("n") == F.col("m")) & (F.col("iri_a") < F.col("iri_b"))).select("iri_a", "iri_b", ((F.col("ka") + F.col("kb")) % 4 != 0).alias("keep"))
     names = pipelines.duplicates_to_merge(entities, None, decisions, 1.0)
     return pipelines.merge_duplicates(quads, names).select("s", "p", "o")
+
+
+# Versions as trees: names of customers before and after some were changed, some went and some came.
+_VERSIONS = (
+    f"WITH a AS (SELECT '<{EX}customer' || c_custkey || '> <{T.LABEL}> \"' || c_name || '\" <{ABOX}> .' AS line FROM customer), b AS (SELECT '<{EX}customer' || c_custkey || '> <{T.LABEL}> \"' || c_name || CASE WHEN c_custkey % 40 = 3 THEN ' new' ELSE '' END || '\" <{ABOX}> .' AS line"
+    f" FROM customer WHERE c_custkey % 97 <> 5 UNION ALL SELECT '<{EX}customer' || (c_custkey + 1000000000) || '> <{T.LABEL}> \"' || c_name || '\" <{ABOX}> .' FROM customer WHERE c_custkey % 150 = 7),"
+    " d AS (SELECT 'added' AS op, line FROM b WHERE line NOT IN (SELECT line FROM a) UNION ALL SELECT 'removed', line FROM a WHERE line NOT IN (SELECT line FROM b))"
+)
+
+
+@query(f"{_VERSIONS} SELECT op, line, (SELECT count(DISTINCT sha256(line)[1:2]) FROM d) AS ranges_read, (SELECT count(DISTINCT sha256(line)[1:2]) FROM (FROM a UNION FROM b)) AS ranges FROM d")
+def version_diff(spark, sf_dir):
+    """Lines that differ between two versions, and how many of the ranges were read for them."""
+    c, key = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    layer = lambda rows, k, name: mapping.describe(rows, mapping.iri("customer", k), ABOX, mapping.to_literal(T.LABEL, name))
+    changed = F.when(key % 40 == 3, F.concat("c_name", F.lit(" new"))).otherwise(F.col("c_name"))
+    after = layer(c.filter("c_custkey % 97 <> 5"), key, changed).unionByName(layer(c.filter("c_custkey % 150 = 7"), key + 1_000_000_000, F.col("c_name")))
+    at = fresh_dir(spark, "versions")
+    merkle.write_version(layer(c, key, F.col("c_name")), f"{at}/a")
+    merkle.write_version(after, f"{at}/b")
+    lines, n, every = merkle.diff(spark, f"{at}/a", f"{at}/b")
+    return lines.withColumn("ranges_read", F.lit(n).cast("long")).withColumn("ranges", F.lit(every).cast("long"))
