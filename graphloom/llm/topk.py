@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over a sharded inverted index with block-max WAND pruning.
+"""Exact top-k search: BM25 over a sharded inverted index, with block bounds on long lists.
 
 Every input partition is cut into shards of at most ``SHARD_DOCS`` documents or
 ``SHARD_POSTINGS`` postings; a shard is one row of sorted term hashes, list bounds and postings,
