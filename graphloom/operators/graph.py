@@ -120,22 +120,34 @@ def _bypassed(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame
     return cut(rest.unionByName(more).distinct()), told.select("node", F.col("up").alias("head"), F.col("down").alias("tail")), rings
 
 
+#: Edges from which on a graph is made smaller before its closure is looked at; a closure of fewer has at most so many pairs squared.
+FEW_EDGES = 1000
+
+
+def _by_closure(edges: DataFrame) -> DataFrame:
+    """(node, name) of nodes in components of two or more, for a graph of few edges: who reaches each other."""
+    up = cut(ancestors(edges.select(F.col("a").alias("child"), F.col("b").alias("parent"))).filter("node <> anc"))
+    back = up.select(F.col("anc").alias("node"), F.col("node").alias("anc"))
+    return up.join(back, ["node", "anc"], "left_semi").groupBy("node").agg(F.least(F.min("anc"), F.col("node")).alias("name"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(child, parent) -> (root, node): strongly connected components of two nodes or more, and self-loops.
 
-    ``root`` is the component's smallest node. No closure is made. The graph is made small first, in
-    rounds that are the logarithm of the longest chain: edges that are in no cycle are trimmed, the
-    ends of two-way edges become one node, and chains become one edge. What is left is coloured:
-    each node takes the smallest node before it and the smallest after it, and where both are one
-    node that is its component; the rest is judged again, with those edges only whose ends agree in
-    both. Then what was made small is unfolded: a chain belongs to a component if both its ends do.
+    ``root`` is the component's smallest node. The graph is made small first, in rounds that are the
+    logarithm of the longest chain: edges that are in no cycle are trimmed, the ends of two-way edges
+    become one node, and chains become one edge, until FEW_EDGES are left, whose closure says the
+    rest. A graph that does not get smaller in this way is coloured: each node takes the smallest node
+    before it and the smallest after it, and where both are one node that is its component; the rest
+    is judged again, with those edges only whose ends agree in both. Then what was made small is
+    unfolded: a chain belongs to a component if both its ends do.
     """
     known = cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).filter("a is not null and b is not null").distinct())
     loops = known.filter("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
     left, n = _trimmed(known.filter("a <> b"))
     folded: list[tuple[str, DataFrame]] = []
     named = None  # (node, name): nodes of a component have one name
-    while n:
+    while n > FEW_EDGES:
         last = n
         left, names = _merged_pairs(left)
         folded += [("names", names)] if names is not None else []
@@ -148,13 +160,16 @@ def cycles(edges: DataFrame) -> DataFrame:
         left, n = _trimmed(left)
         if n > 0.7 * last:
             break
-    while n:
+    while n > FEW_EDGES:
         before, after = _least_before(left), _least_before(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = cut(before.withColumnRenamed("colour", "first").join(after.withColumnRenamed("colour", "last"), "node"))
         found = both.filter("first = last").select("node", F.col("first").alias("name"))
         named = found if named is None else named.unionByName(found)
         end = lambda c: both.filter("first <> last").select(F.col("node").alias(c), F.struct("first", "last").alias(f"of_{c}"))  # noqa: E731, B023
         left, n = _trimmed(left.join(end("a"), "a").join(end("b"), "b").filter("of_a = of_b").select("a", "b"))
+    if n:
+        few = _by_closure(left)
+        named = few if named is None else named.unionByName(few)
     if named is None and not folded:
         return loops
     node = known.schema["a"].dataType.simpleString()

@@ -77,3 +77,21 @@ def test_deep_forest(spark):
     names = spark.range(n).selectExpr("id as iri", "cast(id as string) as label")
     got = {r.node: (r.root, r.depth, r.branch) for r in graph.display_forest(names, links).collect()}
     assert got == {i: (0, i, n - i) for i in range(n)}
+
+
+@pytest.mark.parametrize("few", [0, 3000])
+def test_cycles_of_contracted_graphs(spark, monkeypatch, few):
+    """Chains, rings and two-way edges folded and unfolded, and the closure of what is left."""
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    rng = random.Random(few)
+    links = {(rng.randrange(30), rng.randrange(30)) for _ in range(38)} | {(i, i + 1) for i in range(40, 60)} | {(60, 40), (45, 3)} | {(i, i + 1) for i in range(70, 80)} | {(80, 70), (5, 5)} | {(90, 91), (91, 90), (91, 92), (92, 93), (93, 90)}
+    got = sorted((r.root, r.node) for r in graph.cycles(spark.createDataFrame(sorted(links), "child long, parent long")).collect())
+    up = plain_closure(links)
+    both = {a: sorted(b for x, b in up if x == a and (b, a) in up) for a, _ in up}
+    assert got == sorted((min(b), a) for a, b in both.items() if b)
+
+
+def test_cycles_along_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 100)
+    e = spark.range(400).selectExpr("explode(array(struct(2*id as child, 2*id+1 as parent), struct(2*id+1 as child, 2*id as parent), struct(2*id+1 as child, 2*id+2 as parent))) x").select("x.*")
+    assert sorted((r.root, r.node) for r in graph.cycles(e).collect()) == [(i - i % 2, i) for i in range(800)]
