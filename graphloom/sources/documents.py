@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import arrow_udf
 
+#: What files that are cut off, damaged or locked raise: archives, XML, compressed streams, numbers and places in them.
+BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, LookupError, ValueError, RuntimeError, NotImplementedError, EOFError)
 SUPPORTED = ("pdf", "docx", "xlsx", "txt", "md", "markdown", "csv")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def docx_text(content: bytes) -> str:
@@ -30,16 +34,28 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Relation ids of a part and the parts they name."""
+    folder, _, name = part.rpartition("/")
+    at = f"{folder}/_rels/{name}.rels"
+    if at not in z.namelist():
+        return {}
+    relative = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}")
+    return {r.get("Id"): relative(r.get("Target", "")) for r in ET.fromstring(z.read(at))}
+
+
 def xlsx_text(content: bytes) -> str:
-    """``## Sheet: name`` and tab-joined rows of each sheet."""
+    """``## Sheet: name`` and tab-joined rows of each sheet, in the workbook's order and by its relations."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(_S + "si")] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(_S + "sheet")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for title, name in zip(titles, sheets, strict=False):
-            out.append(f"## Sheet: {title}")
+        targets = _targets(z, "xl/workbook.xml")
+        for i, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(_S + "sheet"), 1):
+            name = targets.get(sheet.get(_R + "id"), f"xl/worksheets/sheet{i}.xml")
+            if name not in names:
+                continue
+            out.append(f"## Sheet: {sheet.get('name')}")
             for row in ET.fromstring(z.read(name)).iter(_S + "row"):
                 cells = []
                 for c in row.findall(_S + "c"):
@@ -81,7 +97,7 @@ def parse(content: bytes, ext: str) -> str | None:
         if ext == "pdf":
             return pdf_text(content)
         return content.decode("utf-8", "replace") if ext in SUPPORTED else None
-    except (zipfile.BadZipFile, ET.ParseError, KeyError):
+    except BROKEN:
         return None
 
 
