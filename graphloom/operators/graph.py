@@ -1,4 +1,4 @@
-"""Graph operators as rounds of joins; every round is cut in the shared folder.
+"""Graph operators as rounds of joins; every round is a table in the shared folder.
 
 Edges are (a, b). Rounds carry only what is new (semi-naive), closures double their reach each
 round, and no round gathers a node's neighbours into a list.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.shared import cut
+from graphloom.plans.shared import written as cut
 
 
 def ancestors(edges: DataFrame, reflexive: bool = False) -> DataFrame:

@@ -35,3 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that lost executors cost no lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for loops of joins.
+
+    It is computed once, and the next round is planned with the table's real size: a checkpoint keeps
+    the size that was guessed for its plan, and guesses for joins multiply from round to round.
+    """
+    at = fresh_dir(df.sparkSession, "round")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
