@@ -187,9 +187,11 @@ def add_axioms(spark, sf_dir):
     f" SELECT '{T.DISJOINT}' AS p, count(*) AS n FROM x ANTI JOIN gone USING (a, b) UNION ALL SELECT '{T.SUBCLASS}', count(*) FROM x UNION ALL SELECT '{T.TYPE}', count(*) FROM part"
 )
 def delete_axioms(spark, sf_dir):
-    """Given the other way round, disjoint pairs go and subclass links stay."""
+    """Given the other way round, disjoint pairs go and subclass links stay. Of which none is left counts 0."""
     p = read(spark, sf_dir, "part").filter("p_size < 10").select(F.concat(F.lit(EX + "t"), F.col("p_type")).alias("a"), F.concat(F.lit(EX + "b"), F.col("p_brand")).alias("b"))
-    return _by_p(edits.delete_axioms(edits.delete_axioms(_types(spark, sf_dir), T.DISJOINT, p), T.SUBCLASS, p))
+    left = _by_p(edits.delete_axioms(edits.delete_axioms(_types(spark, sf_dir), T.DISJOINT, p), T.SUBCLASS, p))
+    kinds = spark.createDataFrame([(T.DISJOINT,), (T.SUBCLASS,), (T.TYPE,)], "p string")
+    return kinds.join(left, "p", "left").select("p", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query(f"SELECT '{EX}order' || o_orderkey AS s, '{EX}status' AS p, o_orderstatus AS o FROM orders WHERE o_orderpriority <> '1-URGENT'")
