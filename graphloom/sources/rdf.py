@@ -7,8 +7,11 @@ across lines, so each file is parsed in a task; a file is the unit of work and o
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +30,8 @@ _LITERAL = rf'"((?:[^"\\\n\r]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI
 LINE = rf"^\s*(?:{_IRI}|{_BNODE})\s*{_IRI}\s*(?:{_IRI}|{_BNODE}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*(?:#.*)?$"
 #: Most triples of one import, and formats by file extension.
 MAX_TRIPLES = 250_000
+#: Most statements of a document that is written here.
+DOCUMENT = 50_000
 FORMATS = {"ttl": "turtle", "turtle": "turtle", "nt": "ntriples", "ntriples": "ntriples", "nq": "nquads", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml"}
 
 
@@ -84,42 +89,55 @@ def write_nquads(quads: DataFrame, path: str, rows_per_file: int = 1_000_000) ->
     quads.select(T.line_of().alias("value")).distinct().write.option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def write_turtle(quads: DataFrame, path: str) -> None:
-    """One block for each subject, predicates in order; subjects of one graph merge layer by layer."""
-    pair = F.concat(F.lit("<"), F.col("p"), F.lit("> "), T.object_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")))
-    rows = quads.select(T.subject_text(F.col("s_kind"), F.col("s")).alias("s"), pair.alias("po")).distinct()
-    blocks = rows.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("po")), " ;\n    ").alias("body"))
-    blocks.select(F.concat(F.col("s"), F.lit(" "), F.col("body"), F.lit(" .")).alias("value")).write.text(path)
+def _write_documents(rows: DataFrame, path: str, block: Callable[[str, list[tuple]], str], head: str = "", tail: str = "", between: str = "\n") -> None:
+    """(subject, p, v) rows as documents of at most DOCUMENT statements, each a file of its own.
 
+    Rows are sorted by subject in tasks, where repeats meet, and a task holds one document at a
+    time. A subject whose rows do not fit goes on in the next document.
+    """
 
-def write_trig(quads: DataFrame, path: str) -> None:
-    """TriG: a block for each subject of a graph; every file is a document."""
-    pair = F.concat(F.lit("<"), F.col("p"), F.lit("> "), T.object_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")))
-    rows = quads.select(F.col("g"), T.subject_text(F.col("s_kind"), F.col("s")).alias("s"), pair.alias("po")).distinct()
-    blocks = rows.groupBy("g", "s").agg(F.array_join(F.array_sort(F.collect_list("po")), " ;\n    ").alias("body"))
-    open_ = F.when(F.col("g").isNull(), F.lit("{ ")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit("> { ")))
-    blocks.select(F.concat(open_, F.col("s"), F.lit(" "), F.col("body"), F.lit(" . }")).alias("value")).write.text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, items, last = [], [], None
+        n = 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([head + between.join(blocks) + tail])], names=["value"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == last:
+                    continue
+                if items and (row[0] != last[0] or n == DOCUMENT):
+                    blocks.append(block(last[0], items))
+                    items = []
+                if n == DOCUMENT:
+                    yield whole()
+                    blocks, n = [], 0
+                items.append(row[1:])
+                last, n = row, n + 1
+        if items:
+            blocks.append(block(last[0], items))
+            yield whole()
+
+    rows = rows.toDF("subject", "p", "v")
+    dealt = rows.repartition("subject").sortWithinPartitions("subject", "p", "v")
+    dealt.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
-def _framed(head: str, tail: str, between: str = ""):
-    """Lines of a partition between a head and a tail, so that each file is a document of its own."""
+def write_turtle(quads: DataFrame, path: str) -> None:
+    """A block for each subject, predicates in order; subjects of one graph merge layer by layer."""
+    p, o = F.concat(F.lit("<"), F.col("p"), F.lit("> ")), T.object_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
+    rows = quads.select(T.subject_text(F.col("s_kind"), F.col("s")), p, o)
+    _write_documents(rows, path, lambda s, items: f"{s} " + " ;\n    ".join(p + o for p, o in items) + " .")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
-        for batch in batches:
-            lines = batch.column(0).to_pylist()
-            if lines:
-                lines = [head if first else None, *[x if first and i == 0 else between + x for i, x in enumerate(lines)]]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x in lines if x is not None])], names=["value"])
-                first = False
-        if not first:
-            yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
 
-    return run
+def write_trig(quads: DataFrame, path: str) -> None:
+    """TriG: a block for each subject of a graph; every file is a document."""
+    p, o = F.concat(F.lit("<"), F.col("p"), F.lit("> ")), T.object_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
+    open_ = F.when(F.col("g").isNull(), F.lit("{ ")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit("> { ")))
+    rows = quads.select(F.concat(open_, T.subject_text(F.col("s_kind"), F.col("s"))), p, o)
+    _write_documents(rows, path, lambda s, items: f"{s} " + " ;\n    ".join(p + o for p, o in items) + " . }")
 
 
 def write_rdfxml(quads: DataFrame, path: str) -> None:
-    """RDF/XML, one description for each subject; every file is a document. No quads, no document.
+    """RDF/XML, a description for each subject; every file is a document. No quads, no document.
 
     What XML cannot say fails: control characters, and predicates that end in no name.
     """
@@ -137,23 +155,23 @@ def write_rdfxml(quads: DataFrame, path: str) -> None:
     mark = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("o_lang"), F.lit('"'))).when(plain, F.lit("")).otherwise(F.concat(F.lit(' rdf:datatype="'), safe(F.col("o_dt")), F.lit('"')))
     literal = F.concat(opened, mark, F.lit(">"), safe(F.col("o")), F.lit("</x:"), local, F.lit(">"))
     line = F.when(F.col("o_kind") == "literal", literal).otherwise(F.concat(opened, node(F.col("o_kind"), F.col("o"), "", "resource"), F.lit("/>")))
-    rows = quads.select(node(F.col("s_kind"), F.col("s"), "", "about").alias("about"), line.alias("line")).distinct()
-    body = rows.groupBy("about").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
-    described = body.select(F.concat(F.lit("  <rdf:Description"), F.col("about"), F.lit(">\n"), F.col("body"), F.lit("\n  </rdf:Description>")).alias("value"))
-    described.mapInArrow(_framed(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{T.RDF}">', "</rdf:RDF>"), "value string").write.text(path)
+    rows = quads.select(node(F.col("s_kind"), F.col("s"), "", "about"), F.lit(""), line)
+    described = lambda about, items: f"  <rdf:Description{about}>\n" + "\n".join(x for _, x in items) + "\n  </rdf:Description>"
+    _write_documents(rows, path, described, f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{T.RDF}">\n', "\n</rdf:RDF>")
 
 
 def write_jsonld(quads: DataFrame, path: str) -> None:
-    """Expanded JSON-LD, one object for each subject; every file is a document."""
+    """Expanded JSON-LD, an object for each subject; every file is a document."""
     ref = lambda kind, v: F.when(kind == "bnode", F.concat(F.lit("_:"), v)).otherwise(v)
     text = F.struct(F.col("o").alias("@value"), F.when(F.col("o_lang").isNull() & F.col("o_dt").isNotNull() & (F.col("o_dt") != T.XSD + "string"), F.col("o_dt")).alias("@type"), F.col("o_lang").alias("@language"))
     value = F.when(F.col("o_kind") == "literal", F.to_json(text)).otherwise(F.to_json(F.struct(ref(F.col("o_kind"), F.col("o")).alias("@id"))))
-    rows = quads.select(ref(F.col("s_kind"), F.col("s")).alias("id"), "p", value.alias("v")).distinct()
-    by_p = rows.groupBy("id", "p").agg(F.concat(F.to_json(F.array("p")), F.lit(":["), F.array_join(F.array_sort(F.collect_list("v")), ","), F.lit("]")).alias("pv"))
-    key = F.regexp_replace("pv", r'^\["(.*?)"\]:', '"$1":')
-    whole = by_p.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("body"))
-    head = F.regexp_replace(F.to_json(F.struct(F.col("id").alias("@id"))), r"\}$", ",")
-    whole.select(F.concat(head, F.col("body"), F.lit("}")).alias("value")).mapInArrow(_framed("[", "]", ","), "value string").write.text(path)
+    rows = quads.select(ref(F.col("s_kind"), F.col("s")), "p", value)
+
+    def node(subject: str, items: list[tuple]) -> str:
+        values = (f"{json.dumps(p, ensure_ascii=False)}:[{','.join(v for _, v in some)}]" for p, some in groupby(items, itemgetter(0)))
+        return ",".join([f'{{"@id":{json.dumps(subject, ensure_ascii=False)}', *values]) + "}"
+
+    _write_documents(rows, path, node, "[\n", "\n]", ",\n")
 
 
 def normalize_format(name: str | None) -> str | None:
@@ -196,7 +214,8 @@ def import_files(spark: SparkSession, path: str, graph_iri: str, form: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in batch.to_pylist():
+            for i in range(batch.num_rows):
+                f = batch.slice(i, 1).to_pylist()[0]
                 if prefix:
                     f["content"] = f["content"].replace(*prefix)
                 kind = wanted or normalize_format(f["path"].rpartition(".")[2]) or sniff(f["content"])
