@@ -83,9 +83,9 @@ def disjoint_common(schema: Schema, up: DataFrame) -> DataFrame:
     """A class below two disjoint classes, itself none of them."""
     low, high = _ordered(F.col("a"), F.col("b"))
     pairs = schema.disjoint.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct()
-    one = up.join(pairs, up["anc"] == pairs["a"]).select("node", "a", "b")
-    two = up.select(F.col("node").alias("n2"), F.col("anc").alias("a2"))
-    both = one.join(two, (F.col("node") == F.col("n2")) & (F.col("b") == F.col("a2")), "left_semi").filter("node <> a and node <> b")
+    ends = pairs.select(F.col("a").alias("anc")).unionByName(pairs.select(F.col("b").alias("anc"))).distinct()
+    sets = up.join(ends, "anc", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("anc")).alias("has"))
+    both = graph.pairs_held(sets, pairs).filter("node <> a and node <> b")
     return both.distinct().select(*_row("disjoint_common", "error", F.array("node", "a", "b"), F.col("node"), F.col("a"), F.col("b")))
 
 
