@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators import graph
-from graphloom.plans.shared import cut
+from graphloom.plans.shared import cut, written
 
 MAX_DIRECT_TYPES = 12
 MAX_VIOLATIONS = 500
@@ -51,12 +51,23 @@ def _pairs(disjoint: DataFrame) -> DataFrame:
     return disjoint.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct()
 
 
-def disjoint_types(closed: DataFrame, disjoint: DataFrame) -> DataFrame:
-    """Individuals in two disjoint classes."""
+def disjoint_classes(disjoint: DataFrame) -> DataFrame:
+    """(cls): classes that are disjoint with another."""
     pairs = _pairs(disjoint)
-    one = closed.join(pairs, closed["cls"] == pairs["a"]).select("ind", "a", "b")
-    two = closed.select(F.col("ind").alias("ind2"), F.col("cls").alias("cls2"))
-    hit = one.join(two, (F.col("ind") == F.col("ind2")) & (F.col("b") == F.col("cls2")), "left_semi").distinct()
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def class_sets(types: DataFrame, up: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ind, has): those classes of an individual that are ``wanted`` (cls), inherited ones included,
+    sorted; no row where there is none. Only ancestors that are wanted are looked up."""
+    over = up.select("node", "anc").unionByName(wanted.select(F.col("cls").alias("node"), F.col("cls").alias("anc")))
+    own = over.join(wanted.select(F.col("cls").alias("anc")), "anc", "left_semi").groupBy("node").agg(F.collect_set("anc").alias("own"))
+    return types.join(own, types["cls"] == own["node"]).groupBy("ind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("has"))
+
+
+def disjoint_types(sets: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """Individuals in two disjoint classes; ``sets``: (ind, has) of all classes that are in a pair."""
+    hit = graph.pairs_held(sets.select(F.col("ind").alias("node"), "has"), _pairs(disjoint)).withColumnRenamed("node", "ind")
     return hit.select(*_violation("disjoint", "error", F.concat_ws("|", "a", "b"), F.col("ind"), F.col("a"), F.col("b")))
 
 
@@ -69,24 +80,27 @@ def slot_members(tbox: DataFrame, slot: str) -> DataFrame:
     return values.filter("o_kind = 'iri'").select("prop", F.col("value").alias("cls")).unionByName(heads.join(members, "head").select("prop", F.col("member").alias("cls"))).distinct()
 
 
-def slot_conflicts(links: DataFrame, members: DataFrame, closed: DataFrame, disjoint: DataFrame, up: DataFrame, kind: str) -> DataFrame:
+def slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, disjoint: DataFrame, up: DataFrame, kind: str) -> DataFrame:
     """(prop, ind, fact): facts whose individual conflicts with every member class of the slot.
 
     An individual conflicts with a class if one of its classes is disjoint with it or with one of
-    its superclasses.
+    its superclasses. ``sets``: (ind, has) of all classes that are in a disjoint pair. What a slot
+    asks for is one value too (of each member class the classes that it or a superclass is and that
+    are in a pair), so equal slots and equal sets are judged once, however many facts have them.
     """
-    both = disjoint.select("a", "b").unionByName(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    wide = members.join(up, members["cls"] == up["node"], "left").select("prop", "cls", F.coalesce("anc", "cls").alias("over"))
-    wide = wide.unionByName(members.select("prop", "cls", F.col("cls").alias("over"))).distinct()
-    against = wide.join(both, wide["over"] == both["a"]).select(F.col("prop").alias("x_prop"), "cls", F.col("b").alias("enemy")).distinct()
-    hit = (
-        links.join(closed.select(F.col("ind").alias("t_ind"), F.col("cls").alias("own")), F.col("ind") == F.col("t_ind"))
-        .join(against, (F.col("prop") == F.col("x_prop")) & (F.col("own") == F.col("enemy")))
-        .groupBy("prop", "ind", "fact").agg(F.countDistinct("cls").alias("n"))
-    )
-    need = members.groupBy(F.col("prop").alias("n_prop")).agg(F.count(F.lit(1)).alias("of"))
-    bad = hit.join(need, (F.col("prop") == F.col("n_prop")) & (F.col("n") == F.col("of")))
-    return bad.select(*_violation(kind, "warning", F.col("fact"), F.col("ind"), F.col("prop"), F.col("fact")))
+    both = written(disjoint.select("a", "b").unionByName(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    wide = members.join(up, members["cls"] == up["node"]).select("prop", "cls", F.col("anc").alias("over")).unionByName(members.select("prop", "cls", F.col("cls").alias("over")))
+    asked = wide.join(both.select(F.col("a").alias("over")).distinct(), "over", "left_semi").groupBy("prop", "cls").agg(F.array_sort(F.collect_set("over")).alias("over"))
+    slots = asked.groupBy("prop").agg(F.array_sort(F.collect_set("over")).alias("slot"), F.count(F.lit(1)).alias("n"))
+    need = members.groupBy("prop").agg(F.count(F.lit(1)).alias("of"))
+    slots = written(slots.join(need, "prop").filter("n = of").select(F.col("prop").alias("s_prop"), "slot"))
+    known = sets.select(F.col("ind").alias("t_ind"), "has")
+    met = written(links.join(slots, F.col("prop") == F.col("s_prop")).join(known, F.col("ind") == F.col("t_ind")).select("prop", "ind", "fact", "slot", "has"))
+    each = met.select("slot", "has").distinct().select("slot", "has", F.posexplode("slot").alias("i", "over"))
+    each = each.select("slot", "has", "i", F.explode("over").alias("a")).select("*", F.explode("has").alias("b"))
+    bad = each.join(both, ["a", "b"]).groupBy("slot", "has").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == F.size("slot"))
+    hit = met.join(written(bad.select("slot", "has")), ["slot", "has"], "left_semi").select("prop", "ind", "fact").distinct()
+    return hit.select(*_violation(kind, "warning", F.col("fact"), F.col("ind"), F.col("prop"), F.col("fact")))
 
 
 def wrong_datatypes(abox: DataFrame, tbox: DataFrame) -> DataFrame:
@@ -101,7 +115,7 @@ def validate(tbox: DataFrame, abox: DataFrame) -> DataFrame:
     pair = lambda p: tbox.filter(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
     up = cut(graph.ancestors(pair(T.SUBCLASS).select(F.col("a").alias("child"), F.col("b").alias("parent"))))
     types, disjoint = direct_types(abox), pair(T.DISJOINT)
-    closed = cut(type_closure(types, up))
+    sets = written(class_sets(types, up, disjoint_classes(disjoint)))
     links = abox.filter(F.col("p") != T.TYPE)
     fact = F.concat_ws("|", "s", "p", "o")
     out = links.select(F.col("p").alias("prop"), F.col("s").alias("ind"), fact.alias("fact"))
@@ -109,9 +123,9 @@ def validate(tbox: DataFrame, abox: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            placeholders(abox, types), too_many_types(types), disjoint_types(closed, disjoint),
-            slot_conflicts(out, slot_members(tbox, T.DOMAIN), closed, disjoint, up, "domain"),
-            slot_conflicts(into, slot_members(tbox, T.RANGE).filter(~F.startswith("cls", F.lit(T.XSD))), closed, disjoint, up, "range"),
+            placeholders(abox, types), too_many_types(types), disjoint_types(sets, disjoint),
+            slot_conflicts(out, slot_members(tbox, T.DOMAIN), sets, disjoint, up, "domain"),
+            slot_conflicts(into, slot_members(tbox, T.RANGE).filter(~F.startswith("cls", F.lit(T.XSD))), sets, disjoint, up, "range"),
             wrong_datatypes(abox, tbox),
         ],
     )

@@ -216,9 +216,9 @@ def disjoint_type_violations(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
     types = part.select(mapping.iri("part", F.col("p_partkey")).alias("ind"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("cls"), "p_size")
     more = part.filter("p_retailprice > 950").select(mapping.iri("part", F.col("p_partkey")).alias("ind"), F.lit("dear").alias("cls"), "p_size")
-    closed = types.unionByName(more).select("ind", "cls")
+    sets = types.unionByName(more).groupBy("ind").agg(F.array_sort(F.collect_set("cls")).alias("has"))
     disjoint = spark.createDataFrame([("large", "dear")], "a string, b string")
-    found = validation.disjoint_types(closed, disjoint).select("individual")
+    found = validation.disjoint_types(sets, disjoint).select("individual")
     return found.join(types, F.col("individual") == F.col("ind")).select("individual", F.col("p_size").cast("string").alias("detail"))
 
 

@@ -103,9 +103,10 @@ _ENEMY = "d2 AS (SELECT x, y FROM dis UNION SELECT y, x FROM dis), over_ AS (SEL
 )
 def domain_violations(spark, sf_dir):
     tbox, abox, up = mapping.to_schema(spark, sf_dir), mapping.to_items(spark, sf_dir), _up(spark, sf_dir)
-    closed = validation.type_closure(validation.direct_types(abox), up)
+    disjoint = cut(_pair(tbox, T.DISJOINT))
+    sets = validation.class_sets(validation.direct_types(abox), up, validation.disjoint_classes(disjoint))
     links = abox.filter(F.col("p") != T.TYPE).select(F.col("p").alias("prop"), F.col("s").alias("ind"), F.concat_ws("|", "s", "p", "o").alias("fact"))
-    return validation.slot_conflicts(links, validation.slot_members(tbox, T.DOMAIN), closed, _pair(tbox, T.DISJOINT), up, "domain").select("individual", "detail")
+    return validation.slot_conflicts(links, validation.slot_members(tbox, T.DOMAIN), sets, disjoint, up, "domain").select("individual", "detail")
 
 
 @query(
@@ -122,8 +123,9 @@ def instance_validation(spark, sf_dir):
     f"WITH {LAYER} SELECT DISTINCT a.ind AS individual, least(x, y) || '|' || greatest(x, y) AS detail FROM closed a JOIN dis ON a.cls = x JOIN closed b ON b.ind = a.ind AND b.cls = y ORDER BY left(sha256('disjoint|' || individual || '|' || detail), 16) LIMIT 500"
 )
 def violation_report(spark, sf_dir):
-    closed = validation.type_closure(validation.direct_types(mapping.to_items(spark, sf_dir)), _up(spark, sf_dir))
-    return validation.report(validation.disjoint_types(closed, _pair(mapping.to_schema(spark, sf_dir), T.DISJOINT)))[0].select("individual", "detail")
+    disjoint = cut(_pair(mapping.to_schema(spark, sf_dir), T.DISJOINT))
+    sets = validation.class_sets(validation.direct_types(mapping.to_items(spark, sf_dir)), _up(spark, sf_dir), validation.disjoint_classes(disjoint))
+    return validation.report(validation.disjoint_types(sets, disjoint))[0].select("individual", "detail")
 
 
 @query("SELECT '" + EX + "order' || o_orderkey AS individual, o_orderpriority AS detail FROM orders UNION SELECT '" + EX + "order' || o_orderkey, o_totalprice::VARCHAR FROM orders WHERE o_orderkey % 4 = 0 AND false")
