@@ -8,8 +8,14 @@ back is a pointer to an older snapshot.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,9 @@ from graphloom.sources.mapping import QUAD
 
 #: Stands for "any graph" in scans, as opposed to None, the default graph.
 ANY = object()
+#: Lines of a block, which a task packs; 10,000 blocks of these may travel in one batch where bytes are not bounded.
+BLOCK_LINES = 1000
+BLOCKS = pa.schema([("g", pa.string()), ("part", pa.int32()), ("seq", pa.int64()), ("block", pa.binary())])
 SCHEMA = "g string, s_kind string, s string, p string, o_kind string, o string, o_dt string, o_lang string"
 
 
@@ -85,11 +94,45 @@ def diff_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     return added.unionByName(a.subtract(b).select(F.lit("removed").alias("op"), "line"))
 
 
+def _line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, line), sorted -> blocks of a graph's lines without repeats, each ended by a line feed, with their place."""
+    part, seq, last = TaskContext.get().partitionId(), 0, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_LINES):
+            rows = [r for r, _ in groupby(zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_LINES).columns), strict=True))]
+            if rows[0] == last:
+                del rows[0]
+            for g, some in groupby(rows, itemgetter(0)):
+                yield pa.RecordBatch.from_pydict({"g": [g], "part": [part], "seq": [seq], "block": ["".join(f"{line}\n" for _, line in some).encode()]}, BLOCKS)
+                seq += 1
+            last = rows[-1] if rows else last
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, block), in order -> the SHA-256 of each graph's blocks."""
+    g, digest = None, None
+    told = lambda: pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([digest.hexdigest()])], names=["g", "signature"])
+    for batch in batches:
+        for name, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if digest is None or name != g:
+                if digest is not None:
+                    yield told()
+                g, digest = name, hashlib.sha256()
+            digest.update(block.as_buffer())
+    if digest is not None:
+        yield told()
+
+
 def layer_signature(quads: DataFrame) -> DataFrame:
-    """(g, signature): SHA-256 of each graph's sorted lines, for layers that fit one executor."""
-    line = quads.select("g", T.line_of().alias("line")).distinct()
-    joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-    return line.groupBy("g").agg(F.sha2(F.concat(joined, F.lit("\n")), 256).alias("signature"))
+    """(g, signature): SHA-256 of each graph's sorted distinct lines.
+
+    Lines are sorted by range, made distinct and packed into blocks in many tasks. The digest of a
+    sequence can only be made from its begin to its end, so the blocks of a graph stream through
+    one task in order; it holds a batch of blocks at a time, whatever the layer's size.
+    """
+    line = quads.select("g", T.line_of().alias("line"))
+    blocks = line.repartitionByRange("g", "line").sortWithinPartitions("g", "line").mapInArrow(_line_blocks, "g string, part int, seq long, block binary")
+    return blocks.repartition("g").sortWithinPartitions("g", "part", "seq").select("g", "block").mapInArrow(_digests, "g string, signature string")
 
 
 def set_fingerprint(quads: DataFrame) -> DataFrame:
