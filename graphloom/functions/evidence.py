@@ -6,6 +6,7 @@ of letters, marks, decimal digits and connectors; a text is compared by its norm
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -42,14 +43,16 @@ LEAST_QUOTE = 4
 _NOUN = regex.compile("instance|individual|实例|个体", regex.IGNORECASE)
 
 _WORD, _LINK, _TAG = regex.compile(f"[{W}]+"), regex.compile(LINK), regex.compile(TAG)
+_ASCII_WORD = re.compile("[0-9A-Za-z_]+")
 _SHORTCODE, _SHOWN = regex.compile(SHORTCODE, regex.DOTALL), regex.compile(SHORTCODE_TEXT, regex.DOTALL | regex.IGNORECASE)
 _FIELD, _PAIR, _PARTS = regex.compile(FIELD_LINE, regex.MULTILINE), regex.compile(JSON_PAIR, regex.IGNORECASE), regex.compile(rf"\s*{SEPARATORS}\s*")
 
 
 def nfkc(x: str | None) -> str:
-    return unicodedata.normalize("NFKC", x or "")
+    return x if x and x.isascii() else unicodedata.normalize("NFKC", x or "")
 
 
+@lru_cache(512)
 def plain_text(x: str | None) -> str:
     """Normalized words joined by spaces: links keep their text, short codes the text they show, tags go."""
 
@@ -57,8 +60,11 @@ def plain_text(x: str | None) -> str:
         text = _SHOWN.search(m[1])
         return f" {text[2]} " if text else " "
 
-    x = _TAG.sub(" ", _SHORTCODE.sub(shown, _LINK.sub(r"\1", nfkc(x)))).replace("_", " ")
-    return " ".join(_WORD.findall(x)).lower()
+    x = nfkc(x)
+    x = _LINK.sub(r"\1", x) if "[" in x else x
+    x = _SHORTCODE.sub(shown, x) if "{{" in x else x
+    x = (_TAG.sub(" ", x) if "<" in x else x).replace("_", " ")
+    return " ".join((_ASCII_WORD if x.isascii() else _WORD).findall(x)).lower()
 
 
 def plain_label(x: str | None) -> str:
@@ -106,10 +112,15 @@ def _declaration(words: tuple[str, ...]) -> regex.Pattern:
     return regex.compile("|".join(p.format(x=x, q=q, w=W) for p in DECLARATIONS), regex.IGNORECASE)
 
 
+def may_declare(source: str) -> bool:
+    """Has a source a word that every declaration has?"""
+    return bool(_NOUN.search(source))
+
+
 def declared(label: str | None, source: str | None) -> bool:
     """Does the source say in so many words that a label names one individual?"""
     words = _WORD.findall(nfkc(label))
-    if not words or not source or not _NOUN.search(source):
+    if not words or not source or not may_declare(source):
         return False
     return bool(_declaration(tuple(words)).search(source))
 
@@ -129,6 +140,11 @@ def scalars(raw: str) -> list[str]:
     return list(dict.fromkeys(x for x in (whole, *map(_scalar, parts)) if x))
 
 
+@lru_cache(512)
+def _values(raw: str) -> tuple[str, ...]:
+    return tuple(v for v in map(plain_text, scalars(raw)) if v)
+
+
 def value_roles(source: str | None) -> dict[str, set[str]]:
     """Normalized values of ``key: value`` lines and JSON pairs, each with its roles: type or literal."""
     roles: dict[str, set[str]] = {}
@@ -136,9 +152,8 @@ def value_roles(source: str | None) -> dict[str, set[str]]:
         for m in pattern.finditer(source or ""):
             key = plain_text(m[1])
             role = "type" if key and (key in TYPE_FIELDS or key.split(" ")[-1] in TYPE_FIELDS) else "literal"
-            for value in map(plain_text, scalars(m[2])):
-                if value:
-                    roles.setdefault(value, set()).add(role)
+            for value in _values(m[2]):
+                roles.setdefault(value, set()).add(role)
     return roles
 
 

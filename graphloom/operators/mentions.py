@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import evidence as E
 from graphloom.plans.shared import fresh_dir
+from graphloom.plans.shared import written as cut
 
 #: Bytes of forms in one automaton; a node takes some 30 to 100 bytes of memory for each.
 PART_BYTES = 2 << 20
+#: Rows that a task tells at once.
+TOLD_ROWS = 10_000
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,35 +75,64 @@ class Finder:
         return {self.labels[i] for i in out}
 
 
+def _told(labels: list[str], chunks: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(chunks, kind)], names=["label", "chunk_id"])
+
+
 def _find(part: Broadcast, loose: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(part.value, loose)
         for batch in batches:
+            kind, labels, chunks = batch.schema.field(0).type, [], []
             for at, text in zip(*batch.columns, strict=True):
                 found = sorted(finder(text.as_py()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([at.as_py()] * len(found), batch.schema.field(0).type)], names=["label", "chunk_id"])
+                labels += found
+                chunks += [at.as_py()] * len(found)
+                if len(labels) >= TOLD_ROWS:
+                    yield _told(labels, chunks, kind)
+                    labels, chunks = [], []
+            if labels:
+                yield _told(labels, chunks, kind)
+
+    return run
+
+
+def _find_declared(part: Broadcast, loose: bool):
+    """Each label once for a task, with the first chunk there that declares it; what is told is not asked again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, done = Finder(part.value, loose), set()
+        for batch in batches:
+            for at, text in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                if not E.may_declare(text):
+                    continue
+                new = [label for label in sorted(finder(text) - done) if E.declared(label, text)]
+                done.update(new)
+                if new:
+                    yield _told(new, [at.as_py()] * len(new), batch.schema.field(0).type)
 
     return run
 
 
-def mentions(labels: DataFrame, chunks: DataFrame, loose: bool = False) -> DataFrame:
+def mentions(labels: DataFrame, chunks: DataFrame, loose: bool = False, task=_find) -> DataFrame:
     """(label), (chunk_id, text) -> (label, chunk_id): the chunks that hold a label, each once.
 
     Holding is what ``evidence.grounded`` says; with ``loose`` a label's signs within words count too.
-    Null labels and texts give nothing.
+    Null labels and texts give nothing. Texts are dealt anew, since many small ones lie in one split.
     """
     spark, at = labels.sparkSession, fresh_dir(labels.sparkSession, "mentions")
     labels.select(F.col("label").cast("string")).filter("label is not null").distinct().mapInArrow(_forms, "label string, kind int, form string").write.parquet(f"{at}/forms")
     forms = spark.read.parquet(f"{at}/forms")
     size = forms.agg(F.coalesce(F.sum(F.octet_length("form") + F.octet_length("label")), F.lit(0)).alias("b")).first()["b"]
     parts = size // PART_BYTES + 1
-    texts = chunks.select("chunk_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    texts = chunks.select("chunk_id", F.col("text").cast("string").alias("text")).filter("text is not null").repartition("chunk_id")
+    texts = cut(texts) if parts > 1 else texts
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     for i in range(parts):
         some = forms.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == i)
         shared = spark.sparkContext.broadcast([tuple(r) for r in some.collect()])  # about PART_BYTES
-        texts.mapInArrow(_find(shared, loose), f"label string, chunk_id {kind}").write.parquet(f"{at}/found/part={i}")
+        texts.mapInArrow(task(shared, loose), f"label string, chunk_id {kind}").write.parquet(f"{at}/found/part={i}")
         shared.destroy()
     return spark.read.schema(f"label string, chunk_id {kind}, part int").parquet(f"{at}/found").select("label", "chunk_id").distinct()
 
@@ -116,5 +148,4 @@ def first_mentions(labels: DataFrame, chunks: DataFrame, most: int | None = 4) -
 
 def declared_anywhere(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     """(label): labels that some chunk declares to be one individual; only chunks with their signs are asked."""
-    near = mentions(labels, chunks, loose=True).join(chunks.select("chunk_id", "text"), "chunk_id")
-    return near.filter(E.declared_individual(F.col("label"), F.col("text"))).select("label").distinct()
+    return mentions(labels, chunks, loose=True, task=_find_declared).select("label").distinct()

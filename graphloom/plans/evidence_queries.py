@@ -20,7 +20,8 @@ def _plain(x: str) -> str:
 
 
 def _parts(spark, sf_dir):
-    return read(spark, sf_dir, "part")
+    """The parts, dealt anew: a split holds too many small rows for work on texts."""
+    return read(spark, sf_dir, "part").repartition("p_partkey")
 
 
 _SHOWN = """'[' || p_name || '](http://x/y) {{< ref text="shown ' || p_brand || '" >}} {{% gone %}}See <b>' || p_type || '</b> at 10:30:45 :icon: a_b'"""

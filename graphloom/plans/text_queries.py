@@ -8,12 +8,13 @@ from graphloom.functions import terms as T
 from graphloom.functions import text as X
 from graphloom.operators import extraction, history, pipelines
 from graphloom.plans.catalog import query, read
-from graphloom.plans.shared import fresh_dir
+from graphloom.plans.shared import fresh_dir, written
 from graphloom.sources import blobs, documents, rdf
 
 
 def _parts(spark, sf_dir):
-    return read(spark, sf_dir, "part")
+    """The parts, dealt anew: a split holds too many small rows for work on texts."""
+    return read(spark, sf_dir, "part").repartition("p_partkey")
 
 
 def _case(column: str, *values):
@@ -166,7 +167,7 @@ def _guarded(spark, sf_dir):
 )
 def clean_schema(spark, sf_dir):
     """Blocked classes go with their axioms, empty properties go, a datatype as range makes a data property."""
-    guarded = _guarded(spark, sf_dir)
+    guarded = written(_guarded(spark, sf_dir))
     each = guarded.select("chunk_id").distinct()
     props = F.array(F.struct(F.concat(F.lit("size "), "chunk_id").alias("label"), F.lit("integer").alias("range")), F.struct(F.lit("has").alias("label"), F.lit("integer").alias("range")))
     none = F.lit(None).cast("string")
