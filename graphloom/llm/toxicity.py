@@ -54,6 +54,8 @@ CACHE_WORDS = 60_000
 PAD = 2
 #: Training rows of a shard, words that a task learns from at a time, and rounds where there are several shards.
 SHARD_ROWS, PIECE_WORDS, ROUNDS = 4000, 2_000_000, 3
+#: Most labelled ids that are broadcast to their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Weights travel as whole multiples of 1 / FIXED.
 FIXED = float(1 << 30)
 
@@ -275,11 +277,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[Data
     if s.per_class is not None:
         mine = mine.filter("toxic = 1").orderBy(order, "doc_id").limit(s.per_class).unionByName(mine.filter("toxic = 0").orderBy(order, "doc_id").limit(s.per_class))
         n = min(n, 2 * s.per_class)
+    # texts travel once: few ids are broadcast, and many meet their texts where their shard is
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")))
+    mine = mine.withColumn("doc_id", F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null")
+    dealt = lambda d: d.repartition(max(1, -(-n // SHARD_ROWS)), "doc_id")
+    met = dealt(known.join(F.broadcast(mine), "doc_id")) if n <= BROADCAST_IDS else dealt(known).join(dealt(mine).hint("merge"), "doc_id")
     one = (
-        docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
-        .join(mine, "doc_id").repartition(max(1, -(-n // SHARD_ROWS)), "doc_id")
-        .groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("of"))
+        met.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("of"))
         .select("doc_id", "toxic", "of.lang", order.alias("order"), "of.text")
     )
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, lang string, order long, n long, rows binary"
