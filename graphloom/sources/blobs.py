@@ -35,10 +35,31 @@ def write_blobs(rows: DataFrame, folder: str) -> DataFrame:
     return distinct.mapInArrow(run, "sha256 string, size_bytes long")
 
 
+#: Bytes of blobs that a task hands on at once.
+READ_BYTES = 8 << 20
+
+
 def read_blobs(spark: SparkSession, folder: str) -> DataFrame:
-    """(sha256, size_bytes, content) of all blobs below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("sha256"), F.col("length").alias("size_bytes"), "content")
+    """(sha256, size_bytes, content) of all blobs below a folder; tasks list it, so no list of files passes the driver."""
+    of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["sha256", "size_bytes", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for first in (n for batch in batches for n in batch.column(0).to_pylist()):
+            rows, held = [], 0
+            for info in fs.get_file_info(pafs.FileSelector(f"{root}/{first:02x}", allow_not_found=True, recursive=True)):
+                if info.type != pafs.FileType.File or info.base_name.endswith(".tmp"):
+                    continue
+                with fs.open_input_stream(info.path, compression=None) as file:
+                    rows.append((info.base_name, info.size, file.read()))
+                held += info.size
+                if held >= READ_BYTES:
+                    yield of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield of(rows)
+
+    return spark.range(0, 256, 1, 64).mapInArrow(run, "sha256 string, size_bytes long, content binary")
 
 
 def reference_counts(documents: DataFrame) -> DataFrame:
