@@ -10,7 +10,7 @@ import unicodedata
 from functools import wraps
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -163,12 +163,19 @@ def windows(label: str | None, text: str | None, reach: int = 320, most: int | N
     return out
 
 
-@arrow_udf("array<struct<start:int,stop:int,text:string>>")
-def evidence_windows(labels: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "stop": b, "text": t[a:b]} for a, b in windows(l, t)] for l, t in zip(labels, texts, strict=True)])
+@arrow_udf("array<struct<start:int,stop:int>>")
+def _window_spans(labels: pd.Series, texts: pd.Series, most: pd.Series) -> pd.Series:
+    found = (windows(l, t, most=None if pd.isna(n) else int(n)) for l, t, n in zip(labels, texts, most, strict=True))
+    return pd.Series([[{"start": a, "stop": b} for a, b in spans] for spans in found])
 
 
-@arrow_udf("array<struct<start:int,stop:int,text:string>>")
-def sampled_windows(labels: pd.Series, texts: pd.Series, most: pd.Series) -> pd.Series:
+def sampled_windows(label, text, most) -> Column:
     """As evidence_windows, around an even sample of a text's occurrences."""
-    return pd.Series([[{"start": a, "stop": b, "text": t[a:b]} for a, b in windows(l, t, most=n)] for l, t, n in zip(labels, texts, most, strict=True)])
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    shown = lambda w: F.struct(w["start"], w["stop"], F.substring(c(text), w["start"] + 1, w["stop"] - w["start"]).alias("text"))
+    return F.transform(_window_spans(c(label), c(text), c(most)), shown)
+
+
+def evidence_windows(label, text) -> Column:
+    """Windows (start, stop, text) around a label's occurrences; tasks in Python tell places only."""
+    return sampled_windows(label, text, F.lit(None).cast("int"))
