@@ -6,6 +6,7 @@ The world is open: a missing type is no violation, a conflicting one is.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from graphloom.plans.shared import cut, written
 
 MAX_DIRECT_TYPES = 12
 MAX_VIOLATIONS = 500
+#: Rows that a task tells apart by a table in its memory.
+TASK_ROWS = 1_000_000
 _NO_CLASS = (T.NAMED_INDIVIDUAL, T.CLASS, T.OBJECT_PROPERTY, T.DATA_PROPERTY)
 
 
@@ -30,8 +33,18 @@ def direct_types(abox: DataFrame) -> DataFrame:
 
 
 def type_closure(types: DataFrame, up: DataFrame) -> DataFrame:
-    """(ind, cls) with all superclasses; a class without superclass stands for itself."""
-    return types.join(up, types["cls"] == up["node"]).select("ind", F.col("anc").alias("cls")).unionByName(types).distinct()
+    """(ind, cls) with all superclasses; a class without superclass stands for itself.
+
+    Only what comes twice is dropped, so the rows are counted first and dealt, by class to be joined
+    and by individual to be told apart, in parts of about TASK_ROWS, which bounds what a task holds.
+    """
+    types = written(types)
+    over = up.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    n = types.join(over, types["cls"] == over["node"], "left").agg(F.sum(F.coalesce("n", F.lit(0)) + 1)).first()[0] or 0
+    parts = max(math.ceil(n / TASK_ROWS), types.sparkSession.sparkContext.defaultParallelism)
+    dealt = types.repartition(parts, "cls")
+    every = dealt.join(up, dealt["cls"] == up["node"]).select("ind", F.col("anc").alias("cls")).unionByName(types)
+    return every.repartition(parts, "ind").distinct()
 
 
 def placeholders(abox: DataFrame, types: DataFrame) -> DataFrame:
