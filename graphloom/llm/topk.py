@@ -2,16 +2,16 @@
 
 Every input partition is cut into shards of at most ``SHARD_DOCS`` documents or
 ``SHARD_POSTINGS`` postings; a shard is one row of sorted term hashes, list bounds and postings,
-written as a table in the shared folder. Documents of a shard are ordered by their most frequent
-term, which brings languages and kinds together and makes block maxima tell them apart. Document frequencies are summed over all shards for the
+written as a table in the shared folder. Documents of a shard, and queries of a block, are ordered by which of the most
+frequent terms they have, which brings languages and kinds together and makes block maxima tell them apart. Document frequencies are summed over all shards for the
 query terms, and the number of documents and their mean length over all of them, so every shard
 scores with global statistics and the shards' top k merge exactly.
 
 A task holds a block of queries (``BLOCK_POSTINGS`` of their terms at most, which bounds what is
 broadcast) and goes through its shards, carrying each query's k-th best score on as threshold.
 One shard in eight is searched first, and the k-th best scores there are where the others begin.
-Within a shard, documents lie in blocks. Short lists are added up posting by posting; lists that
-are long in the shard are kept as rows of a matrix with their maximum in every block. A document
+Within a shard, documents lie in blocks. What a list holds in a block where it is long is a row of
+that block's matrix, with its maximum; all else are short lists, added up posting by posting. A document
 block is scored for a query only if the largest sum of its short lists and the block maxima of
 the query's long lists together reach the threshold (the WAND condition, with block maxima as
 bounds); the queries that are left at a block are scored there by one matrix product. Documents
@@ -48,8 +48,13 @@ from graphloom.llm.common import ALNUM_WORD, UPPER, fresh_dir
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 4096, 2_000_000
 BLOCK_POSTINGS = 1_000_000
-#: Documents of a block; queries scored together; lists longer than 1 / LONG of a shard are long.
-DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 12
+#: Documents of a block; queries scored together; a list is long in a block if the geometric mean of the shares of
+#: the block's documents and of all queries that have its term is above 1 / LONG.
+DOC_BLOCK, QUERY_BATCH, LONG = 256, 128, 24
+#: Postings of short lists that are added up together, which stay in a core's cache.
+ADDED = 64_000
+#: The most frequent terms by which documents and queries are brought together.
+MARKS = 24
 #: Shards whose documents are put in order together.
 ORDERED_SHARDS = 4
 #: One shard in so many is searched first; its k-th best scores are the others' thresholds.
@@ -104,9 +109,26 @@ def _shard(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> dict:
     }
 
 
+def _kinds(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts a number that says which of the most frequent terms it has, the first of them heaviest."""
+    known, df = np.unique(term[owner % 8 == 0] if n >= 4096 else term, return_counts=True)  # of some texts where there are many: this is for the order only
+    marks = np.sort(known[np.lexsort((known, -df))[:MARKS]])
+    if not len(marks):
+        return np.zeros(n, np.int64)
+    place = np.empty(len(marks), np.int64)
+    place[np.lexsort((marks, -df[np.searchsorted(known, marks)]))] = len(marks) - 1 - np.arange(len(marks))
+    at = np.minimum(np.searchsorted(marks, term), len(marks) - 1)
+    mark = np.where(marks[at] == term, place[at], -1)
+    kind = np.zeros(n, np.int64)
+    np.add.at(kind, owner[mark >= 0], 1 << mark[mark >= 0])
+    return kind
+
+
 def _shards(held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    """Shards of documents ordered by their most frequent term, so that blocks are of one kind."""
-    held.sort(key=lambda d: (int(d[1][np.argmax(d[2])]) if len(d[1]) else 0, d[0]))
+    """Shards of documents ordered by the most frequent terms that they have, so that blocks are of one kind."""
+    owner = np.repeat(np.arange(len(held)), [len(d[1]) for d in held])
+    kind = _kinds(owner, np.concatenate([d[1] for d in held]), len(held)).tolist()
+    held = [held[i] for i in sorted(range(len(held)), key=lambda i: (kind[i], held[i][0]))]
     rows, begin, size = [], 0, 0
     for i, d in enumerate(held):
         size += len(d[1])
@@ -162,7 +184,12 @@ class _Block:
         query, term, weight = query[order], term[order], (idf * rows["qtf"].to_numpy())[order]
         self.terms, self.place = np.unique(term, return_inverse=True)
         first = np.nonzero(np.r_[True, query[1:] != query[:-1]])[0]
-        self.queries, self.bounds, self.weights, self.mean_length = query[first], np.r_[first, len(query)], weight, mean_length
+        sizes = np.diff(np.r_[first, len(query)])
+        self.asked = np.bincount(self.place, minlength=len(self.terms)) / max(len(first), 1)  # share of the queries that have a term
+        # queries of one kind are scored together
+        order = np.argsort(_kinds(np.repeat(np.arange(len(first)), sizes), term, len(first)), kind="stable")
+        rows = _ranges(first[order], sizes[order])
+        self.queries, self.bounds, self.weights, self.place, self.mean_length = query[first][order], np.r_[0, np.cumsum(sizes[order])], weight[rows], self.place[rows], mean_length
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -193,15 +220,32 @@ class _Lists:
         self.f_term, self.f_impact = owner[by_doc], self.impact[by_doc]
         self.f_bounds = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.scratch = np.zeros(len(self.size))
-        # long lists as rows of a matrix over whole document blocks
+        # what a list has in a block where it is long is a row of the block's matrix, the rest are short lists
         self.blocks = -(-n // DOC_BLOCK)
-        long_ = np.nonzero(self.size > n / LONG)[0]
+        part = owner.astype(np.int64) * self.blocks + self.doc // DOC_BLOCK
+        first = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0] if len(part) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[first, len(part)])
+        heavy = sizes * block.asked[owner[first]] > DOC_BLOCK / LONG**2
+        row_term, row_block = np.divmod(part[first[heavy]], max(self.blocks, 1))
+        long_ = np.unique(row_term)
         self.row_of = np.full(len(self.size), -1)
         self.row_of[long_] = np.arange(len(long_))
-        self.matrix = np.zeros((len(long_), self.blocks * DOC_BLOCK), np.float32)
-        mine = self.row_of[owner] >= 0
-        self.matrix[self.row_of[owner[mine]], self.doc[mine]] = self.impact[mine]
-        self.block_max = self.matrix.reshape(len(long_), self.blocks, DOC_BLOCK).max(axis=2)
+        self.long = len(long_)
+        by_block = np.argsort(row_block, kind="stable")
+        matrix = np.zeros((len(row_term), DOC_BLOCK), np.float32)
+        row = np.empty(len(row_term), np.int64)
+        row[by_block] = np.arange(len(row_term))
+        mine = np.repeat(heavy, sizes)
+        matrix[np.repeat(row, sizes[heavy]), self.doc[mine] % DOC_BLOCK] = self.impact[mine]
+        cuts = np.searchsorted(row_block[by_block], np.arange(self.blocks + 1))
+        rows = self.row_of[row_term[by_block]]
+        self.parts = [(rows[a:b], matrix[a:b], matrix[a:b].max(axis=1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.short = np.bincount(owner[~mine], minlength=len(self.size))
+        self.begin = np.cumsum(self.short) - self.short
+        # document and impact of a posting side by side, as they are read: (int32, float32) in 8 bytes
+        self.pairs = np.empty(2 * int(self.short.sum()), np.int32)
+        self.pairs[::2], self.pairs[1::2] = self.doc[~mine], self.impact[~mine].astype(np.float32).view(np.int32)
+        del self.doc, self.impact
 
     def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in doubles; terms are added in the order of their hashes."""
@@ -220,29 +264,46 @@ class _Lists:
         """
         n, width = len(least), self.blocks * DOC_BLOCK
         error = slack(np.bincount(query, minlength=n))
+        score = np.zeros(n * width, np.float32)
+        low, pairs = weights.astype(np.float32), self.pairs.view(np.int64)
+        ends = np.cumsum(self.short[terms])
+        first = 0
+        while first < len(terms):  # so many postings of short lists at a time
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ADDED, "right")))
+            sizes = self.short[terms[first:last]]
+            found = pairs[_ranges(self.begin[terms[first:last]], sizes)]
+            cell = np.repeat(query[first:last].astype(np.int64) * width, sizes)
+            cell += found.view(np.int32)[::2]
+            part = np.repeat(low[first:last], sizes)
+            part *= found.view(np.float32)[1::2]
+            np.add.at(score, cell, part)
+            first = last
+        score = score.reshape(n, width)
         row = self.row_of[terms]
-        short = (row < 0) & (self.size[terms] > 0)
-        rows, sizes = _ranges(self.begin[terms[short]], self.size[terms[short]]), self.size[terms[short]]
-        cell = np.repeat(query[short].astype(np.int64) * width, sizes) + self.doc[rows]
-        score = np.bincount(cell, weights=np.repeat(weights[short], sizes) * self.impact[rows], minlength=n * width).astype(np.float32).reshape(n, width)
-        heavy = np.zeros((n, len(self.matrix)), np.float32)
-        heavy[query[row >= 0], row[row >= 0]] = weights[row >= 0]
-        bound = score.reshape(n, self.blocks, DOC_BLOCK).max(axis=2) + heavy @ self.block_max
+        heavy = np.zeros((self.long, n), np.float32)
+        heavy[row[row >= 0], query[row >= 0]] = weights[row >= 0]
+        used = np.bincount(row[row >= 0], minlength=self.long) > 0
         floor = least * (1 - error) - STEP
-        alive = bound >= floor[:, None]
-        for b in range(self.blocks):
-            at = slice(b * DOC_BLOCK, (b + 1) * DOC_BLOCK)
+        alive = np.empty((n, self.blocks), bool)
+        most = score.reshape(n, self.blocks, DOC_BLOCK).max(axis=2)
+        for b, (rows, matrix, top) in enumerate(self.parts):
+            at, here = slice(b * DOC_BLOCK, (b + 1) * DOC_BLOCK), used[rows]
+            mine = heavy[rows[here]]
+            alive[:, b] = most[:, b] + top[here] @ mine >= floor
             some = np.nonzero(alive[:, b])[0]
-            if len(some) == n:
-                score[:, at] += heavy @ self.matrix[:, at]
-            elif len(some):
-                score[some, at] += heavy[some] @ self.matrix[:, at]
+            if len(some) and len(mine):
+                matrix = matrix if here.all() else matrix[here]
+                if len(some) == n:
+                    score[:, at] += mine.T @ matrix
+                else:
+                    score[some, at] += mine[:, some].T @ matrix
         many = np.nonzero((least <= 0) | ((score >= floor[:, None]).sum(axis=1) > 4 * k))[0]
         if len(many) and width >= k:  # no use in scoring more than can be the best k here
             floor[many] = np.maximum(floor[many], np.partition(score[many], width - k, axis=1)[:, width - k] * (1 - 2 * error[many]) - STEP)
-        found = np.nonzero(score >= np.maximum(floor, 1e-30)[:, None])
-        inside = (found[1] < self.n) & alive[found[0], found[1] // DOC_BLOCK]
-        return found[0][inside], found[1][inside]
+        low = np.nextafter(np.maximum(floor, 1e-30).astype(np.float32), np.float32(0))
+        of, doc = np.divmod(np.flatnonzero(score >= low[:, None]), max(width, 1))
+        inside = (doc < self.n) & alive[of, doc // DOC_BLOCK]
+        return of[inside], doc[inside]
 
 
 def _search_task(block: Broadcast, k: int):
@@ -311,7 +372,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         seen = written(shards.filter(first), block, known, f"first-{i}")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
         kth = seen.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").toArrow()  # at most a row for each query of the block
-        known[np.searchsorted(block.queries, kth["query_id"].to_numpy())] = kth["score"].to_numpy()
+        by_id = np.argsort(block.queries)
+        known[by_id[np.searchsorted(block.queries, kth["query_id"].to_numpy(), sorter=by_id)]] = kth["score"].to_numpy()
         part = seen.unionByName(written(shards.filter(~first), block, known, f"others-{i}"))
         found = part if found is None else found.unionByName(part)
     if found is None:
