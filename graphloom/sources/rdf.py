@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.functions.text import arrow_udf
 from graphloom.operators.store import SCHEMA
-from graphloom.sources.mapping import QUAD
+from graphloom.sources.mapping import QUAD, dealt
 from graphloom.sources.rdf_parsers import RdfXml, Turtle
 
 _IRI = r"<((?:[^<>\"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*)>"
@@ -117,8 +117,7 @@ def _write_documents(rows: DataFrame, path: str, block: Callable[[str, list[tupl
             yield whole()
 
     rows = rows.toDF("subject", "p", "v")
-    dealt = rows.repartition("subject").sortWithinPartitions("subject", "p", "v")
-    dealt.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    dealt(rows, "subject").sortWithinPartitions("subject", "p", "v").mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_turtle(quads: DataFrame, path: str) -> None:
