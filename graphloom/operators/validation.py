@@ -185,10 +185,13 @@ def shacl(shapes: DataFrame, data: DataFrame) -> DataFrame:
 
     Targets are the direct instances of a class; ``class`` asks for a direct type.
     """
-    types = data.filter(F.col("p") == T.TYPE).select(F.col("s").alias("t_s"), F.col("o").alias("t_o")).distinct()
+    shapes = written(shapes)  # few as a rule, and a table's size is known: what no shape names is left out before it travels
+    classes = shapes.select(F.col("target").alias("t_o")).unionByName(shapes.filter("class_ is not null").select(F.col("class_").alias("t_o"))).distinct()
+    types = data.filter(F.col("p") == T.TYPE).select(F.col("s").alias("t_s"), F.col("o").alias("t_o")).join(classes, "t_o", "left_semi").distinct()
     focus = shapes.join(types, F.col("target") == F.col("t_o")).withColumnRenamed("t_s", "focus").drop("t_o")
-    values = data.select(F.col("s").alias("v_s"), F.col("p").alias("v_p"), "o_kind", "o", "o_dt", "o_lang").distinct()
-    met = focus.join(values, (F.col("focus") == F.col("v_s")) & (F.col("path") == F.col("v_p")), "left")
+    paths = shapes.select(F.col("path").alias("v_p")).distinct()
+    values = data.select(F.col("s").alias("v_s"), F.col("p").alias("v_p"), "o_kind", "o", "o_dt", "o_lang").join(paths, "v_p", "left_semi").distinct()
+    met = written(focus.join(values, (F.col("focus") == F.col("v_s")) & (F.col("path") == F.col("v_p")), "left"))
     row = lambda d, constraint, value: d.select("shape", "focus", "path", F.lit(constraint).alias("constraint"), value.alias("value"))
     key = ["shape", "focus", "path", "min_count"]
     few = met.filter("min_count is not null").groupBy(*key).agg(F.count("o").alias("n")).filter("n < min_count")
