@@ -24,9 +24,10 @@ from graphloom.operators.store import SCHEMA
 from graphloom.sources.mapping import QUAD, dealt
 from graphloom.sources.rdf_parsers import RdfXml, Turtle
 
-_IRI = r"<((?:[^<>\"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*)>"
+# Plain characters are taken as one run that gives nothing back: escapes and ends are other characters.
+_IRI = r"<((?:[^<>\"{}|^`\\\x00-\x20]++|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)>"
 _BNODE = r"_:([\p{L}\p{N}_][\p{L}\p{N}_.-]*)"
-_LITERAL = rf'"((?:[^"\\\n\r]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI})?'
+_LITERAL = rf'"((?:[^"\\\n\r]++|\\.)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI})?'
 LINE = rf"^\s*(?:{_IRI}|{_BNODE})\s*{_IRI}\s*(?:{_IRI}|{_BNODE}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*(?:#.*)?$"
 #: Most triples of one import, and formats by file extension.
 MAX_TRIPLES = 250_000
