@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators import graph
-from graphloom.plans.shared import cut, written
+from graphloom.plans.shared import shuffled, written
 
 MAX_DIRECT_TYPES = 12
 MAX_VIOLATIONS = 500
@@ -50,7 +50,7 @@ def type_closure(types: DataFrame, up: DataFrame) -> DataFrame:
 def placeholders(abox: DataFrame, types: DataFrame) -> DataFrame:
     """Individuals whose label names nothing (their local name counts where there is no label)."""
     labels = abox.filter(F.col("p") == T.LABEL).groupBy(F.col("s").alias("l_ind")).agg(F.min("o").alias("label"))
-    named = types.select("ind").distinct().join(labels, F.col("ind") == F.col("l_ind"), "left").select("ind", F.coalesce("label", T.local_name(F.col("ind"))).alias("label"))
+    named = types.select("ind").distinct().join(shuffled(labels), F.col("ind") == F.col("l_ind"), "left").select("ind", F.coalesce("label", T.local_name(F.col("ind"))).alias("label"))
     return named.filter(T.non_identifying(F.col("label"))).select(*_violation("placeholder", "error", F.col("label"), F.col("ind")))
 
 
@@ -73,14 +73,29 @@ def disjoint_classes(disjoint: DataFrame) -> DataFrame:
 def class_sets(types: DataFrame, up: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ind, has): those classes of an individual that are ``wanted`` (cls), inherited ones included,
     sorted; no row where there is none. Only ancestors that are wanted are looked up."""
+    sets, kinds = class_kinds(types, up, wanted)
+    return sets.join(shuffled(kinds), "kind").select("ind", "has")
+
+
+def class_kinds(types: DataFrame, up: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``class_sets`` as (ind, kind) and (kind, has): an individual is dealt with the key of what its
+    classes give it, and a set that many have is put together once."""
     over = up.select("node", "anc").unionByName(wanted.select(F.col("cls").alias("node"), F.col("cls").alias("anc")))
-    own = over.join(wanted.select(F.col("cls").alias("anc")), "anc", "left_semi").groupBy("node").agg(F.collect_set("anc").alias("own"))
-    return types.join(own, types["cls"] == own["node"]).groupBy("ind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("has"))
+    own = over.join(shuffled(wanted.select(F.col("cls").alias("anc"))), "anc", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("anc")).alias("own"))
+    own = written(own.select("node", "own", graph.set_key(F.col("own")).alias("key")))
+    mixed = types.join(shuffled(own.select("node", "key")), types["cls"] == own["node"]).groupBy("ind").agg(F.array_sort(F.collect_set("key")).alias("mix"))
+    sets = written(mixed.select("ind", "mix", graph.set_key(F.col("mix")).alias("kind")))
+    each = sets.select("kind", "mix").distinct().select("kind", F.explode("mix").alias("key"))
+    met = each.join(shuffled(own.select("key", "own").distinct()), "key").groupBy("kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("has"))
+    return sets.select("ind", "kind"), written(met)
 
 
 def disjoint_types(sets: DataFrame, disjoint: DataFrame) -> DataFrame:
     """Individuals in two disjoint classes; ``sets``: (ind, has) of all classes that are in a pair."""
-    hit = graph.pairs_held(sets.select(F.col("ind").alias("node"), "has"), _pairs(disjoint)).withColumnRenamed("node", "ind")
+    return _disjoint_rows(graph.pairs_held(sets.select(F.col("ind").alias("node"), "has"), _pairs(disjoint)).withColumnRenamed("node", "ind"))
+
+
+def _disjoint_rows(hit: DataFrame) -> DataFrame:
     return hit.select(*_violation("disjoint", "error", F.concat_ws("|", "a", "b"), F.col("ind"), F.col("a"), F.col("b")))
 
 
@@ -88,9 +103,9 @@ def slot_members(tbox: DataFrame, slot: str) -> DataFrame:
     """(prop, cls): classes of a domain or range; members of a union where it is one."""
     values = tbox.filter((F.col("p") == slot) & F.col("o_kind").isin("iri", "bnode")).select(F.col("s").alias("prop"), F.col("o").alias("value"), "o_kind")
     unions = tbox.filter(F.col("p") == T.OWL + "unionOf").select(F.col("s").alias("u"), F.col("o").alias("head"))
-    heads = values.join(unions, values["value"] == unions["u"]).select("prop", "head")
+    heads = values.join(shuffled(unions), values["value"] == unions["u"]).select("prop", "head")
     members = graph.list_members(tbox, heads.select("head").distinct(), T.RDF + "first", T.RDF + "rest", T.RDF + "nil")
-    return values.filter("o_kind = 'iri'").select("prop", F.col("value").alias("cls")).unionByName(heads.join(members, "head").select("prop", F.col("member").alias("cls"))).distinct()
+    return values.filter("o_kind = 'iri'").select("prop", F.col("value").alias("cls")).unionByName(heads.join(shuffled(members), "head").select("prop", F.col("member").alias("cls"))).distinct()
 
 
 def slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, disjoint: DataFrame, up: DataFrame, kind: str) -> DataFrame:
@@ -101,18 +116,32 @@ def slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, disjoi
     asks for is one value too (of each member class the classes that it or a superclass is and that
     are in a pair), so equal slots and equal sets are judged once, however many facts have them.
     """
+    keyed = sets.select("ind", "has", graph.set_key(F.col("has")).alias("kind"))
+    return _slot_conflicts(links, members, keyed.select("ind", "kind"), keyed.select("kind", "has").distinct(), disjoint, up, kind)
+
+
+def _slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, kinds: DataFrame, disjoint: DataFrame, up: DataFrame, kind: str) -> DataFrame:
+    """``slot_conflicts`` for (ind, kind) and (kind, has): facts carry keys of slots and sets, and the
+    classes that a slot asks for meet the foes of a set, of which there is one row each."""
     both = written(disjoint.select("a", "b").unionByName(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    wide = members.join(up, members["cls"] == up["node"]).select("prop", "cls", F.col("anc").alias("over")).unionByName(members.select("prop", "cls", F.col("cls").alias("over")))
-    asked = wide.join(both.select(F.col("a").alias("over")).distinct(), "over", "left_semi").groupBy("prop", "cls").agg(F.array_sort(F.collect_set("over")).alias("over"))
-    slots = asked.groupBy("prop").agg(F.array_sort(F.collect_set("over")).alias("slot"), F.count(F.lit(1)).alias("n"))
-    need = members.groupBy("prop").agg(F.count(F.lit(1)).alias("of"))
-    slots = written(slots.join(need, "prop").filter("n = of").select(F.col("prop").alias("s_prop"), "slot"))
-    known = sets.select(F.col("ind").alias("t_ind"), "has")
-    met = written(links.join(slots, F.col("prop") == F.col("s_prop")).join(known, F.col("ind") == F.col("t_ind")).select("prop", "ind", "fact", "slot", "has"))
-    each = met.select("slot", "has").distinct().select("slot", "has", F.posexplode("slot").alias("i", "over"))
-    each = each.select("slot", "has", "i", F.explode("over").alias("a")).select("*", F.explode("has").alias("b"))
-    bad = each.join(both, ["a", "b"]).groupBy("slot", "has").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == F.size("slot"))
-    hit = met.join(written(bad.select("slot", "has")), ["slot", "has"], "left_semi").select("prop", "ind", "fact").distinct()
+    members = written(members)
+    asked = members.select("cls").distinct()
+    wide = asked.join(shuffled(up), asked["cls"] == up["node"]).select("cls", F.col("anc").alias("over")).unionByName(asked.select("cls", F.col("cls").alias("over")))
+    over = wide.join(shuffled(both.select(F.col("a").alias("over")).distinct()), "over", "left_semi").groupBy("cls").agg(F.array_sort(F.collect_set("over")).alias("over"))
+    slots = members.join(shuffled(over), "cls").groupBy("prop").agg(F.array_sort(F.collect_set("over")).alias("slot"), F.count(F.lit(1)).alias("n"))
+    need = members.groupBy(F.col("prop").alias("n_prop")).agg(F.count(F.lit(1)).alias("of"))
+    slots = slots.join(shuffled(need), (F.col("prop") == F.col("n_prop")) & (F.col("n") == F.col("of")))
+    slots = written(slots.select(F.col("prop").alias("s_prop"), "slot", graph.set_key(F.col("slot")).alias("ask")))
+    known = sets.select(F.col("ind").alias("t_ind"), "kind")
+    asks = links.join(shuffled(slots.select("s_prop", "ask")), F.col("prop") == F.col("s_prop"))
+    met = written(asks.join(shuffled(known), F.col("ind") == F.col("t_ind")).select("prop", "ind", "fact", "ask", "kind"))
+    each = slots.select("ask", "slot").distinct().select("ask", F.posexplode("slot").alias("i", "over")).select("ask", "i", F.explode("over").alias("a"))
+    foes = kinds.select("kind", F.explode("has").alias("b")).join(shuffled(both), "b").select("kind", "a").distinct()
+    foes = foes.join(shuffled(each.select("a").distinct()), "a", "left_semi")
+    tried = met.select("ask", "kind").distinct().join(shuffled(each), "ask").join(shuffled(foes), ["kind", "a"], "left_semi").groupBy("ask", "kind").agg(F.countDistinct("i").alias("n"))
+    sizes = slots.select(F.col("ask").alias("s_ask"), F.size("slot").alias("of")).distinct()
+    bad = written(tried.join(shuffled(sizes), (F.col("ask") == F.col("s_ask")) & (F.col("n") == F.col("of"))).select("ask", "kind"))
+    hit = met.join(shuffled(bad), ["ask", "kind"], "left_semi").select("prop", "ind", "fact").distinct()
     return hit.select(*_violation(kind, "warning", F.col("fact"), F.col("ind"), F.col("prop"), F.col("fact")))
 
 
@@ -124,11 +153,17 @@ def wrong_datatypes(abox: DataFrame, tbox: DataFrame) -> DataFrame:
 
 
 def validate(tbox: DataFrame, abox: DataFrame) -> DataFrame:
-    """All violations of an instance layer."""
+    """All violations of an instance layer.
+
+    Both layers are written once, with what the rules read of them. All that grows with them is
+    dealt to tasks, so the driver holds plans only.
+    """
+    tbox, abox = written(tbox.select("s", "p", "o_kind", "o")), written(abox.select("s", "p", "o_kind", "o"))
     pair = lambda p: tbox.filter(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
-    up = cut(graph.ancestors(pair(T.SUBCLASS).select(F.col("a").alias("child"), F.col("b").alias("parent"))))
-    types, disjoint = direct_types(abox), pair(T.DISJOINT)
-    sets = written(class_sets(types, up, disjoint_classes(disjoint)))
+    up = graph.ancestors(pair(T.SUBCLASS).select(F.col("a").alias("child"), F.col("b").alias("parent")))
+    types, disjoint = written(direct_types(abox)), written(pair(T.DISJOINT))
+    sets, kinds = class_kinds(types, up, disjoint_classes(disjoint))
+    held = graph.kinds_held(kinds, _pairs(disjoint))
     links = abox.filter(F.col("p") != T.TYPE)
     fact = F.concat_ws("|", "s", "p", "o")
     out = links.select(F.col("p").alias("prop"), F.col("s").alias("ind"), fact.alias("fact"))
@@ -136,9 +171,9 @@ def validate(tbox: DataFrame, abox: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            placeholders(abox, types), too_many_types(types), disjoint_types(sets, disjoint),
-            slot_conflicts(out, slot_members(tbox, T.DOMAIN), sets, disjoint, up, "domain"),
-            slot_conflicts(into, slot_members(tbox, T.RANGE).filter(~F.startswith("cls", F.lit(T.XSD))), sets, disjoint, up, "range"),
+            placeholders(abox, types), too_many_types(types), _disjoint_rows(sets.join(shuffled(held), "kind")),
+            _slot_conflicts(out, slot_members(tbox, T.DOMAIN), sets, kinds, disjoint, up, "domain"),
+            _slot_conflicts(into, slot_members(tbox, T.RANGE).filter(~F.startswith("cls", F.lit(T.XSD))), sets, kinds, disjoint, up, "range"),
             wrong_datatypes(abox, tbox),
         ],
     )
