@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
-from graphloom.plans.shared import cut
+from graphloom.operators import graph
+from graphloom.plans.shared import shuffled, written
 
 TERM = "struct<kind:string,value:string,dt:string,lang:string>"
 MAX_ROWS = 10_000
@@ -196,18 +197,20 @@ def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFram
 
 
 def path_plus(triples: DataFrame, predicate: str, s: str = "s", o: str = "o", zero: bool = False) -> DataFrame:
-    """Pairs joined by one or more steps (``zero``: or none) of a predicate: a distinct fixpoint."""
-    step = pattern(triples, "?a", predicate, "?b").distinct()
-    known = cut(step)
-    front = known
-    while True:
-        more = front.join(step.select(F.col("a").alias("_m"), F.col("b").alias("_n")), front["b"] == F.col("_m")).select("a", F.col("_n").alias("b")).distinct()
-        new = F.struct("a", "b")
-        old = known.select(new.alias("_k"))
-        front = cut(more.join(old, new == F.col("_k"), "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        known = cut(known.unionByName(front))
+    """Pairs joined by one or more steps (``zero``: or none) of a predicate: a distinct fixpoint.
+
+    Terms are numbered, so the rounds of ``graph.ancestors`` carry numbers only, and each pair's
+    terms are looked up once, at the end.
+    """
+    step = written(pattern(triples, "?a", predicate, "?b").distinct())
+    ends = step.select(F.col("a").alias("term")).unionByName(step.select(F.col("b").alias("term"))).distinct()
+    names = written(ends.select("term", F.monotonically_increasing_id().alias("n")))
+    number_of = lambda d, end, n: d.join(shuffled(names.select(F.col("term").alias("_term"), F.col("n").alias(n))), F.col(end) == F.col("_term")).drop("_term", end)
+    pairs = graph.ancestors(number_of(number_of(step, "a", "child"), "b", "parent"))
+    fields = ("kind", "value", "dt", "lang")
+    told = lambda p: names.select(F.col("n").alias(p), *[F.col("term")[f].alias(f"{p}_{f}") for f in fields])
+    term = lambda p: F.struct(*[F.col(f"{p}_{f}").alias(f) for f in fields])
+    known = pairs.join(shuffled(told("_b")), F.col("anc") == F.col("_b")).join(shuffled(told("_a")), F.col("node") == F.col("_a")).select(term("_a").alias("a"), term("_b").alias("b"))
     if zero:
         every = union(pattern(triples, "?x", "?p", "?y").select("x"), pattern(triples, "?y", "?p", "?x").select("x")).distinct()
         known = known.unionByName(every.select(F.col("x").alias("a"), F.col("x").alias("b"))).distinct()
