@@ -20,6 +20,8 @@ MAX_DIRECT_TYPES = 12
 MAX_VIOLATIONS = 500
 #: Rows that a task tells apart by a table in its memory.
 TASK_ROWS = 1_000_000
+#: Pairs of disjoint classes, counted, that are sent to every task; more are dealt.
+FEW_PAIRS = 100_000
 _NO_CLASS = (T.NAMED_INDIVIDUAL, T.CLASS, T.OBJECT_PROPERTY, T.DATA_PROPERTY)
 
 
@@ -121,8 +123,8 @@ def slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, disjoi
 
 
 def _slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, kinds: DataFrame, disjoint: DataFrame, up: DataFrame, kind: str) -> DataFrame:
-    """``slot_conflicts`` for (ind, kind) and (kind, has): facts carry keys of slots and sets, and the
-    classes that a slot asks for meet the foes of a set, of which there is one row each."""
+    """``slot_conflicts`` for (ind, kind) and (kind, has): facts carry keys of slots and sets, and each
+    slot and set that a fact brings together are looked up once to be judged."""
     both = written(disjoint.select("a", "b").unionByName(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     members = written(members)
     asked = members.select("cls").distinct()
@@ -135,12 +137,11 @@ def _slot_conflicts(links: DataFrame, members: DataFrame, sets: DataFrame, kinds
     known = sets.select(F.col("ind").alias("t_ind"), "kind")
     asks = links.join(shuffled(slots.select("s_prop", "ask")), F.col("prop") == F.col("s_prop"))
     met = written(asks.join(shuffled(known), F.col("ind") == F.col("t_ind")).select("prop", "ind", "fact", "ask", "kind"))
-    each = slots.select("ask", "slot").distinct().select("ask", F.posexplode("slot").alias("i", "over")).select("ask", "i", F.explode("over").alias("a"))
-    foes = kinds.select("kind", F.explode("has").alias("b")).join(shuffled(both), "b").select("kind", "a").distinct()
-    foes = foes.join(shuffled(each.select("a").distinct()), "a", "left_semi")
-    tried = met.select("ask", "kind").distinct().join(shuffled(each), "ask").join(shuffled(foes), ["kind", "a"], "left_semi").groupBy("ask", "kind").agg(F.countDistinct("i").alias("n"))
-    sizes = slots.select(F.col("ask").alias("s_ask"), F.size("slot").alias("of")).distinct()
-    bad = written(tried.join(shuffled(sizes), (F.col("ask") == F.col("s_ask")) & (F.col("n") == F.col("of"))).select("ask", "kind"))
+    pairs = met.select("ask", "kind").distinct().join(shuffled(slots.select("ask", "slot").distinct()), "ask").join(shuffled(kinds), "kind")
+    each = pairs.select("ask", "kind", "has", F.size("slot").alias("of"), F.posexplode("slot").alias("i", "over"))
+    each = each.select("ask", "kind", "of", "i", "has", F.explode("over").alias("a")).select("ask", "kind", "of", "i", "a", F.explode("has").alias("b"))
+    foes = F.broadcast(both) if both.count() <= FEW_PAIRS else shuffled(both)
+    bad = written(each.join(foes, ["a", "b"]).groupBy("ask", "kind", "of").agg(F.countDistinct("i").alias("n")).filter("n = of").select("ask", "kind"))
     hit = met.join(shuffled(bad), ["ask", "kind"], "left_semi").select("prop", "ind", "fact").distinct()
     return hit.select(*_violation(kind, "warning", F.col("fact"), F.col("ind"), F.col("prop"), F.col("fact")))
 
